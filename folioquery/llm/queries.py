@@ -1,10 +1,13 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import mixing
+from . import decontam, mixing, quality
 
 QUERIES = {
+    "op6_wu_manber": decontam.op6_wu_manber,
+    "op7_decision_list": quality.op7_decision_list,
     "op8_sainte_lague": mixing.op8_sainte_lague,
 }
 ORACLES = {
+    "op6_wu_manber": decontam.ORACLE_SQL,
     "op8_sainte_lague": mixing.ORACLE_SQL,
 }
