@@ -1,8 +1,10 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import decontam, mixing, quality
+from . import decontam, mixing, quality, token_records, toxicity
 
 QUERIES = {
+    "op1_token_records": token_records.op1_token_records,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_wu_manber": decontam.op6_wu_manber,
     "op7_decision_list": quality.op7_decision_list,
     "op8_sainte_lague": mixing.op8_sainte_lague,
