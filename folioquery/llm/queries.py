@@ -1,9 +1,10 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import decontam, mixing, quality, token_records, toxicity
+from . import decontam, html_text, mixing, quality, token_records, toxicity
 
 QUERIES = {
     "op1_token_records": token_records.op1_token_records,
+    "op2_html_text": html_text.op2_html_text,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_wu_manber": decontam.op6_wu_manber,
     "op7_decision_list": quality.op7_decision_list,
