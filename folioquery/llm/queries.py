@@ -1,16 +1,18 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import decontam, html_text, mixing, quality, token_records, toxicity
+from . import decontam, html_text, mixing, near_dedup, quality, token_records, toxicity
 
 QUERIES = {
     "op1_token_records": token_records.op1_token_records,
     "op2_html_text": html_text.op2_html_text,
+    "op3_setsketch_dedup": near_dedup.op3_setsketch_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_wu_manber": decontam.op6_wu_manber,
     "op7_decision_list": quality.op7_decision_list,
     "op8_sainte_lague": mixing.op8_sainte_lague,
 }
 ORACLES = {
+    "op3_setsketch_dedup": near_dedup.ORACLE_SQL,
     "op6_wu_manber": decontam.ORACLE_SQL,
     "op8_sainte_lague": mixing.ORACLE_SQL,
 }
