@@ -1,8 +1,63 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, mixing, token records."""
+"""The corpus pipeline: five stages, each a function (spark, docs, sf_dir) -> DataFrame.
 
-STAGES = []
+Toxic documents go, then all but one document of each near-duplicate group, then documents that hold
+a passage of the benchmark; the rest is mixed to its source targets by whole documents, which may
+repeat, and written as token records. All stages but the last return the columns of documents. Each
+stage's result is written as Parquet and read again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioquery.llm.common import stored, table, work_dir
+from folioquery.llm.decontam import uncontaminated
+from folioquery.llm.mixing import mix_targets
+from folioquery.llm.near_dedup import near_duplicates
+from folioquery.llm.token_records import read_records, write_records
+from folioquery.llm.toxicity import score_texts, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose calibrated chance of being toxic is 0.5 or more."""
+    model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return score_texts(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, 0.8)."""
+    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
+    return docs.join(stored(gone, "pipeline-copies"), "doc_id", "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a window of the benchmark occurs."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops whole documents by the words that the mix takes of them, to the nearest
+    number of copies; a document without words isn't taken."""
+    taken = mix_targets(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    copies = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
+    taken = stored(taken.where("_size > 0").select("doc_id", copies.alias("_copies")).where("_copies > 0"), "pipeline-mix")
+    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the corpus as token records and reports what is read back from them."""
+    root = work_dir(spark, "pipeline-records")
+    return read_records(write_records(docs, root), root).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("token_records", token_records)]
+#: The classifier can't be stated in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

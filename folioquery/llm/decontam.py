@@ -144,17 +144,23 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out["n_hit"], pa.int64()), pa.array(out["n_items"], pa.int64()), pa.array(out["items_sha256"])], ["doc_id", "n_words", *out])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def pattern_groups(benchmark: DataFrame, pattern_bytes: int = PATTERN_BYTES) -> list[list[tuple[str, str]]]:
+    """The items (id, text) in groups of about pattern_bytes at most, at least one group."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     rounds = max(1, -(-size // pattern_bytes))
+    return [[tuple(x) for x in items.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).collect()] for r in range(rounds)]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    groups = pattern_groups(benchmark, pattern_bytes)
+    rounds = len(groups)
     rows = docs.select("doc_id", "text")
     if rounds > 1:  # a key tells repeated rows apart when the rounds are put together
         rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows").select(F.col("_row").alias("doc_id"), "text", F.col("doc_id").alias("_doc"))
     found = None
-    for r in range(rounds):
-        group = [tuple(x) for x in items.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).collect()]
+    for group in groups:
         part = rows.select("doc_id", "text").mapInArrow(_search_all(group, window), HITS)
         found = part if found is None else found.unionAll(part)
     if rounds == 1:
@@ -167,6 +173,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, whole and unchanged, in which no window of the benchmark occurs: a narrow
+    stage for each group of patterns."""
+
+    def without(items):
+        def run(batches):
+            searcher = Searcher([(i, bench_words(t.encode())) for i, t in items], window)
+            for batch in batches:
+                yield batch.filter(pa.array([not searcher.search(bench_words(t))[0] for t in texts_of(batch)], pa.bool_()))
+
+        return run
+
+    for group in pattern_groups(benchmark):
+        docs = docs.mapInArrow(without(group), docs.schema)
+    return docs
+
+
 def op6_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

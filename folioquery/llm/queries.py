@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import decontam, html_text, mixing, near_dedup, quality, repeats, token_records, toxicity
+from . import decontam, html_text, mixing, near_dedup, quality, repeats, token_counts, token_records, toxicity
 
 QUERIES = {
     "op1_token_records": token_records.op1_token_records,
@@ -11,10 +11,12 @@ QUERIES = {
     "op7_decision_list": quality.op7_decision_list,
     "op8_sainte_lague": mixing.op8_sainte_lague,
     "op9_substring_index": repeats.op9_substring_index,
+    "op10_token_rollup": token_counts.op10_token_rollup,
 }
 ORACLES = {
     "op3_setsketch_dedup": near_dedup.ORACLE_SQL,
     "op6_wu_manber": decontam.ORACLE_SQL,
     "op8_sainte_lague": mixing.ORACLE_SQL,
     "op9_substring_index": repeats.ORACLE_SQL,
+    "op10_token_rollup": token_counts.ORACLE_SQL,
 }

@@ -24,6 +24,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, table, work_dir
 
 END = 2
-#: Pieces a worker remembers the ids of.
-CACHE_PIECES = 600_000
+#: Pieces a worker remembers the ids of, and as many more of an older generation.
+CACHE_PIECES = 500_000
 #: Records that one read takes at once.
 READ_RECORDS = 2048
 _MASK_DELTA = 0xA282EAD8
@@ -57,6 +58,28 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + _MASK_DELTA) & 0xFFFFFFFF
 
 
+class Pieces(dict):
+    """Piece of text -> id bytes, from the library at first, with an older generation behind."""
+
+    def __init__(self, tokenizer, code: str):
+        super().__init__()
+        self.tokenizer, self.code, self.older = tokenizer, code, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            core = piece.rstrip(".,;:!?")
+            if core != piece and core[-1:].isalpha():  # the pattern cuts between a letter and a mark
+                ids = self[core] + self[piece[len(core) :]]
+            else:
+                ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts -> id bytes. The vocabulary's pattern always cuts a text before a space or a line
     feed that stands alone, so the pieces between are encoded by the library once and remembered;
@@ -69,24 +92,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces = Pieces(self.tokenizer, self.code)
         self.cuts = '"ByteLevel"' in self.tokenizer.pre_tokenizer.__getstate__().decode() if self.tokenizer.pre_tokenizer else False
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _simple(self, text: str) -> bool:
         return self.cuts and not any(r in text for r in _RUNS) and not any(s in text for s in self.special) and not _OTHER_SPACE.search(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if self._simple(t) else None for t in texts]
-        new = list({p for c in cut if c for p in c} - self.pieces.keys())
-        self.pieces.update(zip(new, self._whole(new), strict=True))
-        whole = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.pieces.__getitem__
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+    def encode(self, text: str) -> bytes:
+        if self._simple(text):
+            return b"".join(map(self.pieces.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -139,14 +155,13 @@ def _writer(root: str, tokenizer: str, end: int | None):
         with store.open_output_stream(f"{attempt}.rec") as out:
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for first in range(0, len(texts), 256):
-                    encoded = enc.encode([t or "" for t in texts[first : first + 256]])
-                    for doc_id, data in zip(ids[first : first + 256], encoded, strict=True):
-                        record = frame(doc_id, data + stop, enc.dtype.itemsize)
-                        out.write(record)
-                        index += (offset, tokens)
-                        offset += len(record)
-                        tokens += len(data + stop) // enc.dtype.itemsize
+                for doc_id, text in zip(ids, texts, strict=True):
+                    data = enc.encode(text or "") + stop
+                    record = frame(doc_id, data, enc.dtype.itemsize)
+                    out.write(record)
+                    index += (offset, tokens)
+                    offset += len(record)
+                    tokens += len(data) // enc.dtype.itemsize
         with store.open_output_stream(f"{attempt}.idx") as out:
             out.write(np.array(index, "<u8").tobytes())
         for kind in ("idx", "rec"):
