@@ -11,10 +11,10 @@ agree in a register with about the probability of their similarity.
 3. Of each such pair the similarity is estimated jointly by maximum likelihood from the numbers of
    larger, smaller and equal registers and both set sizes; pairs far below the threshold are left.
 4. The others are confirmed on the full sets; components are taken of what is confirmed.
-5. Exact way for the rest: a bucket whose members are not all in one component by then is cut into
-   blocks of BLOCK members, and the sketches of all its pairs in different components are compared,
-   block against block; those that may reach the threshold are confirmed in the same way. So every
-   pair that shares a bucket is linked if it should be, whatever the bucket's size.
+5. Exact way for the rest: groups of documents that meet in buckets, directly or over others, and
+   are not in one component by then are cut into blocks. Block against block, all intersections are
+   counted exactly, and one link is reported for any two components that have one. So every pair that
+   shares a bucket is linked if it should be, whatever the bucket's size, and no list of pairs is made.
 
 With t the threshold, a linked pair misses all bands with probability (1 - t^ROWS)^(M / ROWS): about
 2e-8 at 0.85 and 3e-6 at 0.8.
@@ -40,7 +40,8 @@ M, ROWS = 96, 4
 B, A, Q = 1.001, 20.0, 65534
 #: Standard deviations below the threshold at which an estimate still counts as possible.
 SLACK = 5.5
-BLOCK = 256
+#: Most members, and about as many elements, of a block.
+BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 32, M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32)
@@ -161,35 +162,60 @@ def _confirmed(percent: int):
     return run
 
 
-def _block_pairs(percent: int):
+def common_elements(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Intersection sizes of all left sets with all right ones, by products of 0/1 matrices over a few
+    thousand elements at a time."""
+    ids = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    alone = new & np.concatenate([new[1:], [True]])  # an element of one set only is in no intersection
+    column = np.cumsum(new[~alone]) - 1
+    owner = owner[~alone]
+    out = np.zeros((len(left), len(right)), np.float32)
+    first = 0
+    while first < len(column):
+        last = int(np.searchsorted(column, column[first] + columns))
+        cells = np.zeros((len(left) + len(right), int(column[last - 1] - column[first]) + 1), np.float32)
+        cells[owner[first:last], column[first:last] - column[first]] = 1
+        out += cells[: len(left)] @ cells[len(left) :].T
+        first = last
+    return out
+
+
+def _block_links(percent: int):
+    """Of two blocks of a group: one link between any two labels that have links."""
+
     def run(data: pa.Table) -> pa.Table:
         data = data.combine_chunks()
-        rep, label, part, n = (data.column(c).to_numpy() for c in ("rep", "label", "part", "n"))
-        regs = np.frombuffer(b"".join(data.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+        node, label, part = (data.column(c).to_numpy() for c in ("node", "label", "part"))
+        sets = [np.frombuffer(x, np.uint64) for x in data.column("elements").to_pylist()]
         i, j = data.column("i")[0].as_py(), data.column("j")[0].as_py()
         rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        a, b = [], []
-        for r in rows:
-            c = cols[(label[cols] != label[r]) & ((rep[cols] > rep[r]) if i == j else True)]
-            if len(c):
-                c = c[may_link(np.broadcast_to(regs[r], (len(c), M)), regs[c], np.broadcast_to(n[r], len(c)), n[c], percent)]
-                a += rep[c].tolist()
-                b += [rep[r]] * len(c)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(rows) and len(cols):
+            both = common_elements([sets[r] for r in rows], [sets[c] for c in cols])
+            n = np.array([len(x) for x in sets], np.float32)
+            linked = (100 * both >= percent * (n[rows][:, None] + n[cols][None, :] - both)) & (label[rows][:, None] != label[cols][None, :])
+            for r, c in zip(*np.nonzero(linked), strict=True):
+                a, b = rows[r], cols[c]
+                found[min(label[a], label[b]), max(label[a], label[b])] = (int(max(node[a], node[b])), int(min(node[a], node[b])))
+        return pa.table({"a": pa.array([x for x, _ in found.values()], pa.int64()), "b": pa.array([y for _, y in found.values()], pa.int64())})
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, tag: str) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets have the similarity. Only texts that are in
     a pair are moved; their sets are stored once."""
-    pairs = stored(pairs, f"{tag}-pairs")
+    pairs = stored(pairs, "near-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = narrow_to(docs.select("doc_id", "text"), ids).mapInArrow(_sets(k), "doc_id long, elements binary")
-    sets = stored(sets, f"{tag}-sets").dropDuplicates(["doc_id"])
+    sets = stored(sets, "near-sets").dropDuplicates(["doc_id"])
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), "b")
-    return stored(both.select("a", "b", "ea", "eb").mapInArrow(_confirmed(percent), "a long, b long"), f"{tag}-links")
+    return stored(both.select("a", "b", "ea", "eb").mapInArrow(_confirmed(percent), "a long, b long"), "near-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -205,24 +231,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = stored(reps.select(F.col("doc_id").alias("rep"), "n", "regs", "bands").dropDuplicates(["rep"]), "near-reps")
     bands = reps.select("rep", F.explode("bands").alias("key"))
     buckets = stored(bands.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1"), "near-buckets")
-    shared = stored(bands.join(buckets, "key"), "near-shared")
-    firsts = shared.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    firsts = bands.join(buckets, "key").where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    firsts = stored(firsts, "near-firsts")
     sketch = lambda c, r, n: reps.select(F.col("rep").alias(c), F.col("regs").alias(r), F.col("n").alias(n))
     met = firsts.join(sketch("a", "ra", "na"), "a").join(sketch("b", "rb", "nb"), "b")
-    links = confirm(met.mapInArrow(_possible(percent), "a long, b long"), docs, k, percent, "near-first")
+    links = confirm(met.mapInArrow(_possible(percent), "a long, b long"), docs, k, percent)
     labels = stored(connected_components(links), "near-labels")
 
-    # buckets that still hold more than one component
-    wide = shared.where("members > 2").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = wide.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
-    rest = stored(wide.join(mixed, "key").select("key", "rep", "label", "members"), "near-rest")
+    # groups of documents that meet in buckets, directly or not, and are in several components by now
+    groups = stored(connected_components(firsts), "near-groups").join(reps.select(F.col("rep").alias("node"), "n"), "node")
+    groups = groups.withColumnRenamed("label", "group").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = stored(groups, "near-members")
+    mixed = groups.groupBy("group").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
+    mixed = mixed.where("least != most and members > 2").select("group", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("parts"))
+    rest = stored(groups.select("node", "group", "label").join(mixed, "group"), "near-rest")
     if not rest.isEmpty():
-        count = F.ceil(F.col("members") / BLOCK).cast("int")
-        rest = rest.join(reps.select("rep", "regs", "n"), "rep").withColumn("part", F.pmod(F.xxhash64("rep", "key"), count).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        rest = rest.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-        found = rest.groupBy("key", "i", "j").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
-        more = confirm(found, docs, k, percent, "near-rest")
+        sets = narrow_to(docs, rest.select(F.col("node").alias("doc_id"))).mapInArrow(_sets(k), "doc_id long, elements binary").dropDuplicates(["doc_id"])
+        rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets.withColumnRenamed("doc_id", "node"), "node")
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rest = rest.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("group", "i", "j", "node", "label", "part", "elements")
+        more = stored(rest.groupBy("group", "i", "j").applyInArrow(_block_links(percent), "a long, b long"), "near-more")
         labels = stored(connected_components(links.unionAll(more)), "near-labels")
 
     # classes that need no label or have no copies stay out of the joins
