@@ -8,7 +8,7 @@ windows always have equal fingerprints.
    sorted block. The new block is merge-joined with those of earlier runs; whoever holds a
    fingerprint that another document holds too becomes a participant. When `COMPACT_AT` runs exist
    the merge writes one compacted run in their place.
-2. Verification: participants alone are read again. Of their windows with a shared fingerprint the
+2. Verification: participants alone are read again, and what loses words once more. Of their windows with a shared fingerprint the
    full window is hashed anew, and the smallest doc_id of each is found, bucket by bucket.
 3. Words covered by a window that starts in a smaller doc_id are removed.
 
@@ -38,6 +38,7 @@ WINDOW, GRAM = 13, 6
 COMPACT_AT = 2
 _POSTINGS, _HOLDERS = 0, 1
 RUN = "bucket int, kind int, keys binary, docs binary, shared binary"
+#: Of holders, `bucket` is a group of documents; of postings, a range of hashes.
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -95,8 +96,9 @@ def _run_rows(rows) -> pa.RecordBatch:
 
 
 def _by_doc(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """Groups of documents, half as many as buckets."""
     mixed = docs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return bucket_of(mixed ^ (mixed >> np.uint64(29)), buckets)
+    return bucket_of(mixed ^ (mixed >> np.uint64(29)), max(1, buckets // 2))
 
 
 def _holder_rows(keys: np.ndarray, docs: np.ndarray, buckets: int):
@@ -167,27 +169,26 @@ class FingerprintIndex:
         return FingerprintIndex(self.buckets, [run] if compact else [*self.runs, run])
 
     def participants(self) -> DataFrame:
-        """(doc_id, keys): documents with their shared fingerprints, in one or more packed parts."""
+        """(doc_id, keys): documents with their shared fingerprints."""
         rows = None
         for r in self.runs:
-            part = r.where(F.col("kind") == _HOLDERS).select("keys", "docs")
+            part = r.where(F.col("kind") == _HOLDERS)
             rows = part if rows is None else rows.unionAll(part)
-        parts = rows.mapInArrow(_per_doc, "doc_id long, keys binary")
-        return parts.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))  # as long as the document at most
+        return rows.groupBy("bucket").applyInArrow(_per_doc, "doc_id long, keys binary")
 
 
-def _per_doc(batches):
-    for batch in batches:
-        ids, parts = [], []
-        for k, d in zip(batch.column("keys").to_pylist(), batch.column("docs").to_pylist(), strict=True):
-            keys, docs = unpack(k), unpack(d, np.int64)
-            order = np.argsort(docs, kind="stable")
-            keys, docs = keys[order], docs[order]
-            edge = np.concatenate([[0], np.flatnonzero(docs[1:] != docs[:-1]) + 1, [len(docs)]]) if len(docs) else [0]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                ids.append(int(docs[a]))
-                parts.append(pack(keys[a:b]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "keys"])
+def _per_doc(data: pa.Table) -> pa.Table:
+    """Of one group of documents: the distinct keys of each."""
+    rows = data.to_pylist()
+    keys = np.concatenate([np.empty(0, np.uint64), *[unpack(r["keys"]) for r in rows]])
+    docs = np.concatenate([np.empty(0, np.int64), *[unpack(r["docs"], np.int64) for r in rows]])
+    order = np.lexsort((keys, docs))
+    keys, docs = keys[order], docs[order]
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]) if len(docs) else np.empty(0, bool)
+    keys, docs = keys[new], docs[new]
+    first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.empty(0, np.int64)
+    parts = [pack(keys[a:b]) for a, b in zip(first, np.append(first[1:], len(docs)), strict=True)]
+    return pa.table({"doc_id": pa.array(docs[first], pa.int64()), "keys": pa.array(parts, pa.binary())})
 
 
 def _isin(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -201,10 +202,6 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     return gram_hashes(words, WINDOW, seed=0xA0761D6478BD642F)
 
 
-def _joined(parts) -> np.ndarray:
-    return np.unique(np.concatenate([unpack(p) for p in parts])) if parts else np.empty(0, np.uint64)
-
-
 def _windows(buckets: int):
     """Postings of the windows to verify; of windows that a smaller document of the same Arrow batch
     has too, the holder at once."""
@@ -214,7 +211,7 @@ def _windows(buckets: int):
             keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("keys").to_pylist(), strict=True):
                 words = hash_words(text.split())
-                at = _isin(fingerprints(words), _joined(parts))
+                at = _isin(fingerprints(words), unpack(parts))
                 keys.append(np.unique(window_hashes(words)[at]))
                 docs.append(np.full(len(keys[-1]), doc_id, np.int64))
             keys, docs = np.concatenate(keys), np.concatenate(docs)
@@ -226,19 +223,22 @@ def _windows(buckets: int):
     return run
 
 
-def _judge(data: pa.Table) -> pa.Table:
-    """Of one bucket: (doc_id, keys) of windows that start in a smaller document."""
-    rows = data.to_pylist()
-    held = [(unpack(r["keys"]), unpack(r["docs"], np.int64)) for r in rows if r["kind"] == _HOLDERS]
-    posts = [r for r in rows if r["kind"] == _POSTINGS]
-    if posts:
-        keys = np.concatenate([unpack(r["keys"]) for r in posts])
-        docs = np.concatenate([unpack(r["docs"], np.int64) for r in posts])
-        _, least, _, order, group = _least_by_key(keys, docs)
-        later = order[docs[order] > least[group]]
-        held.append((keys[later], docs[later]))
-    parts = pa.RecordBatch.from_arrays([pa.array([pack(k) for k, _ in held], pa.binary()), pa.array([pack(d) for _, d in held], pa.binary())], ["keys", "docs"])
-    return pa.Table.from_batches(list(_per_doc([parts])))
+def _judge(buckets: int):
+    """Of one bucket: holders of windows that start in a smaller document."""
+
+    def run(data: pa.Table) -> pa.Table:
+        rows = data.to_pylist()
+        out = [(r["bucket"], _HOLDERS, r["keys"], r["docs"], b"") for r in rows if r["kind"] == _HOLDERS]
+        posts = [r for r in rows if r["kind"] == _POSTINGS]
+        if posts:
+            keys = np.concatenate([unpack(r["keys"]) for r in posts])
+            docs = np.concatenate([unpack(r["docs"], np.int64) for r in posts])
+            _, least, _, order, group = _least_by_key(keys, docs)
+            later = order[docs[order] > least[group]]
+            out += _holder_rows(keys[later], docs[later], buckets)
+        return pa.Table.from_batches([_run_rows(out)])
+
+    return run
 
 
 def _rewrite(batches):
@@ -248,7 +248,7 @@ def _rewrite(batches):
             words = text.split()
             gone = np.zeros(len(words), bool)
             if parts:
-                starts = np.flatnonzero(_isin(window_hashes(hash_words(words)), _joined(parts)))
+                starts = np.flatnonzero(_isin(window_hashes(hash_words(words)), unpack(parts)))
                 gone = covered_by(starts, WINDOW, len(words))
             kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
             out["n_words"].append(len(words))
@@ -267,31 +267,31 @@ def _digest(batches):
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def verified_repeats(docs: DataFrame, index: FingerprintIndex) -> tuple[DataFrame, DataFrame]:
-    """(participants with their texts, their windows to remove)."""
+def repeated_windows(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """(doc_id, keys): the documents that lose words, with the hashes of the windows to remove."""
     parts = stored(index.participants(), "repeat-participants")
-    held = stored(narrow_to(docs.select("doc_id", "text"), parts).join(parts, "doc_id"), "repeat-texts")
-    rows = held.mapInArrow(_windows(index.buckets), RUN)
-    gone = rows.groupBy("bucket").applyInArrow(_judge, "doc_id long, keys binary")
-    return held, stored(gone, "repeat-windows").groupBy("doc_id").agg(F.collect_list("keys").alias("windows"))
+    held = narrow_to(docs.select("doc_id", "text"), parts).join(parts, "doc_id")
+    gone = held.mapInArrow(_windows(index.buckets), RUN).groupBy("bucket").applyInArrow(_judge(index.buckets), RUN)
+    gone = gone.where(F.col("kind") == _HOLDERS).groupBy("bucket").applyInArrow(_per_doc, "doc_id long, keys binary")
+    return stored(gone, "repeat-windows")
 
 
-def rewritten(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """The participants among docs: doc_id, n_words, n_removed, kept_sha256, kept_text."""
-    held, gone = verified_repeats(docs, index)
-    return held.select("doc_id", "text").join(gone, "doc_id", "left").mapInArrow(_rewrite, OUT)
+def rewritten(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of repeated_windows: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+    rows = narrow_to(docs.select("doc_id", "text"), gone).join(gone.withColumnRenamed("keys", "windows"), "doc_id")
+    return rows.mapInArrow(_rewrite, OUT)
 
 
 def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256. The documents enter the index in
     `batches` ranges of doc_id."""
-    index = FingerprintIndex(4 * partitions(docs.sparkSession))
+    index = FingerprintIndex(2 * partitions(docs.sparkSession))
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
     edges = [None, *[int(c) for c in cuts], None]
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = docs if low is None else docs.where(F.col("doc_id") > low)
         index = index.append(part if high is None else part.where(F.col("doc_id") <= high))
-    changed = stored(rewritten(docs, index).drop("kept_text"), "repeat-rewritten")
+    changed = stored(rewritten(docs, repeated_windows(docs, index)).drop("kept_text"), "repeat-rewritten")
     clean = docs.select("doc_id", "text").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return clean.join(changed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(changed)
 
