@@ -1,12 +1,13 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import decontam, html_text, mixing, near_dedup, quality, repeats, token_counts, token_records, toxicity
+from . import context_mixing, decontam, html_text, mixing, near_dedup, quality, repeats, token_counts, token_records, toxicity
 
 QUERIES = {
     "op1_token_records": token_records.op1_token_records,
     "op2_html_text": html_text.op2_html_text,
     "op3_setsketch_dedup": near_dedup.op3_setsketch_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_context_mixing": context_mixing.op5_context_mixing,
     "op6_wu_manber": decontam.op6_wu_manber,
     "op7_decision_list": quality.op7_decision_list,
     "op8_sainte_lague": mixing.op8_sainte_lague,
