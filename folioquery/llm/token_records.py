@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, table, work_dir
 
 END = 2
-#: Pieces a worker remembers the ids of, and as many more of an older generation.
-CACHE_PIECES = 500_000
+#: Pieces a worker remembers the ids of, at about 200 bytes each.
+CACHE_PIECES = 1_400_000
 #: Records that one read takes at once.
 READ_RECORDS = 2048
 _MASK_DELTA = 0xA282EAD8
@@ -59,23 +59,20 @@ def masked_crc(data: bytes) -> int:
 
 
 class Pieces(dict):
-    """Piece of text -> id bytes, from the library at first, with an older generation behind."""
+    """Piece of text -> id bytes, from the library at first; emptied when full."""
 
     def __init__(self, tokenizer, code: str):
         super().__init__()
-        self.tokenizer, self.code, self.older = tokenizer, code, {}
+        self.tokenizer, self.code = tokenizer, code
 
     def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(".,;:!?")
+        if core != piece and core[-1:].isalpha():  # the pattern cuts between a letter and a mark
+            ids = self[core] + self[piece[len(core) :]]
+        else:
+            ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHE_PIECES:
-            self.older = dict(self)
             self.clear()
-        ids = self.older.get(piece)
-        if ids is None:
-            core = piece.rstrip(".,;:!?")
-            if core != piece and core[-1:].isalpha():  # the pattern cuts between a letter and a mark
-                ids = self[core] + self[piece[len(core) :]]
-            else:
-                ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         self[piece] = ids
         return ids
 
