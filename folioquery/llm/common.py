@@ -16,7 +16,7 @@ WORD = r"[^ \t-\r]+"
 #: Slots of the id filter that `narrow_to` broadcasts; at 8 bytes each this bounds the broadcast.
 ID_SLOTS = 1 << 20
 #: Entries of a worker's word cache; it is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 M64 = (1 << 64) - 1
 
 

@@ -37,7 +37,7 @@ from .common import partitions, stored, table, work_dir
 
 END = 2
 #: Pieces a worker remembers the ids of, at about 200 bytes each.
-CACHE_PIECES = 1_400_000
+CACHE_PIECES = 900_000
 #: Records that one read takes at once.
 READ_RECORDS = 2048
 _MASK_DELTA = 0xA282EAD8
