@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import pages as page_ops
 from ..operators import reports, text
-from ..sources.pdf import documents, open_documents, page_primitives
+from ..sources.pdf import TEXT_COLUMNS, documents, open_documents, page_primitives
 from ..sources.pdf_writer import files, in_pages, show_lines
 
 LINES = 50
@@ -36,7 +36,9 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Writing and reading files is work for the CPU, and a table may come as a few row groups: its
+    rows are dealt out to all cores before."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def _pages_of(df: DataFrame, column: str = "text", per_page: int = LINES) -> DataFrame:
@@ -49,8 +51,8 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_documents(files(_pages_of(_table(spark, sf_dir, "documents")).select("doc_id", "pages")))
 
 
-def _glyphs(opened: DataFrame) -> DataFrame:
-    return page_primitives(opened, GLYPHS)
+def _glyphs(opened: DataFrame, columns: tuple[str, ...] | None = TEXT_COLUMNS) -> DataFrame:
+    return page_primitives(opened, GLYPHS, columns)
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, page_index, text FROM t WHERE text <> ''")
@@ -75,7 +77,7 @@ def pdf_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LINES_SQL}, c AS (SELECT unnest(string_split(replace(text, chr(10), ''), '')) AS glyph FROM t) SELECT glyph, count(*)::BIGINT AS n FROM c WHERE glyph <> '' GROUP BY glyph")
 def pdf_glyph_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _glyphs(_corpus(spark, sf_dir)).groupBy(F.col("own_text").alias("glyph")).agg(F.count(F.lit(1)).alias("n"))
+    return _glyphs(_corpus(spark, sf_dir), ("own_text",)).groupBy(F.col("own_text").alias("glyph")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Advance widths of the digits and the space, in thousandths, as the oracle states them.
@@ -86,7 +88,7 @@ _ADVANCE = "sum(CASE WHEN c BETWEEN '0' AND '9' THEN 5.56 WHEN c = ' ' THEN 2.78
 def pdf_advances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of each order's line, from the standard widths."""
     df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.array(show_lines(F.array(F.concat_ws(" ", "o_orderkey", "o_custkey")))).alias("pages"))
-    return _glyphs(open_documents(files(df))).groupBy("doc_id").agg(F.round(F.sum("advance"), 3).alias("advance"))
+    return _glyphs(open_documents(files(df)), ("doc_id", "advance")).groupBy("doc_id").agg(F.round(F.sum("advance"), 3).alias("advance"))
 
 
 @query(
@@ -225,7 +227,7 @@ def pdf_font_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names in a font of the part's type, in which the letter a has no known meaning."""
     font = F.concat(F.lit("<< /Type /Font /Subtype /Type1 /BaseFont /"), F.replace("p_type", F.lit(" "), F.lit("#20")), F.lit(" /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [97 /mute] >> >>"))
     df = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(show_lines(F.array("p_name"))).alias("pages"), font.alias("font"))
-    return reports.font_coverage(text.with_spaces(_glyphs(open_documents(files(df))))).select("base_font", "total", "unmapped", "pct", "marked")
+    return reports.font_coverage(text.with_spaces(_glyphs(open_documents(files(df)), None))).select("base_font", "total", "unmapped", "pct", "marked")
 
 
 @query(

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cos import Ref, Stream
 from ..functions.crypt import PasswordError, UnsupportedEncryption
@@ -148,13 +149,20 @@ def _glyph_batch(doc_ids, page_ids, pages: list[Page]) -> pa.RecordBatch | None:
 _OUT = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("kind", pa.string()), ("seq", pa.int32()), ("own_text", pa.string()), ("span", pa.int32()), ("span_text", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "end_x", "end_y", "size", "rotation", "advance")], ("mode", pa.int32()), ("code", pa.int64()), ("font_name", pa.string()), ("base_font", pa.string()), ("flags", pa.int32()), ("fill", pa.list_(pa.float64())), ("fill_alpha", pa.float64()), ("stroke", pa.list_(pa.float64())), ("stroke_alpha", pa.float64()), ("line_width", pa.float64()), ("even_odd", pa.bool_()), ("cmds", pa.list_(pa.struct([("op", pa.string()), ("pts", pa.list_(pa.float64()))]))), ("bbox", pa.list_(pa.float64())), ("name", pa.string()), ("ctm", pa.list_(pa.float64())), ("width", pa.int32()), ("height", pa.int32()), ("is_mask", pa.bool_()), ("bpc", pa.int32()), ("components", pa.int32()), ("obj_num", pa.int64()), ("data", pa.binary()), ("codec", pa.string())])
 
 
-def _batch(columns: dict) -> pa.RecordBatch:
+def _batch(columns: dict, out: pa.Schema) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _OUT], schema=_OUT)
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in out], schema=out)
 
 
-def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path", "image")) -> DataFrame:
-    """Page rows -> rows of the wanted kinds; `seq` is the paint order among all kinds."""
+#: What text assembly reads of a glyph.
+TEXT_COLUMNS = ("doc_id", "page_index", "kind", "seq", "own_text", "span", "span_text", "x", "y", "end_x", "end_y", "size", "rotation", "mode")
+
+
+def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path", "image"), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Page rows -> rows of the wanted kinds; `seq` is the paint order among all kinds. `columns`
+    keeps what isn't asked for from leaving the tasks, as Catalyst can't prune inside them."""
+    out = _OUT if columns is None else pa.schema([_OUT.field(c) for c in columns])
+    schema = PRIMITIVES if columns is None else T.StructType([f for f in T._parse_datatype_string(PRIMITIVES).fields if f.name in columns])
 
     def run(batches):
         for batch in batches:
@@ -167,7 +175,7 @@ def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path",
                     pages.append(page)
                 glyphs = _glyph_batch(ids, index, pages)
                 if glyphs:
-                    yield _batch(glyphs)
+                    yield _batch(glyphs, out)
                 rows = []
                 for d, i, p in zip(ids, index, pages, strict=True):
                     for s, path, box, fill, stroke, width, odd, fa, sa in p.paths:
@@ -175,7 +183,7 @@ def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path",
                     for s, name, ctm, box, w, h, mask, bpc, n, fill, fa, num, data, codec in p.images:
                         rows.append({"doc_id": d, "page_index": i, "kind": "image", "seq": s, "name": name, "ctm": list(ctm), "bbox": list(box), "width": w, "height": h, "is_mask": mask, "bpc": bpc, "components": n, "fill": list(fill), "fill_alpha": fa, "obj_num": num, "data": data, "codec": codec})
                 if rows:
-                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in _OUT} for r in rows], _OUT)
+                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in out} for r in rows], out)
 
     pages = opened.where("page_index is not null").select("doc_id", "page_index", "content", "resources")
-    return pages.mapInArrow(run, PRIMITIVES)
+    return pages.mapInArrow(run, schema)
