@@ -1,0 +1,136 @@
+"""Painting one page's paths and images into pixels: a numpy helper of the render stage."""
+
+from __future__ import annotations
+
+import math
+import struct
+import zlib
+
+import numpy as np
+
+from .page_ops import apply, concat
+
+SUB = 4
+
+
+def flatten(cmds: list[dict], m: tuple, steps: int = 12) -> list[np.ndarray]:
+    """Polygons in device space, curves as chords."""
+    out, now = [], []
+    for c in cmds:
+        op, p = c["op"], c["pts"]
+        pts = [apply(m, p[i], p[i + 1]) for i in range(0, len(p), 2)]
+        if op == "M":
+            out.append(now)
+            now = [pts[0]]
+        elif op == "L":
+            now.append(pts[0])
+        elif op == "C" and now:
+            a, t = now[-1], np.linspace(0, 1, steps + 1)[1:, None]
+            curve = (1 - t) ** 3 * np.array(a) + 3 * (1 - t) ** 2 * t * np.array(pts[0]) + 3 * (1 - t) * t**2 * np.array(pts[1]) + t**3 * np.array(pts[2])
+            now += [tuple(x) for x in curve]
+        elif op == "Z" and now:
+            now.append(now[0])
+    return [np.array(x, float) for x in [*out, now] if len(x) > 1]
+
+
+def coverage(polygons: list[np.ndarray], width: int, height: int, even_odd: bool) -> np.ndarray:
+    """Share of each pixel inside, from SUB x SUB samples, by crossings of sample rows."""
+    out = np.zeros((height, width), np.float32)
+    edges = np.concatenate([np.hstack([p, np.roll(p, -1, axis=0)]) for p in polygons]) if polygons else np.empty((0, 4))
+    edges = edges[edges[:, 1] != edges[:, 3]]
+    if not len(edges):
+        return out
+    low, high = edges[:, [1, 3]].min(), edges[:, [1, 3]].max()
+    xs = (np.arange(width * SUB) + 0.5) / SUB
+    for row in range(max(0, math.floor(low * SUB)), min(height * SUB, math.ceil(high * SUB))):
+        y = (row + 0.5) / SUB
+        e = edges[(np.minimum(edges[:, 1], edges[:, 3]) <= y) & (np.maximum(edges[:, 1], edges[:, 3]) > y)]
+        if not len(e):
+            continue
+        at = e[:, 0] + (y - e[:, 1]) / (e[:, 3] - e[:, 1]) * (e[:, 2] - e[:, 0])
+        order = np.argsort(at)
+        turn = np.concatenate([[0], np.cumsum(np.where(e[order, 3] > e[order, 1], 1, -1))])
+        where = np.searchsorted(at[order], xs)
+        inside = where % 2 == 1 if even_odd else turn[where] != 0
+        out[row // SUB] += inside.reshape(width, SUB).sum(axis=1)
+    return out / (SUB * SUB)
+
+
+def outline_of(polygons: list[np.ndarray], width: float) -> list[np.ndarray]:
+    """Each segment as a rectangle of the line's width."""
+    out, half = [], max(0.1, width) / 2
+    for p in polygons:
+        for a, b in zip(p[:-1], p[1:], strict=True):
+            n = math.hypot(*(b - a))
+            if n:
+                d = np.array([-(b - a)[1], (b - a)[0]]) / n * half
+                out.append(np.array([a + d, b + d, b - d, a - d]))
+    return out
+
+
+def blend(pixels: np.ndarray, cover: np.ndarray, color, alpha: float) -> None:
+    """color: one for all pixels or one a pixel; pixels are straight RGBA in 0..1."""
+    a = (cover * alpha)[..., None]
+    below = pixels[..., 3:] * (1 - a)
+    whole = a + below
+    pixels[..., :3] = np.where(whole > 0, (np.asarray(color) * a + pixels[..., :3] * below) / np.maximum(whole, 1e-9), 0)
+    pixels[..., 3:] = whole
+
+
+def samples(data: bytes, width: int, height: int, n: int, bpc: int) -> np.ndarray:
+    """Raw samples as 8 bits, rows padded to bytes, what is missing as 0."""
+    row = (width * n * bpc + 7) // 8
+    raw = np.frombuffer(data[: row * height].ljust(row * height, b"\0"), np.uint8).reshape(height, row)
+    if bpc == 8:
+        return raw[:, : width * n].reshape(height, width, n)
+    if bpc == 16:
+        return raw[:, : 2 * width * n : 2].reshape(height, width, n)
+    bits = np.unpackbits(raw, axis=1)[:, : width * n * bpc].reshape(height, width, n, bpc)
+    return ((bits * (1 << np.arange(bpc)[::-1])).sum(axis=3) * 255 // ((1 << bpc) - 1)).astype(np.uint8)
+
+
+def paint_image(pixels: np.ndarray, item: dict, m: tuple) -> None:
+    """Nearest samples of a raw image; encoded ones are left out."""
+    if item["data"] is None or item["codec"]:
+        return
+    w, h, n = item["width"], item["height"], item["components"]
+    s = samples(item["data"], w, h, n, item["bpc"]).astype(np.float32) / 255
+    full = concat(tuple(item["ctm"]), m)
+    det = full[0] * full[3] - full[1] * full[2]
+    if abs(det) < 1e-12:
+        return
+    y, x = np.mgrid[: pixels.shape[0], : pixels.shape[1]] + 0.5
+    u = (full[3] * (x - full[4]) - full[2] * (y - full[5])) / det
+    v = (full[0] * (y - full[5]) - full[1] * (x - full[4])) / det
+    inside = (u >= 0) & (u < 1) & (v >= 0) & (v < 1)
+    got = s[np.clip((v * h).astype(int), 0, h - 1), np.clip((u * w).astype(int), 0, w - 1)]
+    if item["is_mask"]:
+        blend(pixels, inside & (got[..., 0] == 0), item["fill"], item["fill_alpha"])
+    else:
+        color = got if n == 3 else (1 - got[..., :3]) * (1 - got[..., 3:]) if n == 4 else np.repeat(got[..., :1], 3, axis=2)
+        blend(pixels, inside, color, item["fill_alpha"])
+
+
+def paint(items: list[dict], m: tuple, width: int, height: int, background) -> np.ndarray:
+    """Paths and images in paint order -> RGBA bytes."""
+    pixels = np.zeros((height, width, 4))
+    if background is not None:
+        pixels[:] = [*background, 1.0]
+    scale = math.sqrt(abs(m[0] * m[3] - m[1] * m[2]))
+    for item in items:
+        if item["kind"] == "image":
+            paint_image(pixels, item, m)
+            continue
+        polygons = flatten(item["cmds"], m)
+        if item["fill"] is not None:
+            blend(pixels, coverage(polygons, width, height, item["even_odd"]), item["fill"], item["fill_alpha"])
+        if item["stroke"] is not None:
+            blend(pixels, coverage(outline_of(polygons, item["line_width"] * scale), width, height, False), item["stroke"], item["stroke_alpha"])
+    return np.rint(pixels * 255).clip(0, 255).astype(np.uint8)
+
+
+def png(rgba: np.ndarray) -> bytes:
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    h, w = rgba.shape[:2]
+    rows = b"".join(b"\0" + rgba[i].tobytes() for i in range(h))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")

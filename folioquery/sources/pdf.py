@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.cos import Ref, Stream
 from ..functions.crypt import PasswordError, UnsupportedEncryption
+from ..functions.filters import FilterError, decode
 from ..functions.fonts import load
 from ..functions.page_ops import IDENTITY, Page, components
 from .pdf_file import ParseError, PdfFile
@@ -187,3 +188,30 @@ def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path",
 
     pages = opened.where("page_index is not null").select("doc_id", "page_index", "content", "resources")
     return pages.mapInArrow(run, schema)
+
+
+def image_data(files: DataFrame, images: DataFrame, password: str | None = None) -> DataFrame:
+    """(doc_id, obj_num, data, codec) of the image objects that `images` names: pixels are read only when
+    asked for, each file once. codec is null for raw samples."""
+    wanted = images.where("obj_num >= 0").groupBy("doc_id").agg(F.collect_set("obj_num").alias("nums"))
+
+    def run(batches):
+        for batch in batches:
+            for doc_id, content, nums in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "content", "nums")], strict=True):
+                rows = []
+                try:
+                    pdf = PdfFile(content, password)
+                except Exception:
+                    continue
+                for num in nums:
+                    s = pdf.get(num)
+                    if isinstance(s, Stream):
+                        try:
+                            data, codec = decode(s, pdf.resolve)
+                        except FilterError:
+                            continue
+                        rows.append({"doc_id": doc_id, "obj_num": num, "data": data, "codec": codec})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("obj_num", pa.int64()), ("data", pa.binary()), ("codec", pa.string())]))
+
+    return files.select("doc_id", "content").join(wanted, "doc_id").mapInArrow(run, "doc_id long, obj_num long, data binary, codec string")

@@ -1,0 +1,59 @@
+import numpy as np
+import pytest
+
+from folioquery.operators.render import render
+from folioquery.sources import pdf, pdf_writer
+from folioquery.streaming.pdf_stream import stream_files, write_page_texts
+
+
+def opened(spark, streams, **options):
+    return pdf.open_documents(spark.createDataFrame([(i, bytearray(pdf_writer.build([s], **options))) for i, s in enumerate(streams)], "doc_id long, content binary"))
+
+
+def pixels(o, **options):
+    rows = render(o, pdf.page_primitives(o, ("path", "image")), **options).collect()
+    return {r["doc_id"]: np.frombuffer(r["rgba"], np.uint8).reshape(r["pixel_height"], r["pixel_width"], 4) for r in rows}
+
+
+def test_paths_and_images(spark):
+    streams = [
+        b"0 0 1 rg 0 0 100 100 re f", b"1 0 0 rg 0 0 612 792 re f 0 1 0 rg 0 0 612 792 re f", b"", b"q 612 0 0 792 0 0 cm BI /W 1 /H 2 /CS /RGB /BPC 8 ID \xff\x00\x00\x00\x00\xff EI Q",
+        b"0 0 100 100 re 25 25 50 50 re f*", b"10 w 0 50 m 100 50 l S", b"q 612 0 0 792 0 0 cm BI /W 1 /H 1 /CS /CMYK /BPC 8 ID \x00\xff\xff\x00 EI Q", b"q 612 0 0 792 0 0 cm 0 1 0 rg BI /W 2 /H 1 /IM true /BPC 1 ID \x40 EI Q",
+    ]
+    o = opened(spark, streams)
+    p = pixels(o)
+    assert p[0].shape == (792, 612, 4) and p[0][742, 50].tolist() == [0, 0, 255, 255] and p[0][600, 50].tolist() == [255] * 4
+    assert p[1][5, 5].tolist() == [0, 255, 0, 255] and (p[2] == 255).all()
+    assert p[3][10, 10].tolist() == [255, 0, 0, 255] and p[3][780, 10].tolist() == [0, 0, 255, 255]
+    assert p[4][742, 50].tolist() == [255] * 4 and p[4][780, 10].tolist() == [0, 0, 0, 255]
+    assert p[5][742, 50].tolist() == [0, 0, 0, 255] and p[5][730, 50].tolist() == [255] * 4
+    assert p[6][10, 10].tolist() == [255, 0, 0, 255]
+    assert p[7][10, 10].tolist() == [0, 255, 0, 255] and p[7][10, 600].tolist() == [255] * 4
+    small = pixels(o, dpi=144, region=(0, 692, 200, 900), background=None)
+    assert small[0].shape == (200, 400, 4) and small[0][10, 10].tolist() == [0, 0, 255, 255] and small[0][10, 390, 3] == 0
+    assert pixels(o, region=(700, 0, 800, 10)) == {}
+    with pytest.raises(ValueError, match="dpi"):
+        render(o, o, dpi=0)
+    turned = pixels(opened(spark, streams[:1], rotate=90))
+    assert turned[0].shape == (612, 792, 4) and turned[0][50, 50].tolist() == [0, 0, 255, 255]
+
+
+def test_png_and_image_objects(spark):
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /I 5 0 R /J 6 0 R >> >> >>",
+        4: pdf_writer.stream(b"/I Do /J Do"), 5: pdf_writer.stream(b"ab", "/Subtype /Image /Width 2 /Height 1 /ColorSpace /DeviceGray /BitsPerComponent 8 "), 6: pdf_writer.stream(b"jpg", "/Subtype /Image /Width 2 /Height 1 /Filter /DCTDecode "),
+    }
+    files = spark.createDataFrame([(1, bytearray(pdf_writer.file_of(objects)))], "doc_id long, content binary")
+    o = pdf.open_documents(files)
+    images = pdf.page_primitives(o, ("image",))
+    assert sorted((r["obj_num"], bytes(r["data"]), r["codec"]) for r in pdf.image_data(files, images).collect()) == [(5, b"ab", None), (6, b"jpg", "DCTDecode")]
+    assert bytes(render(o, images, dpi=8).first()["png"]).startswith(b"\x89PNG\r\n\x1a\n")
+
+
+def test_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / f"in/{i}.pdf").write_bytes(pdf_writer.build([b"BT /F1 12 Tf 72 720 Td (page %d) Tj ET" % i]))
+    query = write_page_texts(stream_files(spark, f"file://{tmp_path}/in", 2), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    query.awaitTermination(120)
+    assert sorted(r["text"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["page 0", "page 1", "page 2"]
