@@ -12,8 +12,8 @@ windows always have equal fingerprints.
    full window is hashed anew, and the smallest doc_id of each is found, bucket by bucket.
 3. Words covered by a window that starts in a smaller doc_id are removed.
 
-Map-side, equal fingerprints of one Arrow batch are combined before the shuffle: one posting each, so
-a passage that a third of all documents share costs one entry a batch, not one a document. Buckets
+Map-side, equal fingerprints of TOGETHER documents are combined before the shuffle: one posting each,
+so a passage that a third of all documents share costs one entry for these, not one a document. Buckets
 grow with `spark.sql.shuffle.partitions`; arrays travel as byte planes, which compress well.
 
 Rows: null and empty texts and those of fewer than `WINDOW` words lose nothing; repeats inside one
@@ -36,6 +36,8 @@ from .quality import covered_by
 
 WINDOW, GRAM = 13, 6
 COMPACT_AT = 2
+#: Documents whose equal keys are combined before the shuffle: bounds a task's arrays.
+TOGETHER = 2500
 _POSTINGS, _HOLDERS = 0, 1
 RUN = "bucket int, kind int, keys binary, docs binary, shared binary"
 #: Of holders, `bucket` is a group of documents; of postings, a range of hashes.
@@ -109,9 +111,15 @@ def _holder_rows(keys: np.ndarray, docs: np.ndarray, buckets: int):
         yield b, _HOLDERS, pack(keys[cut]), pack(docs[cut]), b""
 
 
+def _slices(batches):
+    for batch in batches:
+        for first in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(first, TOGETHER)
+
+
 def _flush(buckets: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 words = text.split()
@@ -203,11 +211,11 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
 
 
 def _windows(buckets: int):
-    """Postings of the windows to verify; of windows that a smaller document of the same Arrow batch
+    """Postings of the windows to verify; of windows that a smaller document of the same slice
     has too, the holder at once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("keys").to_pylist(), strict=True):
                 words = hash_words(text.split())
