@@ -117,8 +117,9 @@ def features_of(text: bytes, lex: Lexicon) -> list[float]:
         if w in SECOND_PERSON:
             second.append(i)
     if hits and second:
-        at = np.array([h[0] for h in hits])
-        gaps = np.abs(at[:, None] - np.array(second)[None, :]).min(axis=1) if len(at) * len(second) <= 1 << 20 else np.array([0])
+        at, there = np.array([h[0] for h in hits]), np.array(second)
+        after = np.searchsorted(there, at)  # the nearest is the one there or the one before
+        gaps = np.minimum(np.abs(at - there[np.maximum(after - 1, 0)]), np.abs(at - there[np.minimum(after, len(there) - 1)]))
         near = float((1.0 / (1.0 + gaps)).max())
     d, size = max(1, n), max(1, len(text))
     found = sum(h[1] for h in hits)

@@ -178,6 +178,18 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.score_texts(df.limit(3), none).count() == 3
 
 
+def test_nearness_to_second_person_in_texts_of_any_length():
+    at = toxicity.FEATURES.index("near_second_person")
+    lex = toxicity.Lexicon({}, {}, frozenset({b"idiot"}))
+    for n in (3, 1100):  # 1,100 hits and as many second-person words, 50 words apart
+        assert toxicity.features_of(b"idiot " * n + b"calm " * 49 + b"you " * n, lex)[at] == 1 / 51
+    rnd = np.random.default_rng(4)
+    for _ in range(50):
+        words = rnd.choice([b"idiot", b"you", *[b"calm"] * 20], 60).tolist()
+        gaps = [abs(i - j) for i, a in enumerate(words) if a == b"idiot" for j, b in enumerate(words) if b == b"you"]
+        assert toxicity.features_of(b" ".join(words), lex)[at] == (1 / (1 + min(gaps)) if gaps else 0.0)
+
+
 def test_isotonic_is_monotone():
     knots, p = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
     assert (np.diff(knots) > 0).all() and (np.diff(p) >= 0).all()
