@@ -38,11 +38,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents by the words that the mix takes of them, to the nearest
-    number of copies; a document without words isn't taken."""
-    taken = mix_targets(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = F.floor(F.col("_taken") / F.col("_size") + 0.5).cast("int")
-    taken = stored(taken.where("_size > 0").select("doc_id", copies.alias("_copies")).where("_copies > 0"), "pipeline-mix")
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    number of copies; a document without words isn't taken. Rows are told apart by a key of their own,
+    so null and repeated ids are mixed row by row."""
+    rows = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "pipeline-mix-rows")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = mix_targets(rows, row="_mix_row").where("size > 0").select("_mix_row", copies.alias("_copies"))
+    taken = stored(taken.where("_copies > 0"), "pipeline-mix")
+    return rows.join(taken, "_mix_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

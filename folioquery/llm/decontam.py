@@ -10,7 +10,8 @@ The patterns are a stated query set: they are collected in groups of at most `PA
 each group makes one pass over the documents, so no broadcast exceeds that bound.
 
 Rows: a null or empty text has no words and hits nothing; null item texts have no windows and null
-item ids name nothing; items with equal texts all count; repeated documents each get a row; empty
+item ids name nothing: `contamination` leaves their items out, as its SQL does, and `uncontaminated`,
+which names no items, searches their windows too; items with equal texts all count; repeated documents each get a row; empty
 tables give rows without hits, or no rows. Extra columns are not read.
 """
 
@@ -88,7 +89,7 @@ class _Length:
 class Searcher:
     """Finds the windows of items (id, words) in the words of a text."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
         self.owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, words in items:
@@ -144,9 +145,10 @@ def _summed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out["n_hit"], pa.int64()), pa.array(out["n_items"], pa.int64()), pa.array(out["items_sha256"])], ["doc_id", "n_words", *out])
 
 
-def pattern_groups(benchmark: DataFrame, pattern_bytes: int = PATTERN_BYTES) -> list[list[tuple[str, str]]]:
-    """The items (id, text) in groups of about pattern_bytes at most, at least one group."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+def pattern_groups(benchmark: DataFrame, pattern_bytes: int = PATTERN_BYTES, unnamed: bool = False) -> list[list[tuple[str | None, str]]]:
+    """The items (id, text) in groups of about pattern_bytes at most, at least one group; `unnamed`:
+    with those whose id is null."""
+    items = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     rounds = max(1, -(-size // pattern_bytes))
     return [[tuple(x) for x in items.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).collect()] for r in range(rounds)]
@@ -185,7 +187,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
         return run
 
-    for group in pattern_groups(benchmark):
+    for group in pattern_groups(benchmark, unnamed=True):
         docs = docs.mapInArrow(without(group), docs.schema)
     return docs
 

@@ -78,16 +78,18 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return per.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "n_docs", "total", "target")
 
 
-def mix_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED) -> DataFrame:
-    """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+def mix_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken; and `row`,
+    a column of distinct keys, if given, by which rows of null or equal ids are told apart."""
+    keep = [row] if row else []
+    sizes = stored(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, max_epochs)
     block = F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(F.col("total") / blocks))).cast("long")
     targets = targets.withColumn("block", block).withColumn("n_blocks", F.round(F.col("total") / F.col("block")).cast("long"))
     quotas = sainte_lague(targets, [], "target", "n_blocks", ["source"]).withColumnRenamed("quota", "source_quota")
     quotas = stored(quotas.withColumn("shards", F.ceil(F.col("source_size") / shard_tokens).cast("long")).withColumn("shards", F.greatest("shards", F.lit(1))), "mix-quotas")
     q = quotas.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_quota", "shards")
-    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), *[F.concat(F.lit("row/"), F.col(k).cast("string")) for k in keep], F.lit(""))))
     # one row a source: the build side has as many rows as there are sources, and AQE chooses the join
     rows = sizes.join(q, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_key", digest)
     rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("shards")))
@@ -95,12 +97,12 @@ def mix_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     dealt = sainte_lague(shards, ["_source"], "shard_size", "source_quota", ["shard"])
     dealt = dealt.select(F.col("_source").alias("_s"), F.col("shard").alias("_sh"), "shard_size", F.least(F.col("quota") * F.col("block"), F.col("shard_size") * max_epochs).alias("_take"))
     rows = rows.join(dealt, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_sh")), "left")
-    order = W.partitionBy("_source", "shard").orderBy("_key", F.col("doc_id"), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("_source", "shard").orderBy("_key", F.col("doc_id"), "size", *keep).rowsBetween(W.unboundedPreceding, W.currentRow)
     end = F.sum("size").over(order)
     rows = rows.withColumn("_end", end).withColumn("_full", F.when(F.col("shard_size") > 0, F.floor(F.col("_take") / F.col("shard_size"))).otherwise(F.lit(0)))
     rest = F.col("_take") - F.col("_full") * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("_full") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", *keep, "source", "size", "source_size", "target", (F.col("size") * F.col("_full") + part).cast("long").alias("taken"))
 
 
 def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

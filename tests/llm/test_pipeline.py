@@ -1,4 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
+from folioquery.llm import decontam
 from folioquery.llm.common import stored
 
 SMALL = "/root/testdata/sf0.001"
@@ -18,3 +21,21 @@ def test_stages(spark):
             before = docs.count()
     out = docs.orderBy("start").collect()
     assert [r["start"] for r in out] == [sum(x["n_tokens"] for x in out[:i]) for i in range(len(out))]
+
+
+def test_rows_with_null_and_repeated_ids_are_mixed(spark):
+    rows = [(None if i % 2 else i // 4, f"t{i} " + "word " * 9, s) for i in range(60) for s in ("a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.mix(spark, docs, SMALL)
+    got = Counter(tuple(r) for r in out.collect())
+    assert out.columns == docs.columns and set(got) <= set(rows)
+    # 1,200 words, five parts to a and two to b
+    by = {s: sum(n for r, n in got.items() if r[2] == s) for s in ("a", "b")}
+    assert abs(by["a"] - 1200 * 5 / 7 / 10) <= 1 and abs(by["b"] - 1200 * 2 / 7 / 10) <= 1
+    assert {r[1] for r in got if r[0] is None and r[2] == "a"} == {r[1] for r in rows if r[0] is None and r[2] == "a"}
+
+
+def test_items_without_id_are_searched(spark):
+    bench = spark.createDataFrame([(None, "a passage of the benchmark")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here is a passage of the benchmark, copied"), (None, "nothing of it")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontam.uncontaminated(docs, bench).collect()] == [None]
