@@ -3,8 +3,11 @@
 A page becomes a tree in which menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are marked as clutter by tag, role or class. Each paragraph passes points
 for its length and its commas to its ancestors, less with each level; a container's points are
-discounted by its link density. The best container, or the article or main element around it, is
-kept with those siblings that score well too, and its blocks of text are joined in page order.
+discounted by its link density. The article or main element around the best container is kept with
+those siblings that score well too. Without one, the outermost ancestor that holds several children
+with points is kept, from its first to its last child with text that isn't mostly links. Lists of
+links are dropped outside the best container (or article or main element), not in it. The blocks of
+text are joined in page order.
 
 Pages are independent rows in Arrow batches, so the job is one narrow stage without a shuffle.
 
@@ -178,10 +181,47 @@ def _link_list(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.n_links >= 2 and node.links > 0.5 * node.length
 
 
+def _text_bearing(k: Node | str) -> bool:
+    """Whether a child has text that isn't mostly links."""
+    if isinstance(k, str):
+        return bool(k.strip())
+    return not k.clutter and k.length > 0 and k.links < 0.25 * k.length
+
+
+def _drop_link_lists(top: Node) -> None:
+    for node in _ordered(top):
+        node.clutter = node.clutter or _link_list(node)
+
+
+def _between(holder: Node, way: set[Node]) -> Node:
+    """The holder with its children from the first to the last that bear text or lead to the best."""
+    bearing = [i for i, k in enumerate(holder.kids) if k in way or _text_bearing(k)]
+    out = Node(holder.tag, None)
+    out.kids = holder.kids[bearing[0] : bearing[-1] + 1] if bearing else []
+    return out
+
+
+def _with_siblings(best: Node) -> list[Node]:
+    """An article or main element and those of its siblings that score well too."""
+    if best.parent is None:
+        return [best]
+    kept, least = [], max(4.0, 0.2 * best.score)
+    for k in best.parent.kids:
+        if not isinstance(k, Node) or k.clutter:
+            continue
+        density = k.links / max(1, k.length)
+        if k is best or k.tag == "h1" or k.score >= least and density < 0.25 or k.tag == "p" and density < 0.25 and k.length >= 80:
+            if k is not best:
+                _drop_link_lists(k)
+            kept.append(k)
+    return kept
+
+
 def chosen(root: Node) -> list[Node]:
     nodes = score(root)
     holders = [x for x in nodes if x.tag in _CONTAINERS and x.score > 0]
     if not holders:
+        _drop_link_lists(root)
         return [root]
     best = max(holders, key=lambda x: x.score)
     for name in ("article", "main"):  # the outermost of this name around it
@@ -191,18 +231,22 @@ def chosen(root: Node) -> list[Node]:
                 found = up
             up = up.parent
         if found is not None:
-            best = found
-            break
-    if best.parent is None:
-        return [best]
-    kept, least = [], max(4.0, 0.2 * best.score)
-    for k in best.parent.kids:
-        if not isinstance(k, Node) or k.clutter:
-            continue
-        density = k.links / max(1, k.length)
-        if k is best or k.tag == "h1" or k.score >= least and density < 0.25 or k.tag == "p" and density < 0.25 and k.length >= 80:
-            kept.append(k)
-    return kept
+            return _with_siblings(found)
+    # without either, the outermost ancestor that holds several children with points
+    holder, way, up = best, [best], best
+    while up.parent is not None:
+        up = up.parent
+        way.append(up)
+        if sum(isinstance(k, Node) and (k.score > 0 or k.tag == "p") and _text_bearing(k) for k in up.kids) > 1:
+            holder = up
+    if holder is best and best.parent is not None and best.tag != "body":
+        holder = best.parent  # headings and the like beside it
+    on_way = set(way)
+    for node in way[: way.index(holder) + 1]:
+        for k in node.kids if node is not best else ():
+            if isinstance(k, Node) and k not in on_way:
+                _drop_link_lists(k)
+    return [_between(holder, on_way)]
 
 
 def blocks_of(tops: list[Node]) -> list[str]:
@@ -225,7 +269,7 @@ def blocks_of(tops: list[Node]) -> list[str]:
                 run.append(item)
             elif item.tag == "br":
                 run.append(" ")
-            elif not item.clutter and not (item is not top and _link_list(item)):
+            elif not item.clutter:
                 block = item.tag in BLOCKS
                 if block:
                     flush()

@@ -308,6 +308,25 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+LONG_P = "<p>" + "Words, and more words, of a long section, " * 12 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept", "gone"),
+    [
+        (f"<body><div class=wrap><h2>First</h2><div class=section>{LONG_P * 3}</div><h3>Then</h3><ul><li>an item</ul><blockquote>Said so</blockquote><pre>x = 1</pre><table><tr><td>a cell</table><p>Short.</p><div class=section><p>Brief section</p></div></div>", ["First", "Then", "an item", "Said so", "x = 1", "a cell", "Short.", "Brief section"], []),
+        (f"<body><div><div><div>{LONG_P * 3}</div></div><div><div><p>Brief section</p></div></div></div>", ["Brief section"], []),
+        (f"<body><article>{LONG_P}<ul><li><a href=x>Source one</a><li><a href=y>Source two</a></ul></article>", ["Source one", "Source two"], []),
+        (f"<body><ul><li><a href=x>Home</a><li><a href=y>About</a></ul><div>{LONG_P}<ul><li><a href=x>Source one</a><li><a href=y>Source two</a></ul></div><div><a href=x>More</a> <a href=y>News</a></div>", ["Source one", "Source two"], ["Home", "About", "More", "News"]),
+        (f"<body><div><div>{LONG_P}</div><div><ul><li><a href=x>Home</a><li><a href=y>About</a></ul><p>{'Text of another part. ' * 9}</p></div></div>", ["Text of another part."], ["Home", "About"]),
+        (f"<body><ul><li><a href=x>Home</a><li><a href=y>About</a></ul>{LONG_P}<h2>Last</h2><p>Brief.</p>", ["Last", "Brief."], ["Home", "About"]),
+    ],
+)
+def test_html_keeps_all_parts_of_the_text(page, kept, gone):
+    text = html_text.extract(page)
+    assert all(t in text for t in ["Words, and more words", *kept]) and not any(t in text for t in gone)
+
+
 def test_language_scores(spark, docs, nothing):
     import math
 
