@@ -354,6 +354,27 @@ def test_bits_of_all_texts_add_up_to_one():
     assert b"".join(context_mixing.pieces_of(b"some text\nwith  pieces ")) == b"some text\nwith  pieces \xff"
 
 
+def test_scores_see_what_stands_before_a_word(spark):
+    rnd = np.random.default_rng(5)
+    follow = {w: rnd.choice(60, 2) for w in range(60)}
+    names = ["".join(rnd.choice(list("abcdefgh"), 5)) for _ in range(60)]
+
+    def fluent():
+        w, out = 0, []
+        for _ in range(200):
+            out.append(names[w])
+            w = int(rnd.choice(follow[w]))
+        return out
+
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts = [fluent() for _ in range(400)]
+    salad = [list(rnd.permutation(t)) if i in held[::2] else t for i, t in enumerate(texts)]
+    for between in (" ", ""):  # the latter: nowhere to cut
+        found = rows(context_mixing.language_scores(documents(spark, [between.join(t) for t in salad])))
+        worse, better = (np.mean([found[i]["score"] for i in part]) for part in (held[::2], held[1::2]))
+        assert worse < 1.3 * better < 0
+
+
 def test_mixing_learns():
     rnd = np.random.default_rng(0)
     bits = (rnd.random(20000) < 0.5).astype(np.uint8)
