@@ -381,3 +381,35 @@ def test_mixing_learns():
     x = np.zeros((20000, context_mixing.PREDICTORS), np.float32)
     x[:, 0] = np.where(bits, 2.0, -2.0)  # one predictor is right, the others say nothing
     assert -context_mixing.mix_bits(x, bits, np.zeros(20000, np.uint8)) / 20000 < 0.45
+
+
+def test_weights_adapt_in_short_and_long_texts():
+    rnd = np.random.default_rng(6)
+
+    def bits_and_odds(n, wrong_from):
+        bits = (rnd.random(n) < 0.5).astype(np.uint8)
+        x = np.zeros((n, context_mixing.PREDICTORS), np.float32)
+        x[:, 0] = np.where(bits, 2.0, -2.0)
+        x[wrong_from:, 0] *= -1
+        return x, bits, np.zeros(n, np.uint8)
+
+    cost = lambda n, wrong: -context_mixing.mix_bits(*bits_and_odds(n, wrong))
+    assert cost(200, 200) / 200 < 0.9 * cost(16, 16) / 16
+    assert (cost(62_000, 34_000) - cost(34_000, 34_000)) / 28_000 < 0.5  # a predictor that turns wrong late
+
+
+def test_texts_side_by_side_are_mixed_each_on_its_own():
+    rnd = np.random.default_rng(7)
+    counts = np.array([5, 700, 0, 32, 33, 1500])
+    n = int(counts.sum())
+    x, bits, gates = rnd.normal(size=(n, context_mixing.PREDICTORS)).astype(np.float32), (rnd.random(n) < 0.5).astype(np.uint8), rnd.integers(0, context_mixing.GATES, n).astype(np.uint8)
+    start = rnd.random((context_mixing.GATES, context_mixing.PREDICTORS)).astype(np.float32)
+    both, ends = context_mixing.mix(x, bits, gates, counts, start)[0], np.cumsum(counts)
+    for i, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
+        w, total = start.copy(), 0.0
+        for first in range(a, b, context_mixing.STEP):
+            part = slice(first, min(b, first + context_mixing.STEP))
+            p = 1 / (1 + np.exp(-(x[part] * w[gates[part]]).sum(axis=1)))
+            total += np.log2(np.where(bits[part] == 1, p, 1 - p)).sum()
+            np.add.at(w, gates[part], context_mixing.LEARN * (bits[part] - p)[:, None] * x[part])
+        assert abs(both[i] - total) < 1e-3 * max(1, abs(total))
