@@ -413,3 +413,16 @@ def test_texts_side_by_side_are_mixed_each_on_its_own():
             total += np.log2(np.where(bits[part] == 1, p, 1 - p)).sum()
             np.add.at(w, gates[part], context_mixing.LEARN * (bits[part] - p)[:, None] * x[part])
         assert abs(both[i] - total) < 1e-3 * max(1, abs(total))
+
+
+def test_triples_of_bytes_are_spread_over_buckets():
+    import pyarrow as pa
+
+    text, got, buckets = " ".join(TEXTS[-1:] + [BASE]), Counter(), set()
+    for batch in context_mixing._count(8)(iter([pa.record_batch([pa.array([text])], ["text"])])):
+        for r in batch.to_pylist():
+            if r["bucket"] < 0:
+                buckets.add(r["bucket"])
+                got.update(dict(zip(context_mixing.unpack(r["hashes"]).tolist(), context_mixing.unpack(r["counts"], np.int64).tolist(), strict=True)))
+    data = b"\0\0" + text.encode() + b"\xff"
+    assert got == Counter(int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2)) and len(buckets) == 8
