@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ WORD = r"[^ \t-\r]+"
 #: Slots of the id filter that `narrow_to` broadcasts; at 8 bytes each this bounds the broadcast.
 ID_SLOTS = 1 << 20
 #: Entries of a worker's word cache; it is emptied when full.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Bytes of text that a worker takes at once, where no single text is longer.
+TEXT_BYTES = 2 << 20
 M64 = (1 << 64) - 1
 
 
@@ -25,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below the session's `spark.checkpoint.dir`, which all machines share; where that
-    is unset (local tests) the session gets a temporary folder once."""
+    """A new folder below the session's `spark.checkpoint.dir`, which all machines share. Where that
+    is unset a session with a local master gets a temporary folder once; any other raises, as its
+    executors would each write a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("folioquery.work.dir", None)
     if not root:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("folioquery.work.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -97,6 +103,20 @@ def gram_hashes(words: np.ndarray, k: int, seed: int = 0x9E3779B97F4A7C15) -> np
     return mix64(acc ^ np.uint64(seed))
 
 
+def sliced(batches, column: str = "text", most: int = TEXT_BYTES):
+    """The rows of the batches in order, cut so that a slice has about `most` bytes of text, or one
+    text that is longer: what a worker holds depends on bytes, not on the rows of a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            ends = np.cumsum(sizes)
+            part = (ends - sizes) // most
+            part += np.cumsum(sizes > most)  # a long text starts a slice of its own
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield batch.slice(a, b - a)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]

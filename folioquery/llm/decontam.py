@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts_of
+from .common import sliced, stored, table, texts_of
 
 WINDOW = 10
 #: Words of a block, and entries of a shift table (a power of two).
@@ -117,7 +117,7 @@ class Searcher:
 def _search_all(items, window):
     def run(batches):
         searcher = Searcher([(i, bench_words(t.encode())) for i, t in items], window)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, spans, found = [], [], []
             for text in texts_of(batch):
                 words = bench_words(text)
@@ -182,7 +182,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     def without(items):
         def run(batches):
             searcher = Searcher([(i, bench_words(t.encode())) for i, t in items], window)
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not searcher.search(bench_words(t))[0] for t in texts_of(batch)], pa.bool_()))
 
         return run

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hash_words, mix64, narrow_to, signed, stored, table, texts_of
+from .common import gram_hashes, hash_words, mix64, narrow_to, signed, sliced, stored, table, texts_of
 from .graph import connected_components
 
 M, ROWS = 96, 4
@@ -106,7 +106,7 @@ def may_link(ru: np.ndarray, rv: np.ndarray, nu: np.ndarray, nv: np.ndarray, per
 
 def _sketch(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n, hi, lo, regs, bands = [], [], [], [], []
             for text in texts_of(batch):
                 s = shingle_set(text, k)
@@ -125,7 +125,7 @@ def _sketch(k: int):
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t, k).tobytes() for t in texts_of(batch)], pa.binary())], ["doc_id", "elements"])
 
     return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hash_words, narrow_to, table, texts_of
+from .common import gram_hashes, hash_words, narrow_to, sliced, table, texts_of
 
 #: Most labelled rows that the rules are learned from.
 SAMPLE = 20_000
@@ -66,7 +66,7 @@ def statistics_of(text: bytes) -> tuple:
 
 
 def _statistics(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         rows = [statistics_of(t) for t in texts_of(batch)]
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 9
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [x.split()[0] for x in STATS.split(", ")])

@@ -12,7 +12,7 @@ windows always have equal fingerprints.
    full window is hashed anew, and the smallest doc_id of each is found, bucket by bucket.
 3. Words covered by a window that starts in a smaller doc_id are removed.
 
-Map-side, equal fingerprints of TOGETHER documents are combined before the shuffle: one posting each,
+Map-side, equal fingerprints of TOGETHER bytes of documents are combined before the shuffle: one posting each,
 so a passage that a third of all documents share costs one entry for these, not one a document. Buckets
 grow with `spark.sql.shuffle.partitions`; arrays travel as byte planes, which compress well.
 
@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hash_words, narrow_to, partitions, stored, table, texts_of
+from .common import gram_hashes, hash_words, narrow_to, partitions, sliced, stored, table, texts_of
 from .quality import covered_by
 
 WINDOW, GRAM = 13, 6
 COMPACT_AT = 2
-#: Documents whose equal keys are combined before the shuffle: bounds a task's arrays.
-TOGETHER = 2500
+#: Bytes of texts whose equal keys are combined before the shuffle: bounds a task's arrays.
+TOGETHER = 8 << 20
 _POSTINGS, _HOLDERS = 0, 1
 RUN = "bucket int, kind int, keys binary, docs binary, shared binary"
 #: Of holders, `bucket` is a group of documents; of postings, a range of hashes.
@@ -111,15 +111,9 @@ def _holder_rows(keys: np.ndarray, docs: np.ndarray, buckets: int):
         yield b, _HOLDERS, pack(keys[cut]), pack(docs[cut]), b""
 
 
-def _slices(batches):
-    for batch in batches:
-        for first in range(0, batch.num_rows, TOGETHER):
-            yield batch.slice(first, TOGETHER)
-
-
 def _flush(buckets: int):
     def run(batches):
-        for batch in _slices(batches):
+        for batch in sliced(batches, most=TOGETHER):
             keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
                 words = text.split()
@@ -215,7 +209,7 @@ def _windows(buckets: int):
     has too, the holder at once."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in sliced(batches, most=TOGETHER):
             keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("keys").to_pylist(), strict=True):
                 words = hash_words(text.split())
@@ -250,7 +244,7 @@ def _judge(buckets: int):
 
 
 def _rewrite(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
         for text, parts in zip(texts_of(batch), batch.column("windows").to_pylist(), strict=True):
             words = text.split()
@@ -267,9 +261,13 @@ def _rewrite(batches):
 
 
 def _digest(batches):
-    for batch in batches:
-        words = [t.split() for t in texts_of(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    for batch in sliced(batches):
+        counts, digests = [], []
+        for text in texts_of(batch):
+            words = text.split()
+            counts.append(len(words))
+            digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([0] * len(counts), pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"

@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table, work_dir
+from .common import partitions, sliced, stored, table, work_dir
 
 END = 2
-#: Pieces a worker remembers the ids of, at about 200 bytes each.
-CACHE_PIECES = 900_000
-#: Records that one read takes at once.
-READ_RECORDS = 2048
+#: Pieces of a generation that a worker remembers the ids of, at about 200 bytes each, and how many
+#: new ones are encoded together.
+CACHE_PIECES, TOGETHER = 250_000, 1000
+#: About how many bytes of records one read takes, where no single record is longer.
+READ_BYTES = 8 << 20
+_MARKS = frozenset(".,;:!?")
 _MASK_DELTA = 0xA282EAD8
 #: White space other than single spaces and line feeds between other characters; texts that have it
 #: are cut by the library itself.
@@ -58,29 +60,11 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + _MASK_DELTA) & 0xFFFFFFFF
 
 
-class Pieces(dict):
-    """Piece of text -> id bytes, from the library at first; emptied when full."""
-
-    def __init__(self, tokenizer, code: str):
-        super().__init__()
-        self.tokenizer, self.code = tokenizer, code
-
-    def __missing__(self, piece: str) -> bytes:
-        core = piece.rstrip(".,;:!?")
-        if core != piece and core[-1:].isalpha():  # the pattern cuts between a letter and a mark
-            ids = self[core] + self[piece[len(core) :]]
-        else:
-            ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Whole texts -> id bytes. The vocabulary's pattern always cuts a text before a space or a line
-    feed that stands alone, so the pieces between are encoded by the library once and remembered;
-    texts with other white space, or with a special token's string, are encoded whole."""
+    feed that stands alone. The distinct pieces between that aren't remembered are encoded together
+    in one call of the library, and its tokens are dealt to them by their lengths in bytes; texts with
+    other white space, or with a special token's string, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -90,17 +74,87 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.pieces = Pieces(self.tokenizer, self.code)
         self.cuts = '"ByteLevel"' in self.tokenizer.pre_tokenizer.__getstate__().decode() if self.tokenizer.pre_tokenizer else False
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # of a token, in bytes
+        for token, i in vocab.items():
+            self.length[i] = len(token)
 
     def _simple(self, text: str) -> bool:
         return self.cuts and not any(r in text for r in _RUNS) and not any(s in text for s in self.special) and not _OTHER_SPACE.search(text)
 
-    def encode(self, text: str) -> bytes:
-        if self._simple(text):
-            return b"".join(map(self.pieces.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+    def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers the ids of all the pieces. There are two generations: when the young one is full it
+        becomes the old one, whose pieces are forgotten unless they come again."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.old, self.pieces = self.pieces, {}
+        known, old = self.pieces, self.old
+        missing = []
+        for p in pieces.difference(known):
+            ids = old.get(p)
+            if ids is None:
+                missing.append(p)
+            else:
+                known[p] = ids
+        # the pattern cuts between a letter and a mark
+        marked = {p: core for p in missing if p[-1:] in _MARKS and (core := p.rstrip(".,;:!?"))[-1:].isalpha()}
+        new = [p for p in {*marked.values(), *(p[len(c) :] for p, c in marked.items()), *(p for p in missing if p not in marked)} if p not in known]
+        alone = [p for p in new if p in ("", " ", "\n")]
+        known.update((p, self._whole(p)) for p in alone)
+        new = [p for p in new if p not in ("", " ", "\n")]
+        for a in range(0, len(new), TOGETHER):
+            self._encode(new[a : a + TOGETHER])
+        known.update((p, known[c] + known[p[len(c) :]]) for p, c in marked.items())
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Remembers these; one without a space before it is put after a line feed, whose token isn't its own."""
+        bare = np.array([p[0] != " " for p in pieces])
+        text = "".join([("\n" + p if b else p) for p, b in zip(pieces, bare.tolist(), strict=True)])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.cumsum(self.length[ids])
+        size = np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces))
+        stop = np.searchsorted(ends, np.cumsum(size + bare)) + 1
+        start = np.concatenate([[0], stop[:-1]]) + bare
+        data, w = ids.tobytes(), self.dtype.itemsize
+        self.pieces.update((p, data[a:b]) for p, a, b in zip(pieces, (start * w).tolist(), (stop * w).tolist(), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        simple = [i for i, t in enumerate(texts) if t and self._simple(t)]
+        cut = {i: texts[i].replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for i in simple}
+        done: dict[int, list[bytes]] = {i: [] for i in simple}
+        todo: list[tuple[int, int, int]] = []  # text, and which of its pieces
+        count = 0
+        for i in simple:
+            for a in range(0, len(cut[i]), CACHE_PIECES):
+                b = min(len(cut[i]), a + CACHE_PIECES)
+                if count and count + b - a > 4 * CACHE_PIECES:
+                    self._join(todo, cut, done)
+                    todo, count = [], 0
+                todo.append((i, a, b))
+                count += b - a
+        self._join(todo, cut, done)
+        for i in simple:
+            out[i] = b"".join(done[i])
+        for i, t in enumerate(texts):
+            if t and i not in cut:
+                out[i] = self._whole(t)
+        return out
+
+    def _join(self, todo, cut, done) -> None:
+        self._learn({p for i, a, b in todo for p in cut[i][a:b]})
+        get = self.pieces.__getitem__
+        for i, a, b in todo:
+            done[i].append(b"".join(map(get, cut[i][a:b])))
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -140,6 +194,19 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _place(store, attempt: str, name: str) -> None:
+    """Gives a complete file its name. Where another attempt, which wrote the same bytes, was first and
+    the file system doesn't replace files, this one goes."""
+    try:
+        store.move(attempt, name)
+    except OSError:
+        from pyarrow import fs
+
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(attempt)
+
+
 def _writer(root: str, tokenizer: str, end: int | None):
     def run(batches):
         context = TaskContext.get()
@@ -150,10 +217,10 @@ def _writer(root: str, tokenizer: str, end: int | None):
         enc, offset, tokens, index = encoder(tokenizer), 0, 0, []
         stop = b"" if end is None else np.array([end], enc.dtype).tobytes()
         with store.open_output_stream(f"{attempt}.rec") as out:
-            for batch in batches:
+            for batch in sliced(batches):
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                for doc_id, text in zip(ids, texts, strict=True):
-                    data = enc.encode(text or "") + stop
+                for doc_id, data in zip(ids, enc.encode_all(texts), strict=True):
+                    data += stop
                     record = frame(doc_id, data, enc.dtype.itemsize)
                     out.write(record)
                     index += (offset, tokens)
@@ -162,7 +229,7 @@ def _writer(root: str, tokenizer: str, end: int | None):
         with store.open_output_stream(f"{attempt}.idx") as out:
             out.write(np.array(index, "<u8").tobytes())
         for kind in ("idx", "rec"):
-            store.move(f"{attempt}.{kind}", f"{name}.{kind}")
+            _place(store, f"{attempt}.{kind}", f"{name}.{kind}")
         if index:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "records": [len(index) // 2], "tokens": [tokens], "bytes": [offset]})
 
@@ -184,22 +251,27 @@ def write_records(docs: DataFrame, root: str, tokenizer: str | None = None, end:
 
 
 def _reader(root: str, with_ids: bool):
+    """Of each (shard, first, last): the records that begin in those bytes, some at a time."""
+
     def run(batches):
         store, base = _filesystem(root)
         for batch in batches:
             for shard, start, size, first, last in zip(*[batch.column(c).to_pylist() for c in ("shard", "start", "bytes", "first", "last")], strict=True):
                 name = f"{base}/part-{shard:06d}"
                 with store.open_input_file(f"{name}.idx") as f:
-                    index = np.frombuffer(f.read_at((last - first + 1) * 16, first * 16), "<u8").reshape(-1, 2)
-                begin, stop = int(index[0, 0]), int(index[last - first, 0]) if len(index) > last - first else size
+                    index = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
+                a, b = np.searchsorted(index[:, 0], [first, last]).tolist()
+                if a == b:
+                    continue
+                begin, stop = int(index[a, 0]), int(index[b, 0]) if b < len(index) else size
                 with store.open_input_file(f"{name}.rec") as f:
                     data = memoryview(f.read_at(stop - begin, begin))
                 out = {"doc_id": [], "shard": [], "record": [], "start": [], "n_tokens": [], "ids_crc32": [], "ids": []}
-                for i, (doc_id, ids) in enumerate(parse(data)):
+                for i, (doc_id, ids) in enumerate(parse(data), a):
                     wide = ids.astype("<u4")
                     out["doc_id"].append(doc_id)
                     out["shard"].append(shard)
-                    out["record"].append(first + i)
+                    out["record"].append(i)
                     out["start"].append(start + int(index[i, 1]))
                     out["n_tokens"].append(len(ids))
                     out["ids_crc32"].append(zlib.crc32(wide.tobytes()))
@@ -210,11 +282,11 @@ def _reader(root: str, with_ids: bool):
     return run
 
 
-def read_records(manifest: DataFrame, root: str, with_ids: bool = False, chunk: int = READ_RECORDS) -> DataFrame:
-    """doc_id, shard, record, start, n_tokens, ids_crc32 and, if asked for, ids: chunks of records,
-    found through the index, are dealt out to all tasks."""
-    chunks = manifest.where("records > 0").select("shard", "start", "bytes", "records", F.explode(F.sequence(F.lit(0), ((F.col("records") - 1) / chunk).cast("int"))).alias("c"))
-    chunks = chunks.select("shard", "start", "bytes", (F.col("c") * chunk).cast("long").alias("first"), F.least(F.col("records"), (F.col("c") + 1) * chunk).cast("long").alias("last"))
+def read_records(manifest: DataFrame, root: str, with_ids: bool = False, chunk: int = READ_BYTES) -> DataFrame:
+    """doc_id, shard, record, start, n_tokens, ids_crc32 and, if asked for, ids: ranges of about
+    `chunk` bytes, whose records are found through the index, are dealt out to all tasks."""
+    chunks = manifest.where("records > 0").select("shard", "start", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / chunk).cast("int"))).alias("c"))
+    chunks = chunks.select("shard", "start", "bytes", (F.col("c").cast("long") * chunk).alias("first"), ((F.col("c").cast("long") + 1) * chunk).alias("last"))
     n = 4 * partitions(manifest.sparkSession)
     return chunks.repartition(n).mapInArrow(_reader(root, with_ids), "doc_id long, shard int, record long, start long, n_tokens long, ids_crc32 long, ids array<int>")
 

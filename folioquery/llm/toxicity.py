@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table, texts_of
+from .common import sliced, stored, table, texts_of
 from .quality import SAMPLE, labelled
 
 LEXICON, STEM, TREES, DEPTH, RATE, BINS = 400, 5, 60, 3, 0.2, 32
@@ -56,7 +56,7 @@ class Lexicon:
 
 def _presence(batches):
     """Per batch of (text, _label, half): in how many texts, and texts of label 1, each word and stem is."""
-    for batch in batches:
+    for batch in sliced(batches):
         bad, total = Counter(), Counter()
         for text, label, half in zip(texts_of(batch), batch.column("_label").to_pylist(), batch.column("half").to_pylist(), strict=True):
             words = set(fold_words(text))
@@ -213,7 +213,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _feature_rows(lexicons):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             half = batch.column("half")
             x = pa.array([features_of(t, lexicons[h]) for t, h in zip(texts_of(batch), half.to_pylist(), strict=True)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), half, x], ["doc_id", "_label", "half", "x"])
@@ -246,7 +246,7 @@ def score_texts(docs: DataFrame, model: Model, column: str = "score") -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             scores = pa.array(sent.value.score(texts_of(batch)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, column])
 
