@@ -2,7 +2,8 @@
 
 Toxic documents go, then all but one document of each near-duplicate group, then documents that hold
 a passage of the benchmark; the rest is mixed to its source targets by whole documents, which may
-repeat, and written as token records. All stages but the last return the columns of documents. Each
+repeat, and written as token records. Rows with null or repeated ids, null or empty texts and
+repeated rows each count as rows of their own in all stages; an empty table gives an empty result. All stages but the last return the columns of documents. Each
 stage's result is written as Parquet and read again as the next one's input.
 """
 
@@ -26,9 +27,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, 0.8)."""
-    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(stored(gone, "pipeline-copies"), "doc_id", "left_anti")
+    """Keeps one row, of the smallest doc_id, of each group of near-duplicates (five-word shingles, 0.8);
+    all rows without words. Rows are told apart by a key of their own, so null and repeated ids are
+    judged row by row; among rows of one group a null id counts as the largest."""
+    rows = stored(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "pipeline-dedup-rows")
+    found = near_duplicates(rows.select(F.col("_dedup_row").alias("doc_id"), "text"), k=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_dedup_row"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_dedup_row").alias("at"))
+    members = stored(rows.select("_dedup_row", order.alias("_order")).join(found, "_dedup_row"), "pipeline-dedup-groups")
+    first = members.groupBy("_group").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = members.join(first, "_group").where("_order != _first").select("_dedup_row")
+    return rows.join(stored(gone, "pipeline-copies"), "_dedup_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
