@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,19 @@ TEXT_BYTES = 2 << 20
 M64 = (1 << 64) - 1
 
 
+#: Settings of the Arrow stages that replace Spark's defaults, if the session has these: a batch that
+#: goes to a worker is bounded by a few megabytes.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, (default, ours) in ARROW.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +44,7 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder below the session's `spark.checkpoint.dir`, which all machines share. Where that
     is unset a session with a local master gets a temporary folder once; any other raises, as its
     executors would each write a disk of their own."""
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("folioquery.work.dir", None)
@@ -50,6 +64,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, column: str, tag: str) -> DataFrame:
+    """docs with a column of distinct longs, the same at every reading. Of rows of files it is made of
+    the file's number and the row's place in it, without copying them; others are stored first."""
+    try:
+        files = docs.select("_metadata.file_path").distinct()
+    except AnalysisException:
+        return stored(docs.withColumn(column, F.monotonically_increasing_id()), tag)
+    numbers = {r[0]: i for i, r in enumerate(files.orderBy("file_path").collect())}  # as many as there are files
+    number = docs.sparkSession.createDataFrame(list(numbers.items()), "_keyed_path string, _keyed_file long")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_keyed_path"), F.col("_metadata.row_index").alias("_keyed_at"))
+    key = F.shiftleft("_keyed_file", 40) + F.col("_keyed_at")
+    return rows.join(F.broadcast(number), "_keyed_path").select(*docs.columns, key.alias(column))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import partitions, sliced, stored, table, work_dir
 
 END = 2
-#: Pieces of a generation that a worker remembers the ids of, at about 200 bytes each, and how many
-#: new ones are encoded together.
-CACHE_PIECES, TOGETHER = 250_000, 1000
+#: Pieces of a generation that a worker remembers the ids of, at about 200 bytes each; pieces that are
+#: looked up together, and new ones that are encoded together.
+CACHE_PIECES, STRETCH, TOGETHER = 600_000, 120_000, 1000
 #: About how many bytes of records one read takes, where no single record is longer.
 READ_BYTES = 8 << 20
 _MARKS = frozenset(".,;:!?")
@@ -77,6 +77,7 @@ class Encoder:
         self.cuts = '"ByteLevel"' in self.tokenizer.pre_tokenizer.__getstate__().decode() if self.tokenizer.pre_tokenizer else False
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.remember = CACHE_PIECES
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.length = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # of a token, in bytes
         for token, i in vocab.items():
@@ -91,7 +92,7 @@ class Encoder:
     def _learn(self, pieces: set[str]) -> None:
         """Remembers the ids of all the pieces. There are two generations: when the young one is full it
         becomes the old one, whose pieces are forgotten unless they come again."""
-        if len(self.pieces) > CACHE_PIECES:
+        if len(self.pieces) > self.remember:
             self.old, self.pieces = self.pieces, {}
         known, old = self.pieces, self.old
         missing = []
@@ -131,9 +132,9 @@ class Encoder:
         todo: list[tuple[int, int, int]] = []  # text, and which of its pieces
         count = 0
         for i in simple:
-            for a in range(0, len(cut[i]), CACHE_PIECES):
-                b = min(len(cut[i]), a + CACHE_PIECES)
-                if count and count + b - a > 4 * CACHE_PIECES:
+            for a in range(0, len(cut[i]), STRETCH):
+                b = min(len(cut[i]), a + STRETCH)
+                if count and count + b - a > 4 * STRETCH:
                     self._join(todo, cut, done)
                     todo, count = [], 0
                 todo.append((i, a, b))
@@ -159,9 +160,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary, which from now on remembers so many pieces."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].remember = remember or CACHE_PIECES
     return _ENCODERS[path]
 
 
@@ -207,14 +210,14 @@ def _place(store, attempt: str, name: str) -> None:
         store.delete_file(attempt)
 
 
-def _writer(root: str, tokenizer: str, end: int | None):
+def _writer(root: str, tokenizer: str, end: int | None, remember: int):
     def run(batches):
         context = TaskContext.get()
         shard = context.partitionId()
         store, base = _filesystem(root)
         name = f"{base}/part-{shard:06d}"
         attempt = f"{name}.attempt-{context.taskAttemptId()}"
-        enc, offset, tokens, index = encoder(tokenizer), 0, 0, []
+        enc, offset, tokens, index = encoder(tokenizer, remember), 0, 0, []
         stop = b"" if end is None else np.array([end], enc.dtype).tobytes()
         with store.open_output_stream(f"{attempt}.rec") as out:
             for batch in sliced(batches):
@@ -236,16 +239,17 @@ def _writer(root: str, tokenizer: str, end: int | None):
     return run
 
 
-def write_records(docs: DataFrame, root: str, tokenizer: str | None = None, end: int | None = END, shards: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, root: str, tokenizer: str | None = None, end: int | None = END, shards: int | None = None, remember: int = CACHE_PIECES) -> DataFrame:
     """Writes docs (doc_id, text) below the URI root; returns the stored manifest: shard, records,
-    tokens, bytes and start, the tokens of all shards before."""
+    tokens, bytes and start, the tokens of all shards before. `remember`: pieces of text that a worker
+    remembers the ids of; fewer cost time, more memory."""
     spark = docs.sparkSession
     store, base = _filesystem(root)
     store.create_dir(base, recursive=True)
     n = shards or partitions(spark)
     rows = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(n, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
-    manifest = stored(rows.mapInArrow(_writer(root, tokenizer or default_tokenizer(), end), "shard int, records long, tokens long, bytes long"), "records-manifest")
+    manifest = stored(rows.mapInArrow(_writer(root, tokenizer or default_tokenizer(), end, remember), "shard int, records long, tokens long, bytes long"), "records-manifest")
     # a row a shard
     return manifest.withColumn("start", F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens"))
 
