@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioquery.llm.common import stored, table, work_dir
+from folioquery.llm.common import keyed, stored, table, work_dir
 from folioquery.llm.decontam import uncontaminated
 from folioquery.llm.mixing import mix_targets
 from folioquery.llm.near_dedup import near_duplicates
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, of the smallest doc_id, of each group of near-duplicates (five-word shingles, 0.8);
     all rows without words. Rows are told apart by a key of their own, so null and repeated ids are
     judged row by row; among rows of one group a null id counts as the largest."""
-    rows = stored(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "pipeline-dedup-rows")
+    rows = keyed(docs, "_dedup_row", "pipeline-dedup-rows")
     found = near_duplicates(rows.select(F.col("_dedup_row").alias("doc_id"), "text"), k=5, percent=80)
     found = found.select(F.col("doc_id").alias("_dedup_row"), F.col("component_id").alias("_group"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("_dedup_row").alias("at"))
@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents by the words that the mix takes of them, to the nearest
     number of copies; a document without words isn't taken. Rows are told apart by a key of their own,
     so null and repeated ids are mixed row by row."""
-    rows = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "pipeline-mix-rows")
+    rows = keyed(docs, "_mix_row", "pipeline-mix-rows")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     taken = mix_targets(rows, row="_mix_row").where("size > 0").select("_mix_row", copies.alias("_copies"))
     taken = stored(taken.where("_copies > 0"), "pipeline-mix")
@@ -59,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the corpus as token records and reports what is read back from them."""
     root = work_dir(spark, "pipeline-records")
-    return read_records(write_records(docs, root), root).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_records(write_records(docs, root, remember=100_000), root).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("token_records", token_records)]
