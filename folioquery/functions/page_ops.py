@@ -52,6 +52,16 @@ def components(space, resolve=lambda x: x, depth: int = 0) -> int:
     return 1
 
 
+def entry(d: dict, kind: str, name):
+    """What a page's resources hold under a name; None where the operand is no name."""
+    return d.get(kind, {}).get(name) if isinstance(name, Name) else None
+
+
+def whole(v: float, least: int = -(1 << 31), most: int = (1 << 31) - 1) -> int:
+    """A number as an integer of 32 bits."""
+    return 0 if v != v else int(min(max(v, least), most))
+
+
 def to_rgb(v: list[float]) -> tuple | None:
     v = [min(1.0, max(0.0, x)) for x in v]
     if len(v) == 1:
@@ -114,6 +124,7 @@ class Page:
     def __init__(self, want=("glyph", "path", "image")):
         self.want, self.seq, self.spans = want, 0, 0
         self.runs: list[tuple] = []
+        self.shown: list[tuple] = []
         self.paths: list[tuple] = []
         self.images: list[tuple] = []
         self.span: tuple[int, str] | None = None
@@ -146,7 +157,7 @@ class Page:
             elif op == b"w":
                 gs.width = num(v, 0, gs.width)
             elif op == b"gs":
-                g = res.get("gs", {}).get(v[0] if v else None, {})
+                g = entry(res, "gs", v[0] if v else None) or {}
                 gs.width, gs.fa, gs.sa, gs.size = g.get("LW", gs.width), g.get("ca", gs.fa), g.get("CA", gs.sa), g.get("size", gs.size)
             elif op in (b"g", b"rg", b"k", b"sc", b"scn", b"G", b"RG", b"K", b"SC", b"SCN"):
                 nums = [float(x) for x in v if isinstance(x, (int, float)) and not isinstance(x, bool)]
@@ -166,7 +177,8 @@ class Page:
                         gs.stroke, gs.ns = c, n
             elif op in (b"cs", b"CS"):
                 name = v[0] if v else None
-                n = res.get("cs", {}).get(name, components(name))
+                n = entry(res, "cs", name)
+                n = components(name) if n is None else n
                 if op == b"cs":
                     gs.fill, gs.nf = (0.0,) * 3, n
                 else:
@@ -206,9 +218,9 @@ class Page:
             elif op == b"Tz":
                 gs.tz = num(v, 0, 100.0) / 100
             elif op == b"Tr":
-                gs.mode = int(num(v))
+                gs.mode = whole(num(v))
             elif op == b"Tf" and v:
-                gs.font, gs.font_name, gs.size = res.get("fonts", {}).get(v[0]), str(v[0]), num(v, 1)
+                gs.font, gs.font_name, gs.size = entry(res, "fonts", v[0]), str(v[0]), num(v, 1)
             elif op in (b"Td", b"TD"):
                 gs.tl = -num(v, 1) if op == b"TD" else gs.tl
                 self._next_line(num(v), num(v, 1))
@@ -222,7 +234,7 @@ class Page:
                 self._image("inline", image, gs, res.get("cs", {}), None)
             elif op in (b"BDC", b"BMC"):
                 props = v[1] if len(v) > 1 else None
-                text = res.get("props", {}).get(props) if isinstance(props, Name) else props.get("ActualText") if isinstance(props, dict) else None
+                text = entry(res, "props", props) if isinstance(props, Name) else props.get("ActualText") if isinstance(props, dict) else None
                 opens = isinstance(text, bytes) and self.span is None
                 if opens:
                     self.spans += 1
@@ -259,6 +271,8 @@ class Page:
         size, turn = math.hypot(trm[2], trm[3]), math.atan2(trm[1], trm[0])
         if "glyph" in self.want:
             self.runs.append((self.seq, codes, texts, x, y, advance * math.hypot(m[0], m[1]), size, turn, gs.mode, gs.fill, gs.fa, gs.font_name, font["base"], font["flags"], self.span, trm))
+        if "run" in self.want:
+            self._run_rows(texts, x, y, advance * math.hypot(m[0], m[1]), size, turn, gs.mode)
         if font["procs"]:
             for i, c in enumerate(codes.tolist()):
                 self.seq += 1
@@ -272,8 +286,28 @@ class Page:
             self.seq += len(codes)
         self.tm = concat((1.0, 0.0, 0.0, 1.0, float(pen[-1]), 0.0), self.tm)
 
+    def _run_rows(self, texts, x, y, advance, size: float, turn: float, mode: int) -> None:
+        """A shown string as one row: its pen goes on without gaps, so there are no generated spaces and
+        no line breaks inside, unless it steps back; then each glyph is a row."""
+        text = "".join(texts)
+        if (advance < 0).any() and len(texts) > 1:
+            parts = [slice(i, i + 1) for i in range(len(texts))]
+        else:
+            parts = [slice(0, len(texts))]
+        for k, cut in enumerate(parts):
+            some, a, b = (text if len(parts) == 1 else texts[cut.start]), cut.start, cut.stop
+            if some and "\u00ad" not in some and len(some) == b - a:  # every glyph has a character
+                first, last = a, b - 1
+            else:
+                seen = [i for i in range(a, b) if texts[i].replace("\u00ad", "")]
+                first, last = (seen[0], seen[-1]) if seen else (None, None)
+            if self.span:
+                first = last = a
+            at = lambda v, i: None if i is None else float(v[i])
+            self.shown.append((self.seq + k, some, self.span, float(x[a]), float(y[a]), at(x, first), at(y, first), at(x, last), at(y, last), float(x[b]), float(y[b]), float(y[b - 1]), texts[b - 1], first == a, b - a, size, turn, mode))
+
     def _object(self, res: dict, name: str, gs: State, depth: int) -> None:
-        x = res.get("objects", {}).get(name)
+        x = entry(res, "objects", name)
         if x is None:
             return
         if x["kind"] == "image":
@@ -287,10 +321,15 @@ class Page:
             self.tm, self.line = tm, line
             x["open"] = False
 
+    @staticmethod
+    def _components(spaces: dict, space) -> int:
+        known = entry({"cs": spaces}, "cs", space)
+        return components(space) if known is None else known
+
     def _image(self, name: str, s: Stream, gs: State, spaces: dict, num: int | None) -> None:
         d = s.dict
         w, h = d.get("Width"), d.get("Height")
-        if not isinstance(w, int) or not isinstance(h, int) or w <= 0 or h <= 0:
+        if not isinstance(w, int) or not isinstance(h, int) or not 0 < w < 1 << 31 or not 0 < h < 1 << 31:
             return
         data, codec = None, None
         if num is None:
@@ -300,7 +339,7 @@ class Page:
                 return
         mask = d.get("ImageMask") is True
         bpc = d.get("BitsPerComponent")
-        n = 1 if mask else d.get("_n") or spaces.get(d.get("ColorSpace"), components(d.get("ColorSpace")))
+        n = 1 if mask else d.get("_n") or self._components(spaces, d.get("ColorSpace"))
         ctm = concat((1.0, 0.0, 0.0, -1.0, 0.0, 1.0), gs.ctm)
         if "image" in self.want:
             self.images.append((self.seq, name, ctm, corners(gs.ctm, (0, 0, 1, 1)), w, h, mask, 1 if mask else min(16, max(1, bpc if isinstance(bpc, int) else 8)), n, gs.fill, gs.fa, num, data, codec))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .text import key_of, with_boxes
 
 
 def page_boxes(opened: DataFrame) -> DataFrame:
@@ -17,34 +18,31 @@ def page_boxes(opened: DataFrame) -> DataFrame:
     pages = pages.withColumn("rotation", (F.floor(F.pmod(F.col("rotate"), F.lit(360)) / 90) * 90).cast("int"))
     turned = F.col("rotation").isin(90, 270)
     w, h = g.width(F.col("crop_box")), g.height(F.col("crop_box"))
-    return pages.select("doc_id", "page_index", "media_box", "crop_box", "rotation", F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
+    return pages.select("doc_row", "doc_id", "page_index", "media_box", "crop_box", "rotation", F.when(turned, h).otherwise(w).alias("width"), F.when(turned, w).otherwise(h).alias("height"))
 
 
 def page_matrix(crop: Column, rotation: Column, scale: float) -> Column:
     """From page space to a y-down raster: crop corner to the origin, flip, rotate, scale."""
-    w, h = g.width(crop), g.height(crop)
-    flip = g.concat(g.translation(-crop["x0"], -crop["y0"]), g.matrix(F.lit(1.0), 0, 0, F.lit(-1.0), 0, h))
-    turn = (
-        F.when(rotation == 90, g.matrix(0, 1, -1, 0, h, F.lit(0.0)))
-        .when(rotation == 180, g.matrix(-1, 0, 0, -1, w, h))
-        .when(rotation == 270, g.matrix(0, -1, 1, 0, F.lit(0.0), w))
-        .otherwise(g.matrix(1, 0, 0, 1, 0, 0))
-    )
-    return g.concat(g.concat(flip, turn), g.scaling(scale, scale))
+    at = lambda *by_turn: sum((F.when(rotation == 90 * k, v).otherwise(0.0) for k, v in enumerate(by_turn)), F.lit(0.0)) * scale
+    one, none = F.lit(1.0), F.lit(0.0)
+    return g.matrix(
+        at(one, none, -one, none), at(none, one, none, -one), at(none, one, none, -one), at(-one, none, one, none),
+        at(-crop["x0"], -crop["y0"], crop["x1"], crop["y1"]), at(crop["y1"], -crop["x0"], -crop["y0"], crop["x1"]),
+    )
 
 
 def likely_scanned(pages: DataFrame, glyphs: DataFrame, images: DataFrame, most_glyphs: int = 32, share: float = 0.5) -> DataFrame:
     """(doc_id, page_index, is_likely_scanned): little text, and one image over most of the page."""
-    key = ["doc_id", "page_index"]
+    key = list(key_of(pages))
     text = glyphs.where(F.trim("text") != "").groupBy(*key).agg(F.count(F.lit(1)).alias("n_text"))
     boxes = pages.select(*key, "crop_box")
     seen = images.join(boxes, key).select(*key, (g.area(g.intersect(g.rect_of(F.col("bbox")), F.col("crop_box"))) / g.area(F.col("crop_box"))).alias("cover"))
     cover = seen.groupBy(*key).agg(F.max("cover").alias("cover"))
-    all_pages = pages.select(*key).join(text, key, "left").join(cover, key, "left")
-    return all_pages.select(*key, ((F.coalesce("n_text", F.lit(0)) <= most_glyphs) & (F.coalesce("cover", F.lit(0.0)) >= share)).alias("is_likely_scanned"))
+    all_pages = pages.select(*key, *(["doc_id"] if "doc_id" not in key else [])).join(text, key, "left").join(cover, key, "left")
+    return all_pages.select("doc_id", "page_index", ((F.coalesce("n_text", F.lit(0)) <= most_glyphs) & (F.coalesce("cover", F.lit(0.0)) >= share)).alias("is_likely_scanned"))
 
 
 def in_region(primitives: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
-    """Rows whose bbox (an array) touches the region: the native pruning before any rasterising."""
+    """Rows whose bbox (an array; of glyphs the nominal one) touches the region."""
     b = F.col("bbox")
-    return primitives.where((b[0] <= x1) & (b[2] >= x0) & (b[1] <= y1) & (b[3] >= y0))
+    return with_boxes(primitives).where((b[0] <= x1) & (b[2] >= x0) & (b[1] <= y1) & (b[3] >= y0))

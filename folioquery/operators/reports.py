@@ -19,10 +19,12 @@ def font_coverage(glyphs: DataFrame, samples: int = 12) -> DataFrame:
 
 
 def totals(primitives: DataFrame) -> DataFrame:
-    """Per document: glyphs, paths, images and its fonts."""
-    return primitives.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("glyph", "path", "image")], F.array_sort(F.collect_set(F.when(F.col("base_font") != "", F.col("base_font")))).alias("fonts"))
+    """Per document, a row of files: glyphs, paths, images and its fonts."""
+    ids = [c for c in ("doc_row", "doc_id") if c in primitives.columns]
+    return primitives.groupBy(*ids).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("glyph", "path", "image")], F.array_sort(F.collect_set(F.when(F.col("base_font") != "", F.col("base_font")))).alias("fonts"))
 
 
+# Ligatures and dashes that count as plain letters and hyphens, and what a word is.
 def words_of(text: Column) -> Column:
     """Comparable words: ligatures and dashes folded, soft hyphens gone, lower case."""
     for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("­", "")):
@@ -32,16 +34,25 @@ def words_of(text: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), lambda i: F.concat_ws(" ", F.element_at(words, i), F.try_element_at(words, i + 1))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 1)), lambda i: F.concat_ws(" ", F.try_element_at(words, i), F.try_element_at(words, i + 1))))
 
 
 def agreement(pairs: DataFrame, least_words: int = 50) -> DataFrame:
     """pairs: id, ours, reference. Bigram recall, word Jaccard, length ratio and a verdict; references
-    of fewer than least_words words are skipped (verdict null)."""
+    of fewer than least_words words are skipped (verdict null); figures that a side without words
+    leaves open are null, and null texts have no words."""
+    pairs = pairs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("ours", "reference")})
     df = pairs.select("id", words_of(F.col("ours")).alias("o"), words_of(F.col("reference")).alias("r"))
     ob, rb = _bigrams(F.col("o")), _bigrams(F.col("r"))
-    recall = F.size(F.array_intersect(rb, ob)) / F.size(rb)
-    jaccard = F.size(F.array_intersect("r", "o")) / F.size(F.array_union("r", "o"))
-    df = df.select("id", F.size("r").alias("n_words"), F.round(recall, 4).alias("bigram_recall"), F.round(jaccard, 4).alias("jaccard"), F.round(F.size("o") / F.size("r"), 4).alias("length_ratio"))
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    recall = F.when(F.size("r") > 0, share(F.size(F.array_intersect(rb, ob)), F.size(rb)))
+    jaccard = share(F.size(F.array_intersect("r", "o")), F.size(F.array_union("r", "o")))
+    df = df.select("id", F.size("r").alias("n_words"), F.round(recall, 4).alias("bigram_recall"), F.round(jaccard, 4).alias("jaccard"), F.round(share(F.size("o"), F.size("r")), 4).alias("length_ratio"))
     verdict = F.when(F.col("n_words") < least_words, None).when(F.col("bigram_recall") >= 0.80, "ok").when(F.col("bigram_recall") >= 0.55, "WEAK").otherwise("DIVERGENT")
     return df.withColumn("verdict", verdict)
+
+
+def mean_agreement(rows: DataFrame) -> DataFrame:
+    """The means over the documents that have a verdict, and how many these are."""
+    judged = F.col("verdict").isNotNull()
+    return rows.agg(F.count_if(judged).alias("n_docs"), *[F.avg(F.when(judged, F.col(c))).alias(c) for c in ("bigram_recall", "jaccard")])

@@ -1,7 +1,9 @@
 """Text assembly over glyph rows, all in windows of one page: replacement spans, word gaps, lines.
 
-A page's glyphs are shuffled once by (doc_id, page_index) and sorted once by paint order; generated
-spaces, line breaks and the page text come from that order without another exchange.
+A page's runs (shown strings) or glyphs are shuffled once by file row and page and sorted once by
+paint order; generated spaces, line breaks and the page text come from that order without another
+exchange. Rows without text add nothing; pages without rows don't appear; rows of equal doc_ids are
+files of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,15 @@ SAME_LINE_EM, GAP_EM, LINE_EM, TURN = 0.10, 0.12, 0.55, 0.01
 #: White space as Unicode has it, for character classes, and characters that a replacement drops.
 SPACE = r"\u0009-\u000D \u0085   -     　"
 _DROPPED = "­​‎‏⁠﻿"
-KEY = ("doc_id", "page_index")
+
+
+def key_of(df: DataFrame) -> tuple[str, str]:
+    """What tells pages apart: rows of files, where they are known, as doc_ids may repeat or be null."""
+    return ("doc_row" if "doc_row" in df.columns else "doc_id", "page_index")
+
+
+def _ids(df: DataFrame) -> list[str]:
+    return [c for c in ("doc_row", "doc_id") if c in df.columns]
 
 
 def replacement(text: Column) -> Column:
@@ -34,46 +44,77 @@ def _breaks(prev: Column, x: Column, y: Column, size: Column, rotation: Column)
 
 
 def assembled(glyphs: DataFrame) -> DataFrame:
-    """Glyph rows with `text`, `gap` (a space is generated before it), and line breaks before the
-    generated space and before the glyph."""
-    w = W.partitionBy(*KEY).orderBy("seq")
+    """Glyph or run rows with `text`, `gap` (a space is generated before it), and line breaks before the
+    generated space and before the text."""
+    own = {"tx": F.col("x"), "ty": F.col("y"), "lx": F.col("x"), "ly": F.col("y"), "ey": F.col("y"), "last_text": F.col("own_text"), "starts": F.lit(True)}
+    # a glyph is a run of one
+    glyphs = glyphs.withColumns({c: F.coalesce(F.col(c), v) if c in glyphs.columns else v for c, v in own.items()})
+    w = W.partitionBy(*key_of(glyphs)).orderBy("seq")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     in_span = F.col("span").isNotNull()
     first = in_span & ~F.coalesce(F.lag("span").over(w) == F.col("span"), F.lit(False))
-    df = glyphs.withColumn("text", F.when(in_span, F.when(first, replacement(F.col("span_text"))).otherwise("")).otherwise(F.translate("own_text", "­", "")))
-    df = df.withColumns({"_px": F.lag("end_x").over(w), "_py": F.lag("y").over(w), "_pey": F.lag("end_y").over(w), "_ps": F.lag("size").over(w)})
+    df = glyphs.withColumn("text", F.when(in_span, F.when(first, replacement(F.col("span_text"))).otherwise("")).otherwise(F.translate("own_text", "\u00ad", "")))
+    df = df.withColumns({"_px": F.lag("end_x").over(w), "_py": F.lag("ey").over(w), "_pey": F.lag("end_y").over(w), "_ps": F.lag("size").over(w)})
     text = F.col("text")
-    ended = F.when(in_span & (text == ""), F.lit(None)).when(in_span, text.rlike(rf"[{SPACE}]$")).otherwise(text.rlike(rf"^[{SPACE}]*$"))
+    last = F.translate("last_text", "\u00ad", "")
+    ended = F.when(in_span & (text == ""), F.lit(None)).when(in_span, text.rlike(rf"[{SPACE}]$")).otherwise(last.rlike(rf"^[{SPACE}]*$"))
     df = df.withColumn("_ended", ended).withColumn("_spaced", F.coalesce(F.last("_ended", ignorenulls=True).over(before), F.lit(False)))
-    gap = (text != "") & (F.abs(F.col("y") - F.col("_py")) <= SAME_LINE_EM * F.col("_ps")) & (F.col("_ps") > 0) & (F.col("x") - F.col("_px") > GAP_EM * F.col("_ps")) & ~F.col("_spaced") & ~text.rlike(rf"^[{SPACE}]")
+    gap = F.col("starts") & (text != "") & (F.abs(F.col("y") - F.col("_py")) <= SAME_LINE_EM * F.col("_ps")) & (F.col("_ps") > 0) & (F.col("x") - F.col("_px") > GAP_EM * F.col("_ps")) & ~F.col("_spaced") & ~text.rlike(rf"^[{SPACE}]")
     df = df.withColumn("gap", F.coalesce(gap, F.lit(False)))
-    here = F.struct("x", "y", "size", "rotation")
-    df = df.withColumn("_last", F.last(F.when(text != "", here), ignorenulls=True).over(before))
+    at = F.struct(F.col("lx").alias("x"), F.col("ly").alias("y"), "size", "rotation")
+    df = df.withColumn("_last", F.last(F.when(text != "", at), ignorenulls=True).over(before))
     space = F.struct(F.col("_px").alias("x"), F.col("_pey").alias("y"), F.col("_ps").alias("size"), F.col("rotation"))
     df = df.withColumn("break_space", F.col("gap") & _breaks(F.col("_last"), space["x"], space["y"], space["size"], space["rotation"]))
     prev = F.when(F.col("gap"), space).otherwise(F.col("_last"))
-    return df.withColumn("break_glyph", (text != "") & _breaks(prev, F.col("x"), F.col("y"), F.col("size"), F.col("rotation")))
+    return df.withColumn("break_glyph", (text != "") & _breaks(prev, F.col("tx"), F.col("ty"), F.col("size"), F.col("rotation")))
 
 
 def page_text(glyphs: DataFrame) -> DataFrame:
-    """(doc_id, page_index, text) of the pages that have glyphs, in content order."""
+    """(doc_row, doc_id, page_index, text) of the pages that have glyphs or runs, in content order."""
     line = F.lit("\n")
     piece = F.concat(F.when(F.col("break_space"), line).otherwise(""), F.when(F.col("gap"), " ").otherwise(""), F.when(F.col("break_glyph"), line).otherwise(""), "text")
-    rows = assembled(glyphs).select(*KEY, "seq", piece.alias("piece")).where("piece != ''")
-    return rows.groupBy(*KEY).agg(F.expr("listagg(piece, '') within group (order by seq)").alias("text"))
+    ids, key = _ids(glyphs), key_of(glyphs)
+    rows = assembled(glyphs).select(*ids, "page_index", "seq", piece.alias("piece")).where("piece != ''")
+    found = rows.groupBy(*key).agg(F.first("doc_id").alias("_doc"), F.expr("listagg(piece, '') within group (order by seq)").alias("text"))
+    return found.select(*([key[0]] if key[0] != "doc_id" else []), F.col("_doc").alias("doc_id"), "page_index", "text")
+
+
+def nominal_box(x: Column, y: Column, end_x: Column, end_y: Column, size: Column, turn: Column) -> Column:
+    """The bounds of a glyph's em box: from its origin to the next, 0.2 em below and 0.8 above, turned."""
+    up = (-F.sin(turn) * size, F.cos(turn) * size)
+    xs = [p + up[0] * k for p in (x, end_x) for k in (-0.2, 0.8)]
+    ys = [p + up[1] * k for p in (y, end_y) for k in (-0.2, 0.8)]
+    return F.array(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+
+
+def with_boxes(primitives: DataFrame) -> DataFrame:
+    """Glyph rows, which have no outline here, get their nominal box as bbox."""
+    box = nominal_box(*[F.col(c) for c in ("x", "y", "end_x", "end_y", "size", "rotation")])
+    return primitives.withColumn("bbox", F.when(F.col("kind") == "glyph", box).otherwise(F.col("bbox"))) if "bbox" in primitives.columns else primitives.withColumn("bbox", box)
 
 
-def with_spaces(glyphs: DataFrame) -> DataFrame:
-    """The glyph table: one row a glyph and a row before it for each generated space. `ord` counts
-    these and all other primitives' `seq`, a space coming just before its glyph: 2 seq + 1, 2 seq."""
+def with_spaces(primitives: DataFrame) -> DataFrame:
+    """The glyph table: one row a glyph and a row before it for each generated space, which lies between
+    the pen and the glyph and has the glyph's font and colour. `ord` numbers these in paint order,
+    without holes, together with the paths and images among the primitives."""
+    has = "kind" in primitives.columns
+    glyphs = primitives.where("kind = 'glyph'") if has else primitives
+    ids, key = _ids(primitives), key_of(primitives)
     df = assembled(glyphs)
+    order = W.partitionBy(*key).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    if has:
+        others = primitives.where("kind != 'glyph'").select(*ids, "page_index", "seq").withColumn("gap", F.lit(False))
+        df = df.unionByName(others, allowMissingColumns=True)
+    df = df.withColumn("_ord", (F.row_number().over(W.partitionBy(*key).orderBy("seq")) - 1 + F.sum(F.col("gap").cast("int")).over(order)).cast("int")).where("text is not null")
     made = F.struct(
-        F.lit(" ").alias("text"), F.lit(True).alias("is_generated_space"), (2 * F.col("seq")).alias("ord"), F.col("_px").alias("x"), F.col("_pey").alias("y"), (F.col("x") - F.col("_px")).alias("advance"), F.col("_ps").alias("size")
-    )
-    own = F.struct("text", F.lit(False).alias("is_generated_space"), (2 * F.col("seq") + 1).alias("ord"), "x", "y", "advance", "size")
+        F.lit(" ").alias("text"), F.lit(True).alias("is_generated_space"), (F.col("_ord") - 1).alias("ord"), F.col("_px").alias("x"), F.col("_pey").alias("y"), (F.col("x") - F.col("_px")).alias("advance"), F.col("_ps").alias("size"),
+        F.array(F.least("_px", "x"), F.col("_py"), F.greatest("_px", "x"), F.col("_py") + F.col("_ps")).alias("bbox"),
+    )
+    box = nominal_box(*[F.col(c) for c in ("x", "y", "end_x", "end_y", "size", "rotation")])
+    own = F.struct("text", F.lit(False).alias("is_generated_space"), F.col("_ord").alias("ord"), "x", "y", "advance", "size", box.alias("bbox"))
     rows = df.withColumn("_g", F.explode(F.when(F.col("gap"), F.array(made, own)).otherwise(F.array(own))))
     kept = [c for c in ("rotation", "mode", "code", "font_name", "base_font", "flags", "fill", "fill_alpha") if c in glyphs.columns]
-    return rows.select(*KEY, "_g.*", *kept)
+    return rows.select(*ids, "page_index", "_g.*", *kept)
 
 
 def visible(glyphs: DataFrame) -> DataFrame:
@@ -81,5 +122,7 @@ def visible(glyphs: DataFrame) -> DataFrame:
 
 
 def document_text(pages: DataFrame) -> DataFrame:
-    """(doc_id, text): pages in order, parted by form feeds."""
+    """(doc_row, doc_id, text): pages in order, parted by form feeds."""
+    if "doc_row" in pages.columns:
+        return pages.groupBy("doc_row").agg(F.first("doc_id").alias("doc_id"), F.expr("listagg(text, '\u000C') within group (order by page_index)").alias("text"))
     return pages.groupBy("doc_id").agg(F.expr("listagg(text, '\u000C') within group (order by page_index)").alias("text"))

@@ -2,6 +2,10 @@
 
 The given tables hold no PDFs, so every query first writes whole tables as PDF files, in Spark, and
 then reads those files with the engine; its SQL works on the tables alone.
+
+In all of them: a null or empty text gives a file with an empty page, which has no row where the result is
+of glyphs or texts; repeated rows are files of their own; empty tables give no rows; texts of any length
+and any characters are written and read whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -12,10 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import pages as page_ops
 from ..operators import reports, text
-from ..sources.pdf import TEXT_COLUMNS, documents, open_documents, page_primitives
-from ..sources.pdf_writer import files, in_pages, show_lines
+from ..sources.pdf import RUN_COLUMNS, TEXT_COLUMNS, documents, open_documents, page_primitives
+from ..sources.pdf_writer import files, in_pages, show_lines, shown
+from ..sources.store import stored
 
-LINES = 50
+#: Lines of a page, and rows of a table that one task writes as files.
+LINES, ROWS = 50, 4096
 GLYPHS = ("glyph",)
 _LINES_SQL = f"""
 l AS (SELECT doc_id, string_split(replace(text, chr(173), '-'), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
@@ -35,10 +41,12 @@ def query(sql: str | None = None):
     return register
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _table(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
     """Writing and reading files is work for the CPU, and a table may come as a few row groups: its
-    rows are dealt out to all cores before."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(2 * spark.sparkContext.defaultParallelism)
+    rows are dealt out to tasks of about ROWS rows, and to all cores at least; by `keys` where it is grouped by them after, which
+    then needs no other shuffle. The count reads footers only."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-df.count() // ROWS)), *keys)
 
 
 def _pages_of(df: DataFrame, column: str = "text", per_page: int = LINES) -> DataFrame:
@@ -46,6 +54,11 @@ def _pages_of(df: DataFrame, column: str = "text", per_page: int = LINES) -> Dat
     return df.where(F.col(column).isNotNull()).withColumn("pages", pages)
 
 
+def _runs(opened: DataFrame) -> DataFrame:
+    """Shown strings, which are all that page texts need."""
+    return page_primitives(opened, ("run",), RUN_COLUMNS)
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as opened PDF files."""
     return open_documents(files(_pages_of(_table(spark, sf_dir, "documents")).select("doc_id", "pages")))
@@ -57,26 +70,32 @@ def _glyphs(opened: DataFrame, columns: tuple[str, ...] | None = TEXT_COLUMNS) -
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, page_index, text FROM t WHERE text <> ''")
 def pdf_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.page_text(_glyphs(_corpus(spark, sf_dir)))
+    """The text of each page that has any."""
+    return text.page_text(_runs(_corpus(spark, sf_dir))).select("doc_id", "page_index", "text")
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, string_agg(text, chr(12) ORDER BY page_index) AS text FROM t WHERE text <> '' GROUP BY doc_id")
 def pdf_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.document_text(text.page_text(_glyphs(_corpus(spark, sf_dir))))
+    """Pages parted by form feeds."""
+    return text.document_text(text.page_text(_runs(_corpus(spark, sf_dir)))).select("doc_id", "text")
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, count(*)::INT AS page_count, false AS recovered, false AS encrypted, 0::BIGINT AS header_offset FROM t GROUP BY doc_id")
 def pdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page counts, and how each file was opened."""
     return documents(_corpus(spark, sf_dir)).select("doc_id", "page_count", "recovered", "encrypted", "header_offset")
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, sum(length(replace(text, chr(10), '')))::BIGINT AS n_glyphs, 0::BIGINT AS n_paths, 0::BIGINT AS n_images, 'Helvetica' AS fonts FROM t GROUP BY doc_id HAVING sum(length(text)) > 0")
 def pdf_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.totals(page_primitives(_corpus(spark, sf_dir))).withColumn("fonts", F.array_join("fonts", ","))
+    """Primitives by kind, and fonts, of each document."""
+    found = reports.totals(page_primitives(_corpus(spark, sf_dir), columns=("doc_row", "doc_id", "kind", "base_font")))
+    return found.withColumn("fonts", F.array_join("fonts", ",")).drop("doc_row")
 
 
 @query(f"WITH {_LINES_SQL}, c AS (SELECT unnest(string_split(replace(text, chr(10), ''), '')) AS glyph FROM t) SELECT glyph, count(*)::BIGINT AS n FROM c WHERE glyph <> '' GROUP BY glyph")
 def pdf_glyph_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each character is shown."""
     return _glyphs(_corpus(spark, sf_dir), ("own_text",)).groupBy(F.col("own_text").alias("glyph")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,40 +116,40 @@ FROM lineitem GROUP BY l_orderkey"""
 )
 def pdf_generated_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a table placed by position alone: the spaces between them are generated."""
-    cell = lambda x, y, s: F.concat(F.lit(f"BT /F1 10 Tf 1 0 0 1 {x} "), y, F.lit(" Tm <"), F.hex(F.encode(s, "ISO-8859-1")), F.lit("> Tj ET\n"))
+    cell = lambda x, y, s: F.concat(F.lit(f"BT /F1 10 Tf 1 0 0 1 {x} "), y, F.lit(" Tm "), shown(s), F.lit(" ET\n"))
     keys = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
-    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("rows"))
+    rows = _table(spark, sf_dir, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*keys))).alias("rows"))
 
     def line(r, i):
         y = (F.lit(760) - 14 * i).cast("string")
         return F.concat(cell(72, y, r["l_partkey"].cast("string")), cell(200, y, r["l_suppkey"].cast("string")), cell(330, y, F.concat(r["l_returnflag"], r["l_linestatus"])))
 
     df = rows.select("doc_id", F.array(F.array_join(F.transform("rows", line), "")).alias("pages"))
-    return text.page_text(_glyphs(open_documents(files(df)))).select("doc_id", "text")
+    return text.page_text(_runs(open_documents(files(df)))).select("doc_id", "text")
 
 
 @query("SELECT l_orderkey AS doc_id, string_agg(CASE WHEN round(l_discount * 100) * 31 > 120 THEN 'A B' ELSE 'AB' END, chr(10) ORDER BY l_linenumber, round(l_discount * 100)) AS text FROM lineitem GROUP BY l_orderkey")
 def pdf_kerning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offsets inside a string: over 0.12 em they part words, below they are kerning."""
-    rows = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.round(F.col("l_discount") * 100).cast("int").alias("d")))).alias("rows"))
+    rows = _table(spark, sf_dir, "lineitem", "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.round(F.col("l_discount") * 100).cast("int").alias("d")))).alias("rows"))
     line = lambda r: F.concat(F.lit("[(A) "), (-31 * r["d"]).cast("string"), F.lit(" (B)] TJ T*\n"))
     df = rows.select("doc_id", F.array(F.concat(F.lit("BT /F1 10 Tf 14 TL 72 760 Td\n"), F.array_join(F.transform("rows", line), ""), F.lit("ET"))).alias("pages"))
-    return text.page_text(_glyphs(open_documents(files(df)))).select("doc_id", "text")
+    return text.page_text(_runs(open_documents(files(df)))).select("doc_id", "text")
 
 
 @query("SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations WHERE text <> ''")
 def pdf_actual_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the replacement text of a span over two mute glyphs; line feeds become spaces."""
-    df = _table(spark, sf_dir, "conversations").where("text <> ''").withColumn("doc_id", F.xxhash64("conv_id", "turn", "text"))
+    df = stored(_table(spark, sf_dir, "conversations").where("text <> ''").withColumn("doc_id", F.monotonically_increasing_id()), "pdf-turns")
     span = F.concat(F.lit("/Span << /ActualText <FEFF"), F.hex(F.encode("text", "UTF-16BE")), F.lit("> >> BDC BT /F1 10 Tf 72 742 Td (xy) Tj ET EMC"))
     opened = open_documents(files(df.select("doc_id", F.array(span).alias("pages"))))
-    return df.select("conv_id", "turn", "doc_id").join(text.page_text(_glyphs(opened)), "doc_id").select("conv_id", "turn", "text")
+    return df.select("conv_id", "turn", "doc_id").join(text.page_text(_runs(opened)), "doc_id").select("conv_id", "turn", "text")
 
 
-@query("SELECT d.doc_id, length(replace(text, chr(10), ''))::BIGINT AS n_glyphs, CASE WHEN toxic = 1 THEN 0 ELSE length(replace(text, chr(10), '')) END::BIGINT AS n_visible FROM documents d JOIN labels USING (doc_id) WHERE length(replace(text, chr(10), '')) > 0")
+@query("SELECT d.doc_id, length(replace(text, chr(10), ''))::BIGINT AS n_glyphs, CASE WHEN toxic = 1 THEN 0 ELSE length(replace(text, chr(10), '')) END::BIGINT AS n_visible FROM documents d LEFT JOIN labels USING (doc_id) WHERE length(replace(text, chr(10), '')) > 0")
 def pdf_visible_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents, toxic ones in an invisible render mode."""
-    df = _pages_of(_table(spark, sf_dir, "documents")).join(_table(spark, sf_dir, "labels"), "doc_id")
+    """All documents, those labelled toxic in an invisible render mode."""
+    df = _pages_of(_table(spark, sf_dir, "documents")).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"), "doc_id", "left")
     hidden = F.transform("pages", lambda p: F.concat(F.when(F.col("toxic") == 1, F.lit("3 Tr ")).otherwise(""), p))
     seen = _glyphs(open_documents(files(df.select("doc_id", hidden.alias("pages")))))
     return seen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_glyphs"), F.count_if(~F.col("mode").isin(3, 7)).alias("n_visible"))
@@ -142,21 +161,21 @@ def pdf_scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = lambda w, h: F.lit(f"q {w} 0 0 {h} 0 0 cm BI /W 1 /H 1 /CS /G /BPC 8 ID x EI Q\n")
     label = show_lines(F.array("url"))
     page = F.when(F.col("page_id") % 3 == 0, image(612, 792)).when(F.col("page_id") % 3 == 1, F.concat(image(600, 700), label)).otherwise(F.concat(image(100, 100), label))
-    opened = open_documents(files(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.array(page).alias("pages"))))
+    opened = stored(open_documents(files(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.array(page).alias("pages")))), "pdf-opened")
     prims = page_primitives(opened, ("glyph", "image"))
     glyphs = text.assembled(prims.where("kind = 'glyph'"))
     return page_ops.likely_scanned(page_ops.page_boxes(opened), glyphs, prims.where("kind = 'image'")).select("doc_id", "is_likely_scanned")
 
 
-_POLY = "SELECT vec_id AS doc_id, [round(x::DOUBLE * 100 + 300, 2) FOR x IN embedding[1:32]] AS xs, [round(x::DOUBLE * 100 + 300, 2) FOR x IN embedding[33:64]] AS ys FROM embeddings WHERE len(embedding) = 64"
+_POLY = "SELECT vec_id AS doc_id, [round(x::DOUBLE * 100 + 300, 2) FOR x IN embedding[1:len(embedding) // 2]] AS xs, [round(x::DOUBLE * 100 + 300, 2) FOR x IN embedding[len(embedding) // 2 + 1:len(embedding) // 2 * 2]] AS ys FROM embeddings WHERE len(embedding) > 1"
 
 
 @query(f"SELECT doc_id, round(list_min(xs), 2) AS x0, round(list_min(ys), 2) AS y0, round(list_max(xs), 2) AS x1, round(list_max(ys), 2) AS y1, len(xs)::INT AS n_cmds FROM ({_POLY})")
 def pdf_path_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as polylines, 32 points each."""
-    v = _table(spark, sf_dir, "embeddings").where("size(embedding) = 64")
+    """Embeddings as polylines: the first half has the points' x, the second their y. One number is no point."""
+    v = _table(spark, sf_dir, "embeddings").where("size(embedding) > 1").withColumn("half", F.floor(F.size("embedding") / 2).cast("int"))
     at = lambda i: F.format_string("%.2f", F.round(F.element_at("embedding", i).cast("double") * 100 + 300, 2))
-    path = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.concat(at(i), F.lit(" "), at(i + 32), F.when(i == 1, F.lit(" m\n")).otherwise(" l\n")))
+    path = F.transform(F.sequence(F.lit(1), F.col("half")), lambda i: F.concat(at(i), F.lit(" "), at(i + F.col("half")), F.when(i == 1, F.lit(" m\n")).otherwise(" l\n")))
     df = v.select(F.col("vec_id").alias("doc_id"), F.array(F.concat(F.array_join(path, ""), F.lit("S"))).alias("pages"))
     b = F.col("bbox")
     return page_primitives(open_documents(files(df)), ("path",)).select("doc_id", *[F.round(b[i], 2).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.size("cmds").alias("n_cmds"))
@@ -181,6 +200,7 @@ def pdf_path_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN p_size % 2 = 1 THEN 100.0 + p_size ELSE 500.0 END AS height FROM part"""
 )
 def pdf_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with corners in any order and turned by multiples of 90."""
     df = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(F.lit("")).alias("pages"), F.concat(F.lit("0 500 "), (F.col("p_size") + 100).cast("string"), F.lit(" 0")).alias("box"), (F.col("p_size") % 4 * 90 - 360).alias("rotate"))
     return page_ops.page_boxes(open_documents(files(df))).select("doc_id", "rotation", "width", "height")
 
@@ -188,10 +208,10 @@ def pdf_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS doc_id, max_by(o_orderkey, (o_orderdate, o_orderkey))::VARCHAR AS text FROM orders GROUP BY o_custkey")
 def pdf_latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as incremental updates of one page: the newest cross reference wins."""
-    rows = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("rows"))
+    rows = _table(spark, sf_dir, "orders", "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("rows"))
     pages = F.transform("rows", lambda r: F.array(show_lines(F.array(r["o_orderkey"].cast("string")))))
     df = rows.withColumn("all", pages).select("doc_id", F.col("all")[0].alias("pages"), F.slice("all", 2, 1 << 30).alias("updates"), (F.col("doc_id") % 2 == 0).alias("as_stream"))
-    return text.page_text(_glyphs(open_documents(files(df)))).select("doc_id", "text")
+    return text.page_text(_runs(open_documents(files(df)))).select("doc_id", "text")
 
 
 _ENCODERS = ("FlateDecode", "ASCII85Decode", "ASCIIHexDecode", "RunLengthDecode", "LZWDecode")
@@ -201,15 +221,16 @@ _ENCODERS = ("FlateDecode", "ASCII85Decode", "ASCIIHexDecode", "RunLengthDecode"
 def pdf_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content through each stream filter in turn."""
     df = _pages_of(_table(spark, sf_dir, "documents")).select("doc_id", "pages", F.element_at(F.array(*map(F.lit, _ENCODERS)), (F.pmod("doc_id", F.lit(5)) + 1).cast("int")).alias("encoder"))
-    return text.document_text(text.page_text(_glyphs(open_documents(files(df))))).select("doc_id", F.md5("text").alias("digest"))
+    return text.document_text(text.page_text(_runs(open_documents(files(df))))).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, true AS recovered, count(*)::INT AS page_count, md5(string_agg(text, chr(12) ORDER BY page_index) FILTER (text <> '')) AS digest FROM t GROUP BY doc_id")
 def pdf_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose cross references can't be found are rebuilt by scanning."""
     opened = open_documents(files(_pages_of(_table(spark, sf_dir, "documents")).select("doc_id", "pages"), broken=True))
-    texts = text.document_text(text.page_text(_glyphs(opened)))
-    return documents(opened).join(texts, "doc_id", "left").select("doc_id", "recovered", "page_count", F.md5("text").alias("digest"))
+    opened = stored(opened, "pdf-opened")
+    texts = text.document_text(text.page_text(_runs(opened))).drop("doc_id")
+    return documents(opened).join(texts, "doc_row", "left").select("doc_id", "recovered", "page_count", F.md5("text").alias("digest"))
 
 
 @query("SELECT c_custkey AS doc_id, c_custkey % 3 <> 2 AS encrypted, CASE WHEN c_custkey % 3 = 2 THEN 'Password' END AS error_kind, CASE WHEN c_custkey % 3 <> 2 THEN c_name END AS text FROM customer")
@@ -217,8 +238,8 @@ def pdf_encrypted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encrypted files read with the right password, or with a wrong one, which gives an error row."""
     df = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(show_lines(F.array("c_name"))).alias("pages"), F.col("c_mktsegment").alias("password"))
     wrong = F.when(F.col("doc_id") % 3 == 2, F.lit("?")).otherwise(F.col("password"))
-    opened = open_documents(files(df).withColumn("password", wrong))
-    found = documents(opened).join(text.page_text(_glyphs(opened)).select("doc_id", "text"), "doc_id", "left")
+    opened = stored(open_documents(files(df).withColumn("password", wrong)), "pdf-opened")
+    found = documents(opened).join(text.page_text(_runs(opened)).select("doc_row", "text"), "doc_row", "left")
     return found.select("doc_id", F.coalesce("encrypted", F.lit(False)).alias("encrypted"), "error_kind", "text")
 
 
@@ -230,12 +251,113 @@ def pdf_font_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.font_coverage(text.with_spaces(_glyphs(open_documents(files(df)), None))).select("base_font", "total", "unmapped", "pct", "marked")
 
 
+_WORDS = r"regexp_extract_all(lower(replace({}, chr(173), '')), '[0-9A-Za-z]+(?:[''\-][0-9A-Za-z]+)*')"
+#: Every word of doc_id % 4 = 0 is kept, of the others each tenth, third or second is another one.
+_ALTERED = "array_to_string(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda w, i: CASE WHEN doc_id % 4 <> 0 AND i % (CASE doc_id % 4 WHEN 1 THEN 10 WHEN 2 THEN 3 ELSE 2 END) = 0 THEN 'zzz' ELSE w END), ' ')"
+_AGREED = rf"""w AS (SELECT doc_id AS id, {_WORDS.format("text")} AS r, {_WORDS.format(_ALTERED)} AS o FROM documents WHERE text IS NOT NULL),
+b AS (SELECT id, r, o, list_distinct([array_to_string(r[i:i + 1], ' ') FOR i IN range(1, greatest(2, len(r)))]) AS rb, list_distinct([array_to_string(o[i:i + 1], ' ') FOR i IN range(1, greatest(2, len(o)))]) AS ob FROM w WHERE len(r) > 0),
+f AS (SELECT id, len(r)::INT AS n_words, round(len(list_intersect(rb, ob)) / len(rb), 4) AS bigram_recall, round(len(list_intersect(list_distinct(r), list_distinct(o))) / len(list_distinct(list_concat(r, o))), 4) AS jaccard, round(len(o) / len(r), 4) AS length_ratio FROM b),
+v AS (SELECT *, CASE WHEN n_words < 50 THEN NULL WHEN bigram_recall >= 0.80 THEN 'ok' WHEN bigram_recall >= 0.55 THEN 'WEAK' ELSE 'DIVERGENT' END AS verdict FROM f)"""
+
+
+def _agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against files of them in which some words are others."""
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    every = F.when(F.col("doc_id") % 4 == 1, 10).when(F.col("doc_id") % 4 == 2, 3).otherwise(2)
+    words = F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w, i: F.when((F.col("doc_id") % 4 != 0) & ((i + 1) % every == 0), "zzz").otherwise(w))
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / 12).cast("int")), lambda i: F.array_join(F.slice("_words", i * 12 + 1, 12), " "))
+    made = docs.withColumn("_words", words).withColumn("_lines", lines).withColumn("pages", F.transform(in_pages(F.col("_lines"), LINES), lambda p: show_lines(p)))
+    ours = text.document_text(text.page_text(_runs(open_documents(files(made.select("doc_id", "pages")))))).select(F.col("doc_id").alias("id"), F.translate("text", "\f", "\n").alias("ours"))
+    return reports.agreement(ours.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("reference")), "id")).where("n_words > 0")
+
+
+@query(f"WITH {_AGREED} SELECT * FROM v")
+def pdf_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram recall, word overlap and verdicts of texts that agree wholly, mostly, weakly or not."""
+    return _agreed(spark, sf_dir)
+
+
+@query(f"WITH {_AGREED} SELECT count(*)::BIGINT AS n_docs, round(avg(bigram_recall), 6) AS bigram_recall, round(avg(jaccard), 6) AS jaccard FROM v WHERE verdict IS NOT NULL")
+def pdf_agreement_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The means over documents with a verdict."""
+    return reports.mean_agreement(stored(_agreed(spark, sf_dir), "pdf-agreement")).select("n_docs", *[F.round(c, 6).alias(c) for c in ("bigram_recall", "jaccard")])
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS text FROM part WHERE p_name <> ''")
+def pdf_soft_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with soft hyphens, shown by code points: the hyphens aren't text."""
+    name = F.concat(F.substring("p_name", 1, 3), F.lit("\u00ad"), F.expr("substring(p_name, 4)"), F.lit("\u00ad"))
+    df = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(show_lines(F.array(name), wide=F.lit(True))).alias("pages"))
+    return text.page_text(_runs(open_documents(files(df)))).select("doc_id", "text")
+
+
+@query("SELECT o_orderkey AS doc_id, (length(o_orderkey::VARCHAR) + length(o_custkey::VARCHAR) + 1)::BIGINT AS n, (length(o_orderkey::VARCHAR) + length(o_custkey::VARCHAR) + 1)::INT AS last, (length(o_orderkey::VARCHAR) + 1)::INT AS space_at, round(128 - 5.56 * length(o_orderkey::VARCHAR), 3) AS space_width, 10.0::DOUBLE AS space_height FROM orders")
+def pdf_paint_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two numbers apart, and a rectangle painted between them: the generated space comes after it."""
+    cell = lambda x, s: F.concat(F.lit(f"BT /F1 10 Tf {x} 700 Td "), shown(s), F.lit(" ET\n"))
+    page = F.concat(cell(72, F.col("o_orderkey").cast("string")), F.lit("0 0 5 5 re f\n"), cell(200, F.col("o_custkey").cast("string")))
+    prims = page_primitives(open_documents(files(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.array(page).alias("pages")))), ("glyph", "path"), (*TEXT_COLUMNS, "advance"))
+    space = F.col("is_generated_space")
+    at = lambda c: F.max(F.when(space, c))
+    found = text.with_spaces(prims).groupBy("doc_row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.max("ord").alias("last"), at(F.col("ord")).alias("space_at"), F.round(at(F.col("bbox")[2] - F.col("bbox")[0]), 3).alias("space_width"), at(F.col("bbox")[3] - F.col("bbox")[1]).alias("space_height"))
+    return found.drop("doc_row")
+
+
 @query(
-    r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(replace(text, chr(173), '')), '[0-9A-Za-z]+(?:[''\-][0-9A-Za-z]+)*') AS r FROM documents WHERE text IS NOT NULL)
-SELECT id, len(r)::INT AS n_words, 1.0::DOUBLE AS bigram_recall, 1.0::DOUBLE AS jaccard, 1.0::DOUBLE AS length_ratio, CASE WHEN len(r) < 50 THEN NULL ELSE 'ok' END AS verdict FROM w WHERE len(r) > 0"""
+    """WITH c AS (SELECT p_partkey AS doc_id, least(300.0, p_size * 10.0) AS x1, p_size * 10.0 <= 10 AS empty FROM part)
+SELECT doc_id, CASE WHEN empty THEN 0.0 ELSE 10.0 END::DOUBLE AS x0, CASE WHEN empty THEN 300.0 ELSE x1 END::DOUBLE AS x1, CASE WHEN empty THEN 0.0 ELSE 20.0 END::DOUBLE AS y0, 400.0::DOUBLE AS y1 FROM c"""
 )
-def pdf_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text read back from the files against the text they were written from."""
-    docs = _table(spark, sf_dir, "documents")
-    ours = text.document_text(text.page_text(_glyphs(_corpus(spark, sf_dir)))).select(F.col("doc_id").alias("id"), F.translate("text", "\f", "\n").alias("ours"))
-    return reports.agreement(ours.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("reference")), "id")).where("n_words > 0")
+def pdf_crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crop boxes that reach beyond the page, or lie outside it."""
+    df = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(F.lit("")).alias("pages"), F.lit("0 0 300 400").alias("box"), F.concat(F.lit("10 20 "), (F.col("p_size") * 10).cast("string"), F.lit(" 500")).alias("crop"))
+    return page_ops.page_boxes(open_documents(files(df))).select("doc_id", *[F.col("crop_box")[c].alias(c) for c in ("x0", "x1", "y0", "y1")])
+
+
+@query(
+    """WITH g AS (SELECT p_partkey, p_size, unnest(range(length(p_size::VARCHAR))) AS i FROM part), k AS (SELECT p_partkey, count(*) FILTER (p_size * 10 + 5.56 * i <= 200) AS n FROM g GROUP BY p_partkey)
+SELECT p_partkey AS doc_id, n AS n_glyphs, 1::BIGINT AS n_paths FROM part JOIN k USING (p_partkey) WHERE p_size * 10 <= 200"""
+)
+def pdf_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a page touches a region: numbers and squares at the place that their size says."""
+    x = (F.col("p_size") * 10).cast("string")
+    page = F.concat(F.lit("BT /F1 10 Tf "), x, F.lit(" 300 Td "), shown(F.col("p_size").cast("string")), F.lit(" ET "), x, F.lit(" 20 30 30 re f"))
+    prims = page_primitives(open_documents(files(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(page).alias("pages")))), ("glyph", "path"))
+    return reports.totals(page_ops.in_region(prims, 0, 0, 200, 400)).select("doc_id", "n_glyphs", "n_paths")
+
+
+_M = ", ".join(f"coalesce(embedding[{i + 1}], 0)::DOUBLE AS {c}" for i, c in enumerate(("a", "b", "c", "d", "e", "f", "a2", "b2", "c2", "d2", "e2", "f2", "x", "y")))
+
+
+@query(
+    f"""WITH m AS (SELECT vec_id, {_M} FROM embeddings), p AS (SELECT *, a * a2 + b * c2 AS ca, a * b2 + b * d2 AS cb, c * a2 + d * c2 AS cc, c * b2 + d * d2 AS cd, e * a2 + f * c2 + e2 AS ce, e * b2 + f * d2 + f2 AS cf, a * d - b * c AS det FROM m)
+SELECT vec_id, round(ca * x + cc * y + ce, 5)::DECIMAL(18,5)::DOUBLE AS px, round(cb * x + cd * y + cf, 5)::DECIMAL(18,5)::DOUBLE AS py, round(ca * x + cc * y, 5)::DECIMAL(18,5)::DOUBLE AS vx, round(cb * x + cd * y, 5)::DECIMAL(18,5)::DOUBLE AS vy,
+round(least(0, ca) + least(0, cc) + ce, 5)::DECIMAL(18,5)::DOUBLE AS rx0, round(greatest(0, cb) + greatest(0, cd) + cf, 5)::DECIMAL(18,5)::DOUBLE AS ry1, round(atan2(cb, ca), 5)::DECIMAL(18,5)::DOUBLE AS turn, round(sqrt(ca * ca + cb * cb), 5)::DECIMAL(18,5)::DOUBLE AS sx, round(sqrt(cc * cc + cd * cd), 5)::DECIMAL(18,5)::DOUBLE AS sy,
+CASE WHEN abs(det) >= 1e-2 THEN round((d * x - c * y + c * f - d * e) / det, 3)::DECIMAL(18,3)::DOUBLE END AS ix, round((a + 1) * 2, 5)::DECIMAL(18,5)::DOUBLE AS scaled,
+round(least(a, x), 5)::DECIMAL(18,5)::DOUBLE AS ux0, round(greatest(d, b2), 5)::DECIMAL(18,5)::DOUBLE AS uy1 FROM p"""
+)
+def pdf_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a vector as two matrices, a point and corners: products, images, inverse, union."""
+    n = dict(zip(("a", "b", "c", "d", "e", "f", "a2", "b2", "c2", "d2", "e2", "f2", "x", "y"), [F.coalesce(F.try_element_at("embedding", F.lit(i + 1)), F.lit(0)).cast("double") for i in range(14)], strict=True))
+    m, m2 = g.matrix(*[n[c] for c in "abcdef"]), g.matrix(*[n[f"{c}2"] for c in "abcdef"])
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", m.alias("m"), m2.alias("m2"), n["x"].alias("x"), n["y"].alias("y"))
+    df = df.withColumn("both", g.concat(F.col("m"), F.col("m2")))
+    both, x, y, m = F.col("both"), F.col("x"), F.col("y"), F.col("m")
+    p, v, r = g.apply(both, x, y), g.apply_vector(both, x, y), g.apply_rect(both, g.rect(0.0, 0.0, 1.0, 1.0))
+    back = F.when(F.abs(m["a"] * m["d"] - m["b"] * m["c"]) >= 1e-2, g.apply(g.invert(m), x, y)["x"])
+    scaled = g.apply(g.concat(g.translation(1, 0), g.scaling(2, 2)), m["a"], m["b"])["x"]
+    # a corner beyond keeps both boxes from being empty
+    u = g.union(g.rect(m["a"], m["b"] - 100, m["c"] + 100, m["d"]), g.rect(x, y - 100, F.col("m2")["a"] + 100, F.col("m2")["b"]))
+    made = {"px": p["x"], "py": p["y"], "vx": v["x"], "vy": v["y"], "rx0": r["x0"], "ry1": r["y1"], "turn": g.rotation(both), "sx": g.x_scale(both), "sy": g.y_scale(both), "scaled": scaled}
+    return df.select("vec_id", *[F.round(c, 5).alias(k) for k, c in made.items()], F.round(back, 3).alias("ix"), F.round(u["x0"], 5).alias("ux0"), F.round(u["y1"], 5).alias("uy1"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS doc_id, p_size % 4 AS k, 100.0 + p_size AS w FROM part)
+SELECT doc_id, 2.0 * CASE k WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN w - 10 ELSE 480 END::DOUBLE AS x, 2.0 * CASE k WHEN 0 THEN 480 WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE w - 10 END::DOUBLE AS y FROM p"""
+)
+def pdf_page_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point (10, 20) of turned pages, on a raster of two dots a unit."""
+    df = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(F.lit("")).alias("pages"), F.concat(F.lit("0 0 "), (F.col("p_size") + 100).cast("string"), F.lit(" 500")).alias("box"), (F.col("p_size") % 4 * 90).alias("rotate"))
+    boxes = page_ops.page_boxes(open_documents(files(df)))
+    at = g.apply(page_ops.page_matrix(F.col("crop_box"), F.col("rotation"), 2.0), F.lit(10.0), F.lit(20.0))
+    return boxes.select("doc_id", at["x"].alias("x"), at["y"].alias("y"))

@@ -5,11 +5,16 @@ page rows into one row a glyph, path or image. Both are narrow Arrow stages: pag
 be dealt out between them (`spread`), so that one file doesn't hold one task. What looks at more than
 one primitive is in `operators`, as windows and joins.
 
-Damaged files give rows with an error, never a failed job; with mode="FAILFAST" they raise.
+Damaged files give rows with an error, never a failed job; with mode="FAILFAST" they raise. Of a page
+whose content breaks off, what was read until there counts. `truncated` says that a file's page tree went
+beyond the limits. Null content reads as an empty file; each row is a file of its own, told apart by
+`doc_row` whatever its doc_id, which may be null or repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import contextlib
+import io
 import pickle
 
 import numpy as np
@@ -22,15 +27,18 @@ from ..functions.cos import Ref, Stream
 from ..functions.crypt import PasswordError, UnsupportedEncryption
 from ..functions.filters import FilterError, decode
 from ..functions.fonts import load
-from ..functions.page_ops import IDENTITY, Page, components
+from ..functions.page_ops import FORM_DEPTH, IDENTITY, Page, components
 from .pdf_file import ParseError, PdfFile
 
-OPENED = "doc_id long, page_index int, length long, header_offset long, recovered boolean, encrypted boolean, page_count int, error_kind string, error_message string, media array<double>, crop array<double>, rotate int, content binary, resources binary"
+OPENED = "doc_row long, doc_id long, page_index int, length long, header_offset long, recovered boolean, encrypted boolean, page_count int, truncated boolean, error_kind string, error_message string, media array<double>, crop array<double>, rotate int, content binary, resources binary"
 PRIMITIVES = (
-    "doc_id long, page_index int, kind string, seq int, own_text string, span int, span_text string, x double, y double, end_x double, end_y double, size double, rotation double, advance double, mode int, code long, font_name string, base_font string, flags int, "
+    "doc_row long, doc_id long, page_index int, kind string, seq int, own_text string, span int, span_text string, x double, y double, end_x double, end_y double, size double, rotation double, advance double, mode int, code long, font_name string, base_font string, flags int, "
     "fill array<double>, fill_alpha double, stroke array<double>, stroke_alpha double, line_width double, even_odd boolean, cmds array<struct<op:string,pts:array<double>>>, bbox array<double>, "
-    "name string, ctm array<double>, width int, height int, is_mask boolean, bpc int, components int, obj_num long, data binary, codec string"
+    "name string, ctm array<double>, width int, height int, is_mask boolean, bpc int, components int, obj_num long, data binary, codec string, "
+    "tx double, ty double, lx double, ly double, ey double, last_text string, starts boolean, n int"
 )
+#: What damaged content may raise below: a file or a page of such is a row, or what was read before it.
+DAMAGE = (ValueError, TypeError, KeyError, IndexError, AttributeError, ArithmeticError, RecursionError)
 _KINDS = {PasswordError: "Password", UnsupportedEncryption: "UnsupportedEncryption", ParseError: "Parse"}
 
 
@@ -40,11 +48,22 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _closure(pdf: PdfFile, res: dict, done: dict) -> dict:
-    """What a page needs of its resources, resolved; shared and self-containing forms appear once."""
+    """What a page needs of its resources, resolved; shared and self-containing forms appear once.
+    Forms are taken level by level, so nesting may be of any depth; below FORM_DEPTH none is run."""
     if id(res) in done:
         return done[id(res)]
-    out: dict = {}
-    done[id(res)] = out
+    top: dict = {}
+    done[id(res)] = top
+    level, depth = [(res, top)], 0
+    while level and depth <= FORM_DEPTH:
+        below: list[tuple[dict, dict]] = []
+        for source, out in level:
+            _fill(pdf, source, out, done, below)
+        level, depth = below, depth + 1
+    return top
+
+
+def _fill(pdf: PdfFile, res: dict, out: dict, done: dict, below: list) -> None:
     get = lambda d, k: pdf.resolve(d.get(k)) if isinstance(d, dict) else None
     entries = lambda kind: (get(res, kind) or {}).items() if isinstance(get(res, kind), dict) else ()
     out["fonts"] = {}
@@ -77,10 +96,24 @@ def _closure(pdf: PdfFile, res: dict, done: dict) -> dict:
             if (num, "form") not in done:
                 m = [pdf.resolve(x) for x in get(s.dict, "Matrix") or []]
                 done[num, "form"] = form = {"kind": "form", "open": False, "content": pdf.bytes_of(s), "matrix": tuple(map(float, m)) if len(m) == 6 and all(isinstance(x, (int, float)) for x in m) else IDENTITY, "resources": None}
-                if isinstance(get(s.dict, "Resources"), dict):
-                    form["resources"] = _closure(pdf, get(s.dict, "Resources"), done)
+                own = get(s.dict, "Resources")
+                if isinstance(own, dict):
+                    if id(own) not in done:
+                        done[id(own)] = {}
+                        below.append((own, done[id(own)]))
+                    form["resources"] = done[id(own)]
             out["objects"][k] = done[num, "form"]
-    return out
+
+
+class _Resources(pickle.Unpickler):
+    """Reads back what _closure made: plain values and the four kinds of object it holds, nothing else."""
+
+    KNOWN = {("folioquery.functions.cos", n) for n in ("Name", "Ref", "Stream", "Keyword")} | {("folioquery.functions.fonts", "CMap")}
+
+    def find_class(self, module: str, name: str):
+        if (module, name) in self.KNOWN or module.split(".")[0] == "numpy" and name in ("_reconstruct", "ndarray", "dtype", "_frombuffer"):
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} isn't part of a page's resources")
 
 
 def _open(data: bytes, password: str | None, failfast: bool) -> list[dict]:
@@ -88,47 +121,51 @@ def _open(data: bytes, password: str | None, failfast: bool) -> list[dict]:
     try:
         pdf = PdfFile(data, password)
         pages, done = pdf.pages(), {}
-        doc = row | {"header_offset": pdf.header_offset, "recovered": pdf.recovered, "encrypted": pdf.decryptor is not None, "page_count": len(pages)}
+        doc = row | {"header_offset": pdf.header_offset, "recovered": pdf.recovered, "encrypted": pdf.decryptor is not None, "page_count": len(pages), "truncated": pdf.truncated}
         rows = [doc]
         for i, p in enumerate(pages):
             rows.append({"page_index": i, "media": p["media"], "crop": p["crop"], "rotate": p["rotate"], "content": p["content"], "resources": pickle.dumps(_closure(pdf, p["resources"], done))})
         return rows
-    except Exception as e:  # a damaged file is a row, whatever was wrong with it
+    except (PasswordError, UnsupportedEncryption, ParseError, *DAMAGE) as e:
         if failfast:
             raise
         return [row | {"error_kind": _KINDS.get(type(e), "Parse"), "error_message": f"{e}"}]
 
 
 def open_documents(files: DataFrame, password: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
-    """files: doc_id, content and perhaps password. One row a document (page_index null) and a page."""
+    """files: doc_id, content and perhaps password. One row a document (page_index null) and a page.
+    `doc_row` tells rows apart where doc_ids repeat or are null; files may bring a column of that name,
+    which is better where the result is read more than once without being stored."""
+    if "doc_row" not in files.columns:
+        files = files.withColumn("doc_row", F.monotonically_increasing_id())
     has = "password" in files.columns
     names = [x.split()[0] for x in OPENED.split(", ")]
-    schema = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("length", pa.int64()), ("header_offset", pa.int64()), ("recovered", pa.bool_()), ("encrypted", pa.bool_()), ("page_count", pa.int32()), ("error_kind", pa.string()), ("error_message", pa.string()), ("media", pa.list_(pa.float64())), ("crop", pa.list_(pa.float64())), ("rotate", pa.int32()), ("content", pa.binary()), ("resources", pa.binary())])
+    schema = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("page_index", pa.int32()), ("length", pa.int64()), ("header_offset", pa.int64()), ("recovered", pa.bool_()), ("encrypted", pa.bool_()), ("page_count", pa.int32()), ("truncated", pa.bool_()), ("error_kind", pa.string()), ("error_message", pa.string()), ("media", pa.list_(pa.float64())), ("crop", pa.list_(pa.float64())), ("rotate", pa.int32()), ("content", pa.binary()), ("resources", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            ids, data = batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()
+            ids, data, at = (batch.column(c).to_pylist() for c in ("doc_id", "content", "doc_row"))
             words = batch.column("password").to_pylist() if has else [password] * len(ids)
             for first in range(0, len(ids), 64):
                 rows = []
                 for i in range(first, min(len(ids), first + 64)):
-                    rows += [{"doc_id": ids[i], **r} for r in _open(data[i] or b"", words[i], mode == "FAILFAST")]
+                    rows += [{"doc_row": at[i], "doc_id": ids[i], **r} for r in _open(data[i] or b"", words[i], mode == "FAILFAST")]
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema)
 
-    return files.select("doc_id", "content", *["password"] * has).mapInArrow(run, OPENED)
+    return files.select("doc_row", "doc_id", "content", *["password"] * has).mapInArrow(run, OPENED)
 
 
 def documents(opened: DataFrame) -> DataFrame:
-    return opened.where("page_index is null").select("doc_id", "length", "header_offset", "recovered", "encrypted", "page_count", "error_kind", "error_message")
+    return opened.where("page_index is null").select("doc_row", "doc_id", "length", "header_offset", "recovered", "encrypted", "page_count", "truncated", "error_kind", "error_message")
 
 
 def spread(opened: DataFrame) -> DataFrame:
     """Deals the pages out to all tasks: for inputs of few, large files."""
-    return opened.repartition("doc_id", "page_index")
+    return opened.repartition("doc_row", "page_index")
 
 
-def _glyph_batch(doc_ids, page_ids, pages: list[Page]) -> pa.RecordBatch | None:
-    runs = [(d, i, r) for d, i, p in zip(doc_ids, page_ids, pages, strict=True) for r in p.runs]
+def _glyph_batch(keys, pages: list[Page]) -> dict | None:
+    runs = [(k, k[2], r) for k, p in zip(keys, pages, strict=True) for r in p.runs]
     if not runs:
         return None
     n = np.array([len(r[1]) for _, _, r in runs])
@@ -138,7 +175,7 @@ def _glyph_batch(doc_ids, page_ids, pages: list[Page]) -> pa.RecordBatch | None:
     each = lambda values, kind: pa.array(values, kind).take(pa.array(np.repeat(np.arange(len(runs)), n)))
     nan = lambda f: np.array([f(r) for _, _, r in runs], float)
     return {
-        "doc_id": pa.array(rep([d for d, _, _ in runs], np.int64)), "page_index": pa.array(rep([i for _, i, _ in runs], np.int32)), "kind": each(["glyph"] * len(runs), pa.string()),
+        "doc_row": each([k[0] for k, _, _ in runs], pa.int64()), "doc_id": each([k[1] for k, _, _ in runs], pa.int64()), "page_index": pa.array(rep([i for _, i, _ in runs], np.int32)), "kind": each(["glyph"] * len(runs), pa.string()),
         "seq": pa.array(seq.astype(np.int32)), "own_text": pa.array(join(2), pa.string()), "span": each([r[14][0] if r[14] else None for _, _, r in runs], pa.int32()), "span_text": each([r[14][1] if r[14] else None for _, _, r in runs], pa.string()),
         "x": pa.array(join(3, slice(None, -1))), "y": pa.array(join(4, slice(None, -1))), "end_x": pa.array(join(3, slice(1, None))), "end_y": pa.array(join(4, slice(1, None))),
         "size": pa.array(np.repeat(nan(lambda r: r[6]), n)), "rotation": pa.array(np.repeat(nan(lambda r: r[7]), n)), "advance": pa.array(join(5)), "mode": pa.array(rep([r[8] for _, _, r in runs], np.int32)),
@@ -147,7 +184,21 @@ def _glyph_batch(doc_ids, page_ids, pages: list[Page]) -> pa.RecordBatch | None:
     }
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("page_index", pa.int32()), ("kind", pa.string()), ("seq", pa.int32()), ("own_text", pa.string()), ("span", pa.int32()), ("span_text", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "end_x", "end_y", "size", "rotation", "advance")], ("mode", pa.int32()), ("code", pa.int64()), ("font_name", pa.string()), ("base_font", pa.string()), ("flags", pa.int32()), ("fill", pa.list_(pa.float64())), ("fill_alpha", pa.float64()), ("stroke", pa.list_(pa.float64())), ("stroke_alpha", pa.float64()), ("line_width", pa.float64()), ("even_odd", pa.bool_()), ("cmds", pa.list_(pa.struct([("op", pa.string()), ("pts", pa.list_(pa.float64()))]))), ("bbox", pa.list_(pa.float64())), ("name", pa.string()), ("ctm", pa.list_(pa.float64())), ("width", pa.int32()), ("height", pa.int32()), ("is_mask", pa.bool_()), ("bpc", pa.int32()), ("components", pa.int32()), ("obj_num", pa.int64()), ("data", pa.binary()), ("codec", pa.string())])
+_OUT = pa.schema([("doc_row", pa.int64()), ("doc_id", pa.int64()), ("page_index", pa.int32()), ("kind", pa.string()), ("seq", pa.int32()), ("own_text", pa.string()), ("span", pa.int32()), ("span_text", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "end_x", "end_y", "size", "rotation", "advance")], ("mode", pa.int32()), ("code", pa.int64()), ("font_name", pa.string()), ("base_font", pa.string()), ("flags", pa.int32()), ("fill", pa.list_(pa.float64())), ("fill_alpha", pa.float64()), ("stroke", pa.list_(pa.float64())), ("stroke_alpha", pa.float64()), ("line_width", pa.float64()), ("even_odd", pa.bool_()), ("cmds", pa.list_(pa.struct([("op", pa.string()), ("pts", pa.list_(pa.float64()))]))), ("bbox", pa.list_(pa.float64())), ("name", pa.string()), ("ctm", pa.list_(pa.float64())), ("width", pa.int32()), ("height", pa.int32()), ("is_mask", pa.bool_()), ("bpc", pa.int32()), ("components", pa.int32()), ("obj_num", pa.int64()), ("data", pa.binary()), ("codec", pa.string()), *[(c, pa.float64()) for c in ("tx", "ty", "lx", "ly", "ey")], ("last_text", pa.string()), ("starts", pa.bool_()), ("n", pa.int32())])
+
+
+def _run_batch(keys, pages: list[Page]) -> dict | None:
+    rows = [(*k, r) for k, p in zip(keys, pages, strict=True) for r in p.shown]
+    if not rows:
+        return None
+    col = lambda f, kind: pa.array([f(r) for r in rows], kind)
+    own = lambda i, kind: pa.array([r[3][i] for r in rows], kind)
+    numbers = {c: own(i, pa.float64()) for c, i in (("x", 3), ("y", 4), ("tx", 5), ("ty", 6), ("lx", 7), ("ly", 8), ("end_x", 9), ("end_y", 10), ("ey", 11), ("size", 15), ("rotation", 16))}
+    return {
+        "doc_row": col(lambda r: r[0], pa.int64()), "doc_id": col(lambda r: r[1], pa.int64()), "page_index": col(lambda r: r[2], pa.int32()), "kind": pa.array(["run"] * len(rows), pa.string()), "seq": own(0, pa.int32()), "own_text": own(1, pa.string()),
+        "span": col(lambda r: r[3][2] and r[3][2][0], pa.int32()), "span_text": col(lambda r: r[3][2] and r[3][2][1], pa.string()), **numbers, "last_text": own(12, pa.string()), "starts": own(13, pa.bool_()), "n": own(14, pa.int32()), "mode": own(17, pa.int32()),
+    }
+
 
 
 def _batch(columns: dict, out: pa.Schema) -> pa.RecordBatch:
@@ -156,37 +207,42 @@ def _batch(columns: dict, out: pa.Schema) -> pa.RecordBatch:
 
 
 #: What text assembly reads of a glyph.
-TEXT_COLUMNS = ("doc_id", "page_index", "kind", "seq", "own_text", "span", "span_text", "x", "y", "end_x", "end_y", "size", "rotation", "mode")
+TEXT_COLUMNS = ("doc_row", "doc_id", "page_index", "kind", "seq", "own_text", "span", "span_text", "x", "y", "end_x", "end_y", "size", "rotation", "mode")
+#: The same of a run, a whole shown string, which stands for its glyphs: where the first and the last
+#: glyph with text are, and what the last glyph is.
+RUN_COLUMNS = (*TEXT_COLUMNS, "tx", "ty", "lx", "ly", "ey", "last_text", "starts", "n")
 
 
 def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path", "image"), columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Page rows -> rows of the wanted kinds; `seq` is the paint order among all kinds. `columns`
+    """Page rows -> rows of the wanted kinds, which may also be "run"; `seq` is the paint order among all kinds. `columns`
     keeps what isn't asked for from leaving the tasks, as Catalyst can't prune inside them."""
-    out = _OUT if columns is None else pa.schema([_OUT.field(c) for c in columns])
+    out = _OUT if columns is None else pa.schema([f for f in _OUT if f.name in columns])
     schema = PRIMITIVES if columns is None else T.StructType([f for f in T._parse_datatype_string(PRIMITIVES).fields if f.name in columns])
 
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 32):
                 part = batch.slice(first, 32)
-                ids, index, pages = part.column("doc_id").to_pylist(), part.column("page_index").to_pylist(), []
+                keys, pages = list(zip(*[part.column(c).to_pylist() for c in ("doc_row", "doc_id", "page_index")], strict=True)), []
                 for content, resources in zip(part.column("content").to_pylist(), part.column("resources").to_pylist(), strict=True):
                     page = Page(want)
-                    page.run(content or b"", pickle.loads(resources))
+                    given = _Resources(io.BytesIO(resources)).load()
+                    with contextlib.suppress(*DAMAGE):
+                        page.run(content or b"", given)
                     pages.append(page)
-                glyphs = _glyph_batch(ids, index, pages)
-                if glyphs:
-                    yield _batch(glyphs, out)
+                for made in (_glyph_batch(keys, pages), _run_batch(keys, pages)):
+                    if made:
+                        yield _batch(made, out)
                 rows = []
-                for d, i, p in zip(ids, index, pages, strict=True):
+                for (at, d, i), p in zip(keys, pages, strict=True):
                     for s, path, box, fill, stroke, width, odd, fa, sa in p.paths:
-                        rows.append({"doc_id": d, "page_index": i, "kind": "path", "seq": s, "cmds": [{"op": o, "pts": q} for o, q in path], "bbox": list(box), "fill": fill and list(fill), "stroke": stroke and list(stroke), "line_width": width, "even_odd": odd, "fill_alpha": fa, "stroke_alpha": sa})
+                        rows.append({"doc_row": at, "doc_id": d, "page_index": i, "kind": "path", "seq": s, "cmds": [{"op": o, "pts": q} for o, q in path], "bbox": list(box), "fill": fill and list(fill), "stroke": stroke and list(stroke), "line_width": width, "even_odd": odd, "fill_alpha": fa, "stroke_alpha": sa})
                     for s, name, ctm, box, w, h, mask, bpc, n, fill, fa, num, data, codec in p.images:
-                        rows.append({"doc_id": d, "page_index": i, "kind": "image", "seq": s, "name": name, "ctm": list(ctm), "bbox": list(box), "width": w, "height": h, "is_mask": mask, "bpc": bpc, "components": n, "fill": list(fill), "fill_alpha": fa, "obj_num": num, "data": data, "codec": codec})
+                        rows.append({"doc_row": at, "doc_id": d, "page_index": i, "kind": "image", "seq": s, "name": name, "ctm": list(ctm), "bbox": list(box), "width": w, "height": h, "is_mask": mask, "bpc": bpc, "components": n, "fill": list(fill), "fill_alpha": fa, "obj_num": num, "data": data, "codec": codec})
                 if rows:
                     yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in out} for r in rows], out)
 
-    pages = opened.where("page_index is not null").select("doc_id", "page_index", "content", "resources")
+    pages = opened.where("page_index is not null").select("doc_row", "doc_id", "page_index", "content", "resources")
     return pages.mapInArrow(run, schema)
 
 
@@ -201,7 +257,7 @@ def image_data(files: DataFrame, images: DataFrame, password: str | None = None)
                 rows = []
                 try:
                     pdf = PdfFile(content, password)
-                except Exception:
+                except (PasswordError, UnsupportedEncryption, ParseError, *DAMAGE):
                     continue
                 for num in nums:
                     s = pdf.get(num)

@@ -26,7 +26,7 @@ class PdfFile:
         at = data.find(b"%PDF-")
         if at < 0:
             raise ParseError("no header")
-        self.header_offset, self.data, self.recovered = at, data[at:], False
+        self.header_offset, self.data, self.recovered, self.truncated = at, data[at:], False, False
         self.xref: dict[int, tuple] = {}  # num -> ("offset", offset, gen) or ("instream", stream, index)
         self.cache: dict[int, object] = {}
         self.members: dict[int, dict[int, object]] = {}
@@ -235,7 +235,8 @@ class PdfFile:
                 seen.add(node.num)
                 node = self.resolve(node)
             if depth > TREE_DEPTH or len(out) >= MAX_PAGES:
-                break
+                self.truncated = True
+                continue
             if not isinstance(node, dict):
                 continue
             have = dict(up)
@@ -247,7 +248,7 @@ class PdfFile:
                     have[key] = box
             turn = self.resolve(node.get("Rotate"))
             if isinstance(turn, (int, float)):
-                have["Rotate"] = int(turn)
+                have["Rotate"] = int(turn) % 360 if turn == turn and abs(turn) < 1 << 53 else 0
             kids = self.resolve(node.get("Kids"))
             if isinstance(kids, list):
                 stack.extend((k, have, depth + 1) for k in reversed(kids))

@@ -16,9 +16,20 @@ from ..functions.crypt import _PAD, rc4
 LATIN = "ISO-8859-1"
 
 
-def show_lines(lines: Column, size: int = 10, leading: int = 14, x: int = 72, y: int = 742) -> Column:
+#: Characters that the one-byte font F1 hasn't; lines with such are written in F2, by code points.
+WIDE = r"[^\u0020-\u007E\u00A1-\u00FF]"
+
+
+def shown(line: Column, size: int = 10, wide: Column | None = None) -> Column:
+    """The operators that show one line; `wide`: whether by code points, else where it must be."""
+    wide = line.rlike(WIDE) if wide is None else wide
+    narrow = F.concat(F.lit("<"), F.hex(F.encode(F.when(wide, "").otherwise(line), LATIN)), F.lit("> Tj"))
+    return F.when(wide, F.concat(F.lit(f"/F2 {size} Tf <"), F.hex(F.encode(line, "UTF-32")), F.lit(f"> Tj /F1 {size} Tf"))).otherwise(narrow)
+
+
+def show_lines(lines: Column, size: int = 10, leading: int = 14, x: int = 72, y: int = 742, wide: Column | None = None) -> Column:
     """The content stream of an array of lines, one below the other, as text."""
-    body = F.transform(lines, lambda s: F.concat(F.lit("<"), F.hex(F.encode(s, LATIN)), F.lit(f"> Tj 0 -{leading} Td\n")))
+    body = F.transform(lines, lambda s: F.concat(shown(s, size, wide), F.lit(f" 0 -{leading} Td\n")))
     return F.concat(F.lit(f"BT /F1 {size} Tf {x} {y} Td\n"), F.array_join(body, ""), F.lit("ET"))
 
 
@@ -79,14 +90,30 @@ def file_of(objects: dict[int, bytes], trailer: str = "/Root 1 0 R", start: int
     return bytes(out)
 
 
-def build(pages: list[bytes], font: str = HELVETICA, box: str = "0 0 612 792", rotate: int = 0, encoder: str = "", resources: str = "", broken: bool = False, as_stream: bool = False, updates: list[list[bytes]] = (), password: str | None = None) -> bytes:
+def _wide_font(num: int) -> tuple[dict[int, bytes], dict[int, bytes]]:
+    """Objects and streams, from `num` on, of a font whose codes are code points in four bytes."""
+    space = b"1 begincodespacerange <00000000> <0010FFFF> endcodespacerange\n"
+    ranges = [b"<00000000> <0000FFFF> <0000>"] + [b"<%08X> <%08X> <%04XDC00>" % (0x10000 + i * 0x400, 0x103FF + i * 0x400, 0xD800 + i) for i in range(0x400)]
+    unicode_map = space + b"\n".join(b"%d beginbfrange\n%b\nendbfrange" % (len(ranges[i : i + 100]), b"\n".join(ranges[i : i + 100])) for i in range(0, len(ranges), 100))
+    font = b"<< /Type /Font /Subtype /Type0 /BaseFont /Wide /Encoding %d 0 R /ToUnicode %d 0 R /DescendantFonts [<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Wide /DW 500 >>] >>" % (num + 1, num + 2)
+    return {num: font}, {num + 1: space, num + 2: unicode_map}
+
+
+def build(pages: list[bytes], font: str = HELVETICA, box: str = "0 0 612 792", rotate: int = 0, encoder: str = "", resources: str = "", crop: str = "", broken: bool = False, as_stream: bool = False, updates: list[list[bytes]] = (), password: str | None = None) -> bytes:
     """Objects 1 catalog, 2 page tree, 3 font, then a page and its content in turn."""
     kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
     filters = f"/Filter /{encoder} " if encoder else ""
-    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /MediaBox [{box}] /Rotate {rotate} /Resources << /Font << /F1 3 0 R >> {resources} >> >>".encode(), 3: font.encode()}
-    for i, p in enumerate(pages):
-        objects[4 + 2 * i] = f"<< /Type /Page /Parent 2 0 R /Contents {5 + 2 * i} 0 R >>".encode()
-        objects[5 + 2 * i] = stream(ENCODERS[encoder](p), filters)
+    streams = {5 + 2 * i: (ENCODERS[encoder](p), filters) for i, p in enumerate(pages)}
+    fonts, crop = "/F1 3 0 R", f"/CropBox [{crop}] " if crop else ""
+    wide: dict[int, bytes] = {}
+    if any(b"/F2 " in p for p in pages) or any(b"/F2 " in p for u in updates for p in u if p is not None):
+        num = 4 + 2 * len(pages)
+        wide, maps = _wide_font(num)
+        streams |= {n: (zlib.compress(d), "/Filter /FlateDecode ") for n, d in maps.items()}
+        fonts += f" /F2 {num} 0 R"
+    objects = wide | {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /MediaBox [{box}] {crop}/Rotate {rotate} /Resources << /Font << {fonts} >> {resources} >> >>".encode(), 3: font.encode()}
+    objects |= {4 + 2 * i: f"<< /Type /Page /Parent 2 0 R /Contents {5 + 2 * i} 0 R >>".encode() for i in range(len(pages))}
+    objects |= {n: stream(d, e) for n, (d, e) in streams.items()}
     later = [{5 + 2 * i: stream(ENCODERS[encoder](p), filters) for i, p in enumerate(u) if p is not None} for u in updates]
     trailer = "/Root 1 0 R"
     if password is not None:  # revision 3 of the standard handler, 128 bits, same user and owner password
@@ -106,10 +133,8 @@ def build(pages: list[bytes], font: str = HELVETICA, box: str = "0 0 612 792", r
         owner = turned(many(padded, 51), padded)
         key = many(padded + owner + perms + ident, 51)
         user = turned(key, hashlib.md5(_PAD + ident).digest()) + bytes(16)
-        for num in objects:
-            if num >= 5 and num % 2:
-                data = ENCODERS[encoder](pages[(num - 5) // 2])
-                objects[num] = stream(rc4(hashlib.md5(key + num.to_bytes(3, "little") + b"\0\0").digest(), data), filters)
+        for num, (data, entries) in streams.items():
+            objects[num] = stream(rc4(hashlib.md5(key + num.to_bytes(3, "little") + b"\0\0").digest(), data), entries)
         objects[max(objects) + 1] = f"<< /Filter /Standard /V 2 /R 3 /Length 128 /P -4 /O <{owner.hex()}> /U <{user.hex()}> >>".encode()
         trailer += f" /Encrypt {max(objects)} 0 R /ID [<{ident.hex()}> <{ident.hex()}>]"
     return file_of(objects, trailer, 3 if broken else None, later, as_stream)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import text
-from ..sources.pdf import TEXT_COLUMNS, open_documents, page_primitives
+from ..sources.pdf import RUN_COLUMNS, open_documents, page_primitives
 
 
 def stream_files(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -22,7 +22,7 @@ def write_page_texts(files: DataFrame, out: str, checkpoint: str, **options) ->
     """Appends (batch, doc_id, page_index, text) as Parquet; a batch that is run again replaces itself."""
 
     def each(batch: DataFrame, number: int) -> None:
-        glyphs = page_primitives(open_documents(batch.select("doc_id", "content")), ("glyph",), TEXT_COLUMNS)
+        glyphs = page_primitives(open_documents(batch.select("doc_id", "content")), ("run",), RUN_COLUMNS)
         text.page_text(glyphs).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(options or {"availableNow": True})).start()

@@ -20,8 +20,9 @@ def opened(spark, contents, **options):
 
 def texts(spark, streams, **options):
     o = opened(spark, [pdf_writer.build([s], **options) for s in streams])
-    found = {r["doc_id"]: r["text"] for r in text.page_text(pdf.page_primitives(o, ("glyph",))).collect()}
-    return [found.get(i) for i in range(len(streams))]
+    by = [{r["doc_id"]: r["text"] for r in text.page_text(pdf.page_primitives(o, (kind,), columns)).collect()} for kind, columns in (("glyph", pdf.TEXT_COLUMNS), ("run", pdf.RUN_COLUMNS))]
+    assert by[0] == by[1]
+    return [by[0].get(i) for i in range(len(streams))]
 
 
 BEGIN = b"BT /F1 12 Tf 72 720 Td "
@@ -42,6 +43,11 @@ CASES = [
     (b"/Span <</ActualText (out)>> BDC (p) Tj /Span <</ActualText (in)>> BDC (q) Tj EMC (r) Tj EMC (d) Tj ET", "outd"),
     (b"/Span <</ActualText (one\\ntwo)>> BDC (x) Tj EMC ET", "one two"),
     (b"/Unknown 12 Tf (lost) Tj ET", None),
+    (b"-30 Tc (ab) Tj ET", "a\nb"),
+    (b"-5 Tc (abc) Tj 0 Tc ( d) Tj [( ) -900 (e)] TJ ET", "abc d e"),
+    (b"(a\\255) Tj 40 0 Td (\\255b) Tj ET", "a- -b"),
+    (b"[1] 12 Tf [1] gs [1] cs [1] Do /F1 12 Tf 3000000000 Tr (on) Tj ET", "on"),
+    (b"(x) Tj ET BI /W 1 /H 1 /CS [/G] /BPC 8 ID x EI BT /F1 12 Tf 80 720 Td (y) Tj", "x y"),
 ]
 
 
@@ -69,12 +75,28 @@ def test_damage(spark):
         opened(spark, [b"nothing"], mode="FAILFAST").collect()
 
 
-def test_every_truncation_and_mutation_gives_rows():
-    for i in range(0, len(ONE), 7):
-        assert pdf._open(ONE[:i], None, False)
-        for b in (0, 91, 47, 255):
-            for row in pdf._open(ONE[:i] + bytes([b]) + ONE[i + 1 :], None, False)[1:]:
-                pdf.Page().run(row["content"], __import__("pickle").loads(row["resources"]))
+def test_every_truncation_and_mutation_gives_rows(spark):
+    """Through Spark: one row a file at least, whatever its bytes."""
+    made = [ONE[:i] for i in range(len(ONE))] + [ONE[:i] + bytes([b]) + ONE[i + 1 :] for i in range(len(ONE)) for b in (0, 91, 47, 255)]
+    o = opened(spark, made)
+    assert pdf.documents(o).select("doc_id").distinct().count() == len(made)
+    assert pdf.page_primitives(o, ("glyph", "run", "path", "image")).count() > len(made)
+
+
+def test_hostile_files_give_rows(spark):
+    """Empty code spaces, deep and self-containing forms, numbers beyond 32 bits, null and repeated ids."""
+    font = "<< /Type /Font /Subtype /Type0 /BaseFont /F /Encoding 90 0 R /DescendantFonts [<< /Type /Font /Subtype /CIDFontType2 /BaseFont /F >>] >>"
+    spaces = pdf_writer.file_of({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Rotate 90000000000000000000 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>", 4: pdf_writer.stream(BEGIN + b"(abc) Tj ET"), 5: font.encode(), 90: pdf_writer.stream(b"1 begincodespacerange <> <> endcodespacerange")})
+    forms = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /XObject << /X 10 0 R >> >> >>", 4: pdf_writer.stream(b"0 0 1 1 re f /X Do")}
+    for i in range(10, 1500):
+        forms[i] = pdf_writer.stream(b"0 0 1 1 re f /X Do", f"/Subtype /Form /Resources << /XObject << /X {i + 1} 0 R >> >> ")
+    images = pdf_writer.build([b"BI /W 99999999999 /H 1 /CS /G /BPC 8 ID x EI 1 0 0 1 99999999999999999999999999999999999999999999 0 cm 0 0 1 1 re f"])
+    rows = [(None, bytearray(spaces)), (None, bytearray(pdf_writer.file_of(forms))), (7, bytearray(images)), (7, bytearray(ONE)), (7, bytearray(pdf_writer.build([BEGIN + b"(other) Tj ET"])))]
+    o = pdf.open_documents(spark.createDataFrame(rows, "doc_id long, content binary"))
+    assert [r["error_kind"] for r in pdf.documents(o).collect()] == [None] * 5
+    found = pdf.page_primitives(o, ("glyph", "path", "image")).collect()
+    assert sum(r["kind"] == "path" and r["doc_id"] is None for r in found) == 13  # the page and 12 levels of forms
+    assert sorted(r["text"] for r in text.document_text(text.page_text(pdf.page_primitives(o, ("run",), pdf.RUN_COLUMNS))).where("doc_id = 7").collect()) == ["Hi", "other"]
 
 
 def test_updates_streams_and_passwords(spark):
