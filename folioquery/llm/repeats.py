@@ -5,11 +5,12 @@ side by side mostly share a fingerprint and the index has about a fifth of an en
 windows always have equal fingerprints.
 
 1. Batch by batch, fingerprints are flushed as an immutable run: per bucket (a range of hashes) one
-   sorted block. The new block is merge-joined with those of earlier runs; whoever holds a
-   fingerprint that another document holds too becomes a participant. When `COMPACT_AT` runs exist
-   the merge writes one compacted run in their place.
+   sorted block, in a table bucketed by it. The new run is merge-joined with each earlier one, bucket by
+   bucket, without moving these; whoever holds a fingerprint that another document holds too becomes a
+   participant. When FANOUT runs of one size stand side by side, one compacted run takes their place.
+   The index lies in one folder and can be opened again.
 2. Verification: participants alone are read again, and what loses words once more. Of their windows with a shared fingerprint the
-   full window is hashed anew, and the smallest doc_id of each is found, bucket by bucket.
+   full window is hashed anew, twice, and the smallest doc_id of each pair of hashes is found, bucket by bucket.
 3. Words covered by a window that starts in a smaller doc_id are removed.
 
 Map-side, equal fingerprints of TOGETHER bytes of documents are combined before the shuffle: one posting each,
@@ -24,18 +25,19 @@ doc_id neither removes nor loses anything; an empty table gives no rows. Extra c
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hash_words, narrow_to, partitions, sliced, stored, table, texts_of
+from .common import gram_hashes, hash_words, mix64, narrow_to, partitions, sliced, stored, table, texts_of, work_dir
 from .quality import covered_by
 
 WINDOW, GRAM = 13, 6
-COMPACT_AT = 2
+#: Runs of one size that are merged into one.
+FANOUT = 4
 #: Bytes of texts whose equal keys are combined before the shuffle: bounds a task's arrays.
 TOGETHER = 8 << 20
 _POSTINGS, _HOLDERS = 0, 1
@@ -72,12 +74,15 @@ def fingerprints(words: np.ndarray) -> np.ndarray:
     return least[:n]
 
 
-def _least_by_key(keys: np.ndarray, docs: np.ndarray):
+def _least_by_key(keys: np.ndarray, docs: np.ndarray, check: np.ndarray | None = None):
     """Sorted distinct keys with their least docs, how many entries each has, and, for the entries in
-    order of key, their order and group."""
-    order = np.argsort(keys, kind="stable")
+    order of key, their order and group. With `check`, keys are pairs of both."""
+    order = np.argsort(keys, kind="stable") if check is None else np.lexsort((check, keys))
     k = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    new = k[1:] != k[:-1]
+    if check is not None:
+        new |= check[order][1:] != check[order][:-1]
+    first = np.flatnonzero(np.concatenate([[True], new])) if len(k) else np.empty(0, np.int64)
     least = np.minimum.reduceat(docs[order], first) if len(k) else docs
     count = np.diff(np.append(first, len(k)))
     return k[first], least, count, order, np.repeat(np.arange(len(first)), count)
@@ -130,8 +135,8 @@ def _flush(buckets: int):
     return run
 
 
-def _merge(buckets: int, compact: bool):
-    """One bucket of earlier runs (new = 0) and of the new batch (new = 1)."""
+def _gather(buckets: int):
+    """One bucket of a batch, from all its tasks: a sorted block of postings, and holders."""
 
     def run(data: pa.Table) -> pa.Table:
         rows = data.to_pylist()
@@ -141,42 +146,115 @@ def _merge(buckets: int, compact: bool):
             keys = np.concatenate([unpack(r["keys"]) for r in posts])
             docs = np.concatenate([unpack(r["docs"], np.int64) for r in posts])
             flag = np.concatenate([np.frombuffer(r["shared"], np.uint8) for r in posts])
-            new = np.concatenate([np.full(len(r["shared"]), r["new"], np.uint8) for r in posts])
             k, least, count, order, group = _least_by_key(keys, docs)
-            first = np.concatenate([[0], np.cumsum(count)[:-1]])
-            shared = ((count > 1) | (np.maximum.reduceat(flag[order], first) > 0)).astype(np.uint8)
-            found = order[(shared[group] > 0) & (flag[order] == 0)]
+            found = order[(count[group] > 1) & (flag[order] == 0)]
             out += _holder_rows(keys[found], docs[found], buckets)
-            keep = slice(None) if compact else np.maximum.reduceat(new[order], first) > 0
-            out.append((rows[0]["bucket"], _POSTINGS, pack(k[keep]), pack(least[keep]), shared[keep].tobytes()))
+            out.append((posts[0]["bucket"], _POSTINGS, pack(k), pack(least), b""))
         return pa.Table.from_batches([_run_rows(out)])
 
     return run
 
 
-@dataclass
-class FingerprintIndex:
-    """Runs of an index; append() leaves its runs as they are and returns the next index."""
+def _meet(buckets: int):
+    """Rows with the sorted blocks of one bucket of two runs: holders of what is in both."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ours, theirs = unpack(row["keys"]), unpack(row["old_keys"])
+                at = np.minimum(np.searchsorted(theirs, ours), max(0, len(theirs) - 1))
+                both = theirs[at] == ours if len(theirs) else np.zeros(len(ours), bool)
+                k = ours[both]
+                docs = np.concatenate([unpack(row["docs"], np.int64)[both], unpack(row["old_docs"], np.int64)[at[both]]])
+                yield _run_rows(list(_holder_rows(np.concatenate([k, k]), docs, buckets)))
+
+    return run
+
 
-    buckets: int
-    runs: list[DataFrame] = field(default_factory=list)
+def _compacted(batches):
+    """Rows with one bucket's sorted blocks of some runs: one block."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            keys = np.concatenate([unpack(k) for k in row["all_keys"]])
+            docs = np.concatenate([unpack(d, np.int64) for d in row["all_docs"]])
+            k, least, *_ = _least_by_key(keys, docs)
+            yield _run_rows([(row["bucket"], _POSTINGS, pack(k), pack(least), b"")])
 
-    def append(self, docs: DataFrame) -> FingerprintIndex:
-        """Merges the documents (doc_id, text) of a new batch in."""
-        compact = len(self.runs) + 1 >= COMPACT_AT and bool(self.runs)
-        rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_flush(self.buckets), RUN).withColumn("new", F.lit(1))
-        for r in self.runs:
-            rows = rows.unionAll((r if compact else r.where(F.col("kind") == _POSTINGS)).withColumn("new", F.lit(0)))
-        run = stored(rows.groupBy("bucket").applyInArrow(_merge(self.buckets, compact), RUN), "fingerprint-run")
-        return FingerprintIndex(self.buckets, [run] if compact else [*self.runs, run])
+
+class FingerprintIndex:
+    """Immutable runs below one folder, in Spark tables bucketed by range of hashes, so that a new batch is
+    merge-joined with each of them where they lie. `postings=<first>-<last>` holds batches first to last;
+    `holders=<batch>` who shares a fingerprint with whom; a folder counts once Spark's success marker is
+    in it. So the index can be opened again, and what broke off is written anew."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _fs(self, path: str):
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
+
+    def _complete(self, kind: str) -> list[str]:
+        fs, path = self._fs(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{kind}=") and fs.exists(self._fs(f"{self.root}/{n}/_SUCCESS")[1]))
+
+    def runs(self) -> list[tuple[int, int]]:
+        """First and last batch of the runs that no wider one has taken in."""
+        found = [tuple(map(int, n.split("-"))) for n in self._complete("postings")]
+        return sorted(r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found))
+
+    def _table(self, path: str) -> DataFrame:
+        """A run's table, known to this session by a name from its path."""
+        name = f"fingerprints_{hashlib.md5(path.encode()).hexdigest()}"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RUN}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def _save(self, rows: DataFrame, path: str) -> None:
+        """One file a bucket."""
+        name = f"writing_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "bucket").write.mode("overwrite").format("parquet").bucketBy(self.buckets, "bucket").sortBy("bucket").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+
+    def postings(self, run: tuple[int, int]) -> DataFrame:
+        return self._table(f"{self.root}/postings={run[0]}-{run[1]}").where(F.col("kind") == _POSTINGS)
+
+    def append(self, docs: DataFrame, batch: int) -> FingerprintIndex:
+        """Takes in the documents (doc_id, text) of a batch, whose number is one above the last; a batch that
+        is in already is left alone."""
+        if str(batch) in self._complete("holders"):
+            return self
+        earlier = [r for r in self.runs() if r[1] < batch]
+        rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_flush(self.buckets), RUN)
+        gathered = stored(rows.groupBy("bucket").applyInArrow(_gather(self.buckets), RUN), "fingerprints")
+        path = f"{self.root}/postings={batch}-{batch}"
+        self._save(gathered.where(F.col("kind") == _POSTINGS), path)
+        held, new = gathered.where(F.col("kind") == _HOLDERS), self._table(path)
+        for run in earlier:
+            old = self.postings(run).select("bucket", F.col("keys").alias("old_keys"), F.col("docs").alias("old_docs"))
+            held = held.unionAll(new.join(old, "bucket").mapInArrow(_meet(self.buckets), RUN))
+        held.write.mode("overwrite").parquet(f"{self.root}/holders={batch}")
+        self._compact()
+        return self
+
+    def _compact(self) -> None:
+        """Size-tiered: when FANOUT runs of one size stand side by side, one takes their place."""
+        runs = self.runs()
+        size = lambda r: r[1] - r[0] + 1
+        last = runs[-FANOUT:]
+        while len(last) == FANOUT and len({size(r) for r in last}) == 1:
+            both = None
+            for i, r in enumerate(last):
+                one = self.postings(r).select("bucket", F.col("keys").alias(f"k{i}"), F.col("docs").alias(f"d{i}"))
+                both = one if both is None else both.join(one, "bucket", "full")
+            merged = both.select("bucket", *[F.array_compact(F.array(*[f"{c}{i}" for i in range(FANOUT)])).alias(n) for c, n in (("k", "all_keys"), ("d", "all_docs"))])
+            self._save(merged.mapInArrow(_compacted, RUN), f"{self.root}/postings={last[0][0]}-{last[-1][1]}")
+            last = self.runs()[-FANOUT:]
 
     def participants(self) -> DataFrame:
         """(doc_id, keys): documents with their shared fingerprints."""
-        rows = None
-        for r in self.runs:
-            part = r.where(F.col("kind") == _HOLDERS)
-            rows = part if rows is None else rows.unionAll(part)
-        return rows.groupBy("bucket").applyInArrow(_per_doc, "doc_id long, keys binary")
+        held = self.spark.read.schema(RUN).parquet(*[f"{self.root}/holders={b}" for b in self._complete("holders")])
+        return held.groupBy("bucket").applyInArrow(_per_doc, "doc_id long, keys binary")
 
 
 def _per_doc(data: pa.Table) -> pa.Table:
@@ -204,21 +282,29 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     return gram_hashes(words, WINDOW, seed=0xA0761D6478BD642F)
 
 
+def window_checks(words: np.ndarray) -> np.ndarray:
+    """A second hash of the windows: together with the first, 128 bits are compared."""
+    return gram_hashes(mix64(words), WINDOW, seed=0xE7037ED1A0B428DB)
+
+
 def _windows(buckets: int):
     """Postings of the windows to verify; of windows that a smaller document of the same slice
     has too, the holder at once."""
 
     def run(batches):
         for batch in sliced(batches, most=TOGETHER):
-            keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            keys, checks, docs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("keys").to_pylist(), strict=True):
                 words = hash_words(text.split())
                 at = _isin(fingerprints(words), unpack(parts))
-                keys.append(np.unique(window_hashes(words)[at]))
-                docs.append(np.full(len(keys[-1]), doc_id, np.int64))
-            keys, docs = np.concatenate(keys), np.concatenate(docs)
-            k, least, _, order, group = _least_by_key(keys, docs)
-            rows = [(b, _POSTINGS, pack(k[c]), pack(least[c]), b"") for b, c in _cells(bucket_of(k, buckets))]
+                own, first = np.unique(window_hashes(words)[at], return_index=True)
+                keys.append(own)
+                checks.append(window_checks(words)[at][first])
+                docs.append(np.full(len(own), doc_id, np.int64))
+            keys, checks, docs = np.concatenate(keys), np.concatenate(checks), np.concatenate(docs)
+            k, least, count, order, group = _least_by_key(keys, docs, checks)
+            check = checks[order][np.cumsum(count) - 1] if len(k) else checks
+            rows = [(b, _POSTINGS, pack(k[c]), pack(least[c]), pack(check[c])) for b, c in _cells(bucket_of(k, buckets))]
             later = order[docs[order] > least[group]]
             yield _run_rows(rows + list(_holder_rows(keys[later], docs[later], buckets)))
 
@@ -235,7 +321,7 @@ def _judge(buckets: int):
         if posts:
             keys = np.concatenate([unpack(r["keys"]) for r in posts])
             docs = np.concatenate([unpack(r["docs"], np.int64) for r in posts])
-            _, least, _, order, group = _least_by_key(keys, docs)
+            _, least, _, order, group = _least_by_key(keys, docs, np.concatenate([unpack(r["shared"]) for r in posts]))
             later = order[docs[order] > least[group]]
             out += _holder_rows(keys[later], docs[later], buckets)
         return pa.Table.from_batches([_run_rows(out)])
@@ -291,12 +377,12 @@ def rewritten(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256. The documents enter the index in
     `batches` ranges of doc_id."""
-    index = FingerprintIndex(2 * partitions(docs.sparkSession))
+    index = FingerprintIndex(docs.sparkSession, work_dir(docs.sparkSession, "fingerprint-index"), 2 * partitions(docs.sparkSession))
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02) if batches > 1 else []
     edges = [None, *[int(c) for c in cuts], None]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
+    for number, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         part = docs if low is None else docs.where(F.col("doc_id") > low)
-        index = index.append(part if high is None else part.where(F.col("doc_id") <= high))
+        index.append(part if high is None else part.where(F.col("doc_id") <= high), number)
     changed = stored(rewritten(docs, repeated_windows(docs, index)).drop("kept_text"), "repeat-rewritten")
     clean = docs.select("doc_id", "text").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return clean.join(changed.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(changed)

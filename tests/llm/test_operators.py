@@ -426,3 +426,31 @@ def test_triples_of_bytes_are_spread_over_buckets():
                 got.update(dict(zip(context_mixing.unpack(r["hashes"]).tolist(), context_mixing.unpack(r["counts"], np.int64).tolist(), strict=True)))
     data = b"\0\0" + text.encode() + b"\xff"
     assert got == Counter(int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2)) and len(buckets) == 8
+
+
+def test_an_index_is_opened_again_and_compacted(spark):
+    """Ten batches by three openings, one of them twice: as all at once."""
+    rnd = np.random.default_rng(9)
+    shared = [" ".join(f"s{k}w{i}" for i in range(30)) for k in range(6)]
+    texts = [" ".join([f"d{d}", *rnd.choice(400, 40).astype(str), shared[int(rnd.integers(6))], *rnd.choice(400, 20).astype(str)]) for d in range(60)]
+    texts[7] = " ".join(f"only{i}" for i in range(100))
+    docs, root = documents(spark, texts), work_dir(spark, "test-index")
+    for batch in range(10):
+        index = repeats.FingerprintIndex(spark.newSession() if batch in (4, 7) else spark, root, 8)
+        part = docs.where(f"doc_id >= {6 * batch} and doc_id < {6 * batch + 6}")
+        index.append(part, batch)
+        if batch == 5:
+            index.append(part, batch)
+    assert index.runs() == [(0, 3), (4, 7), (8, 8), (9, 9)]
+    plan = index.postings((8, 8)).join(index.postings((9, 9)), "bucket")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    opened = repeats.FingerprintIndex(spark, root, 8)
+    found = rows(repeats.rewritten(docs, repeats.repeated_windows(docs, opened)))
+    seen, lost = set(), set()
+    for d, t in enumerate(texts):
+        w = t.split()
+        grams = {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+        if grams & seen:
+            lost.add(d)
+        seen |= grams
+    assert set(found) == lost and all(r["n_removed"] == 30 for r in found.values())
