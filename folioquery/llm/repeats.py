@@ -42,7 +42,10 @@ FANOUT = 4
 TOGETHER = 8 << 20
 _POSTINGS, _HOLDERS = 0, 1
 RUN = "bucket int, kind int, keys binary, docs binary, shared binary"
-#: Of holders, `bucket` is a group of documents; of postings, a range of hashes.
+#: Of holders, `bucket` is a group of documents; of postings, a range of hashes. A run's table is
+#: bucketed by `at`, the range of hashes of either.
+RUN_AT = f"{RUN}, at int"
+_FIELDS = [x.split()[0] for x in RUN.split(", ")]
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -130,7 +133,8 @@ def _flush(buckets: int):
             shared = (count > 1).astype(np.uint8)
             rows = [(b, _POSTINGS, pack(k[c]), pack(least[c]), shared[c].tobytes()) for b, c in _cells(bucket_of(k, buckets))]
             held = order[shared[group] > 0]
-            yield _run_rows(rows + list(_holder_rows(keys[held], docs[held], buckets)))
+            made = _run_rows(rows + list(_holder_rows(keys[held], docs[held], buckets)))
+            yield pa.RecordBatch.from_arrays([*made.columns, made.column("bucket")], [*made.schema.names, "at"])
 
     return run
 
@@ -149,8 +153,9 @@ def _gather(buckets: int):
             k, least, count, order, group = _least_by_key(keys, docs)
             found = order[(count[group] > 1) & (flag[order] == 0)]
             out += _holder_rows(keys[found], docs[found], buckets)
-            out.append((posts[0]["bucket"], _POSTINGS, pack(k), pack(least), b""))
-        return pa.Table.from_batches([_run_rows(out)])
+            out.append((rows[0]["at"], _POSTINGS, pack(k), pack(least), b""))
+        made = pa.Table.from_batches([_run_rows(out)])
+        return made.append_column("at", pa.array([rows[0]["at"]] * made.num_rows, pa.int32()))
 
     return run
 
@@ -178,7 +183,8 @@ def _compacted(batches):
             keys = np.concatenate([unpack(k) for k in row["all_keys"]])
             docs = np.concatenate([unpack(d, np.int64) for d in row["all_docs"]])
             k, least, *_ = _least_by_key(keys, docs)
-            yield _run_rows([(row["bucket"], _POSTINGS, pack(k), pack(least), b"")])
+            block = _run_rows([(row["at"], _POSTINGS, pack(k), pack(least), b"")])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array([row["at"]], pa.int32())], [*block.schema.names, "at"])
 
 
 class FingerprintIndex:
@@ -207,13 +213,13 @@ class FingerprintIndex:
     def _table(self, path: str) -> DataFrame:
         """A run's table, known to this session by a name from its path."""
         name = f"fingerprints_{hashlib.md5(path.encode()).hexdigest()}"
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RUN}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RUN_AT}) USING parquet CLUSTERED BY (at) SORTED BY (at) INTO {self.buckets} BUCKETS LOCATION '{path}'")
         return self.spark.table(name)
 
     def _save(self, rows: DataFrame, path: str) -> None:
-        """One file a bucket."""
+        """Rows that lie in as many partitions by `at` as there are buckets: one file each."""
         name = f"writing_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "bucket").write.mode("overwrite").format("parquet").bucketBy(self.buckets, "bucket").sortBy("bucket").option("path", path).saveAsTable(name)
+        rows.write.mode("overwrite").format("parquet").bucketBy(self.buckets, "at").sortBy("at").option("path", path).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
 
     def postings(self, run: tuple[int, int]) -> DataFrame:
@@ -225,14 +231,13 @@ class FingerprintIndex:
         if str(batch) in self._complete("holders"):
             return self
         earlier = [r for r in self.runs() if r[1] < batch]
-        rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_flush(self.buckets), RUN)
-        gathered = stored(rows.groupBy("bucket").applyInArrow(_gather(self.buckets), RUN), "fingerprints")
+        flushed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_flush(self.buckets), RUN_AT)
         path = f"{self.root}/postings={batch}-{batch}"
-        self._save(gathered.where(F.col("kind") == _POSTINGS), path)
-        held, new = gathered.where(F.col("kind") == _HOLDERS), self._table(path)
+        self._save(flushed.repartition(self.buckets, "at").groupBy("at").applyInArrow(_gather(self.buckets), RUN_AT), path)
+        held = self._table(path).where(F.col("kind") == _HOLDERS).select(*_FIELDS)
         for run in earlier:
-            old = self.postings(run).select("bucket", F.col("keys").alias("old_keys"), F.col("docs").alias("old_docs"))
-            held = held.unionAll(new.join(old, "bucket").mapInArrow(_meet(self.buckets), RUN))
+            old = self.postings(run).select("at", F.col("keys").alias("old_keys"), F.col("docs").alias("old_docs"))
+            held = held.unionAll(self.postings((batch, batch)).join(old, "at").mapInArrow(_meet(self.buckets), RUN))
         held.write.mode("overwrite").parquet(f"{self.root}/holders={batch}")
         self._compact()
         return self
@@ -245,10 +250,10 @@ class FingerprintIndex:
         while len(last) == FANOUT and len({size(r) for r in last}) == 1:
             both = None
             for i, r in enumerate(last):
-                one = self.postings(r).select("bucket", F.col("keys").alias(f"k{i}"), F.col("docs").alias(f"d{i}"))
-                both = one if both is None else both.join(one, "bucket", "full")
-            merged = both.select("bucket", *[F.array_compact(F.array(*[f"{c}{i}" for i in range(FANOUT)])).alias(n) for c, n in (("k", "all_keys"), ("d", "all_docs"))])
-            self._save(merged.mapInArrow(_compacted, RUN), f"{self.root}/postings={last[0][0]}-{last[-1][1]}")
+                one = self.postings(r).select("at", F.col("keys").alias(f"k{i}"), F.col("docs").alias(f"d{i}"))
+                both = one if both is None else both.join(one, "at", "full")
+            merged = both.select("at", *[F.array_compact(F.array(*[f"{c}{i}" for i in range(FANOUT)])).alias(n) for c, n in (("k", "all_keys"), ("d", "all_docs"))])
+            self._save(merged.mapInArrow(_compacted, RUN_AT).repartition(self.buckets, "at"), f"{self.root}/postings={last[0][0]}-{last[-1][1]}")
             last = self.runs()[-FANOUT:]
 
     def participants(self) -> DataFrame:

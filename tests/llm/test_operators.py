@@ -442,7 +442,7 @@ def test_an_index_is_opened_again_and_compacted(spark):
         if batch == 5:
             index.append(part, batch)
     assert index.runs() == [(0, 3), (4, 7), (8, 8), (9, 9)]
-    plan = index.postings((8, 8)).join(index.postings((9, 9)), "bucket")._jdf.queryExecution().executedPlan().toString()
+    plan = index.postings((8, 8)).join(index.postings((9, 9)), "at")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     opened = repeats.FingerprintIndex(spark, root, 8)
     found = rows(repeats.rewritten(docs, repeats.repeated_windows(docs, opened)))
