@@ -6,8 +6,9 @@ for its length and its commas to its ancestors, less with each level; a containe
 discounted by its link density. The article or main element around the best container is kept with
 those siblings that score well too. Without one, the outermost ancestor that holds several children
 with points is kept, from its first to its last child with text that isn't mostly links. Lists of
-links are dropped outside the best container (or article or main element), not in it. The blocks of
-text are joined in page order.
+links are dropped outside the best container (or article or main element), not in it; a header inside
+an article or main element is part of it. The blocks of text are joined in page order. Time grows with
+the page's length, for deep inline nesting and end tags without an open element too.
 
 Pages are independent rows in Arrow batches, so the job is one narrow stage without a shuffle.
 
@@ -19,6 +20,7 @@ as nothing recurses. Extra columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -74,8 +76,16 @@ def _marks(tag: str, attrs: dict[str, str], parent: Node) -> tuple[bool, bool]:
     return clutter, bool(name and _GOOD.search(name))
 
 
+def _closed(at: Node, to: Node, n_open: Counter) -> Node:
+    """Closes the open elements from `at` up to `to`, which stays open."""
+    while at is not to:
+        n_open[at.tag] -= 1
+        at = at.parent
+    return to
+
+
 def parse(page: str) -> Node:
-    root = Node("html", None)
+    root, n_open = Node("html", None), Counter()
     at, pos, n = root, 0, len(page)
     for m in iter(lambda: _TOKEN.search(page, pos) if pos < n else None, None):
         if m.start() > pos:
@@ -87,31 +97,31 @@ def parse(page: str) -> Node:
                 at.kids.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         if m[1] or m[4]:  # an end tag closes the nearest open element of its name
-            up = at
+            up = at if n_open[tag] else root  # without an open one, no walk
             while up is not root and up.tag != tag:
                 if up.tag in ("td", "th", "table") and tag not in BLOCKS:
                     break
                 up = up.parent
             if up is not root and up.tag == tag:
-                at = up.parent
+                at = _closed(at, up.parent, n_open)
             continue
         if tag == "html" or tag == "body" and at.tag == "body":
             continue
-        if tag in BLOCKS and tag != "html":
+        if tag in BLOCKS and n_open["p"]:
             up = at  # a block ends an open paragraph
             while up is not root and up.tag not in ("p", "td", "th", "button", "table") and not (up.tag in BLOCKS and up.tag != "p"):
                 up = up.parent
             if up.tag == "p":
-                at = up.parent
+                at = _closed(at, up.parent, n_open)
         if tag in _CLOSES:
             closes, until = _CLOSES[tag]
-            up, last = at, None
-            while up is not root and up.tag not in until:
+            up, last, left = at, None, sum(n_open[t] for t in closes)
+            while left and up is not root and up.tag not in until:
                 if up.tag in closes:
-                    last = up
+                    last, left = up, left - 1
                 up = up.parent
             if last is not None:
-                at = last.parent
+                at = _closed(at, last.parent, n_open)
         attrs = _attributes(m[3] or m[6] or "")
         node = Node(tag, at, *_marks(tag, attrs, at))
         if tag in RAW:  # its content is text up to its own end tag
@@ -121,6 +131,7 @@ def parse(page: str) -> Node:
         at.kids.append(node)
         if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             at = node
+            n_open[tag] += 1
     if pos < n:
         at.kids.append(page[pos:])
     return root
@@ -141,16 +152,19 @@ def score(root: Node) -> list[Node]:
     """Fills lengths and points; the nodes without clutter, parents first."""
     nodes = _ordered(root)
     inline: dict[Node, list[str]] = {}
+    around: dict[Node, tuple[Node, bool]] = {}  # the block that a node is in, and whether by way of a link
     for node in nodes:
+        if node.tag in BLOCKS or node.parent is None:
+            block, link = node, False
+        else:
+            block, link = around[node.parent]
+            link |= node.tag == "a"
+        around[node] = block, link
         own = [k for k in node.kids if isinstance(k, str)]
         size = sum(len(" ".join(k.split())) for k in own)
         node.length += size
         if not size:
             continue
-        block, link = node, False
-        while block.tag not in BLOCKS and block.parent:
-            link |= block.tag == "a"
-            block = block.parent
         if link:
             node.links += size
         inline.setdefault(block, []).extend(own)
@@ -274,10 +288,7 @@ def blocks_of(tops: list[Node]) -> list[str]:
                 if block:
                     flush()
                     stack.append(None)
-                kids = item.kids
-                if item.tag == "header":  # of an article: its headings only
-                    kids = [k for k in kids if isinstance(k, Node) and (k.tag in _HEADINGS or k.tag in ("div", "hgroup"))]
-                stack.extend(reversed(kids))
+                stack.extend(reversed(item.kids))
         flush()
     return out
 

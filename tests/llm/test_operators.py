@@ -327,6 +327,24 @@ def test_html_keeps_all_parts_of_the_text(page, kept, gone):
     assert all(t in text for t in ["Words, and more words", *kept]) and not any(t in text for t in gone)
 
 
+@pytest.mark.parametrize("page", [lambda n: "<span>" * n + "</b>" * n + "end", lambda n: "<span>word " * n, lambda n: "<span>" * n + "<div>x</div>" * n, lambda n: "<a href=x>" * n + "<li>x" * n])
+def test_html_of_odd_nesting_takes_time_by_length(page):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        assert html_text.extract(page(n))
+        return time.process_time() - began
+
+    assert seconds(16_000) < 12 * max(0.02, seconds(4_000))  # in proportion: 4 times; by the square: 16
+
+
+def test_a_header_inside_an_article_is_part_of_it():
+    page = f"<body><header><p>Site name</p></header><article><header><h1>Title</h1><p>What it is about.</p></header>{LONG_P}</article>"
+    text = html_text.extract(page)
+    assert text.startswith("Title\nWhat it is about.\nWords") and "Site name" not in text
+
+
 def test_language_scores(spark, docs, nothing):
     import math
 
