@@ -472,3 +472,21 @@ def test_an_index_is_opened_again_and_compacted(spark):
             lost.add(d)
         seen |= grams
     assert set(found) == lost and all(r["n_removed"] == 30 for r in found.values())
+
+
+def test_segments_of_long_texts(monkeypatch):
+    """Decisions of a text in segments are those of the whole text, unless a piece is longer than a segment."""
+    rnd = np.random.default_rng(11)
+    words = [bytes(rnd.integers(97, 123, rnd.integers(1, 12)).astype(np.uint8)) for _ in range(4000)]
+    text = b"".join(w + (b" ", b"\n", b"  ")[i % 3] for i, w in enumerate(words)) + b"\0tail"
+    code = context_mixing.make_code(np.arange(0, 1 << 24, 77), np.arange(0, 1 << 24, 77) % 1000 + 1)
+    whole = context_mixing.decide([text], code)
+    monkeypatch.setattr(context_mixing, "TOGETHER", 1000)
+    parts = [context_mixing.decide([part], code, skip, ended) for part, skip, ended in context_mixing.segments_of(text)]
+    assert len(parts) > 20
+    for name in ("slots", "bits", "gates"):
+        assert np.array_equal(np.concatenate([getattr(d, name) for d in parts]), getattr(whole, name))
+    for odd in (b"", b" " * 5000, b"x" * 5000, b"ab " + b"y" * 3000 + b" z", b"\0"):
+        found = list(context_mixing.segments_of(odd))
+        assert b"".join(part[skip:] for part, skip, _ in found) == odd.replace(b"\0", b"")
+        assert [ended for *_, ended in found] == [False] * (len(found) - 1) + [True]
