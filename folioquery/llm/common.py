@@ -22,6 +22,8 @@ CACHE_WORDS = 100_000
 #: Bytes of text that a worker takes at once, where no single text is longer.
 TEXT_BYTES = 2 << 20
 M64 = (1 << 64) - 1
+#: Most files whose names `keyed` collects and broadcasts.
+FILES = 20_000
 
 
 #: Settings of the Arrow stages that replace Spark's defaults, if the session has these: a batch that
@@ -64,15 +66,26 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _scans_files(docs: DataFrame) -> bool:
+    """Whether docs are rows of files, each once: projections and filters over one relation."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
+
+
 def keyed(docs: DataFrame, column: str, tag: str) -> DataFrame:
-    """docs with a column of distinct longs, the same at every reading. Of rows of files it is made of
-    the file's number and the row's place in it, without copying them; others are stored first."""
+    """docs with a column of distinct longs, the same at every reading. Of the rows of at most FILES files it is made of
+    the file's number and the row's place in it, without copying them; others, and rows of joins,
+    explodes and unions, are stored first."""
     try:
-        files = docs.select("_metadata.file_path").distinct()
+        files = docs.select("_metadata.file_path").distinct().limit(FILES + 1).collect() if _scans_files(docs) else []
     except AnalysisException:
+        files = []
+    if not 0 < len(files) <= FILES:
         return stored(docs.withColumn(column, F.monotonically_increasing_id()), tag)
-    numbers = {r[0]: i for i, r in enumerate(files.orderBy("file_path").collect())}  # as many as there are files
-    number = docs.sparkSession.createDataFrame(list(numbers.items()), "_keyed_path string, _keyed_file long")
+    numbers = [(path, i) for i, path in enumerate(sorted(r[0] for r in files))]
+    number = docs.sparkSession.createDataFrame(numbers, "_keyed_path string, _keyed_file long")
     rows = docs.select("*", F.col("_metadata.file_path").alias("_keyed_path"), F.col("_metadata.row_index").alias("_keyed_at"))
     key = F.shiftleft("_keyed_file", 40) + F.col("_keyed_at")
     return rows.join(F.broadcast(number), "_keyed_path").select(*docs.columns, key.alias(column))
