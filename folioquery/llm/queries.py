@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import context_mixing, decontam, html_text, mixing, near_dedup, quality, repeats, token_counts, token_records, toxicity
+from . import context_mixing, decontam, html_text, mixing, near_dedup, quality, repeats, suffixes, token_counts, token_records, toxicity
 
 QUERIES = {
     "op1_token_records": token_records.op1_token_records,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_sainte_lague": mixing.op8_sainte_lague,
     "op9_substring_index": repeats.op9_substring_index,
     "op10_token_rollup": token_counts.op10_token_rollup,
+    "op12_suffix_array": suffixes.op12_suffix_array,
 }
 ORACLES = {
     "op3_setsketch_dedup": near_dedup.ORACLE_SQL,
@@ -20,4 +21,5 @@ ORACLES = {
     "op8_sainte_lague": mixing.ORACLE_SQL,
     "op9_substring_index": repeats.ORACLE_SQL,
     "op10_token_rollup": token_counts.ORACLE_SQL,
+    "op12_suffix_array": suffixes.ORACLE_SQL,
 }
