@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, by registered name."""
 
-from . import context_mixing, decontam, html_text, mixing, near_dedup, quality, repeats, suffixes, token_counts, token_records, toxicity
+from . import context_mixing, decontam, html_text, mixing, near_dedup, quality, repeats, resampling, suffixes, token_counts, token_records, toxicity, whitening
 
 QUERIES = {
     "op1_token_records": token_records.op1_token_records,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_sainte_lague": mixing.op8_sainte_lague,
     "op9_substring_index": repeats.op9_substring_index,
     "op10_token_rollup": token_counts.op10_token_rollup,
+    "op11_whitening": whitening.op11_whitening,
     "op12_suffix_array": suffixes.op12_suffix_array,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 ORACLES = {
     "op3_setsketch_dedup": near_dedup.ORACLE_SQL,
@@ -22,4 +24,5 @@ ORACLES = {
     "op9_substring_index": repeats.ORACLE_SQL,
     "op10_token_rollup": token_counts.ORACLE_SQL,
     "op12_suffix_array": suffixes.ORACLE_SQL,
+    "op13_importance_resampling": resampling.ORACLE_SQL,
 }
