@@ -17,7 +17,8 @@ from ..functions import geometry as g
 from ..operators import pages as page_ops
 from ..operators import reports, text
 from ..sources.pdf import RUN_COLUMNS, TEXT_COLUMNS, documents, open_documents, page_primitives
-from ..sources.pdf_writer import files, in_pages, show_lines, shown
+from ..sources.pdf_tables import inside
+from ..sources.pdf_writer import files, in_pages, object_files, show_lines, shown
 from ..sources.store import stored
 
 #: Lines of a page, and rows of a table that one task writes as files.
@@ -205,13 +206,57 @@ def pdf_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_ops.page_boxes(open_documents(files(df))).select("doc_id", "rotation", "width", "height")
 
 
-@query("SELECT o_custkey AS doc_id, max_by(o_orderkey, (o_orderdate, o_orderkey))::VARCHAR AS text FROM orders GROUP BY o_custkey")
-def pdf_latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders as incremental updates of one page: the newest cross reference wins."""
+def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as incremental updates of one page; of every other customer with cross reference streams."""
     rows = _table(spark, sf_dir, "orders", "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("rows"))
     pages = F.transform("rows", lambda r: F.array(show_lines(F.array(r["o_orderkey"].cast("string")))))
-    df = rows.withColumn("all", pages).select("doc_id", F.col("all")[0].alias("pages"), F.slice("all", 2, 1 << 30).alias("updates"), (F.col("doc_id") % 2 == 0).alias("as_stream"))
-    return text.page_text(_runs(open_documents(files(df)))).select("doc_id", "text")
+    return files(rows.withColumn("all", pages).select("doc_id", F.col("all")[0].alias("pages"), F.slice("all", 2, 1 << 30).alias("updates"), (F.col("doc_id") % 2 == 0).alias("as_stream")))
+
+
+@query("SELECT o_custkey AS doc_id, max_by(o_orderkey, (o_orderdate, o_orderkey))::VARCHAR AS text FROM orders GROUP BY o_custkey")
+def pdf_latest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after all updates: the newest cross reference wins."""
+    return text.page_text(_runs(open_documents(_updated(spark, sf_dir)))).select("doc_id", "text")
+
+
+@query("WITH c AS (SELECT o_custkey AS doc_id, count(*) AS k FROM orders GROUP BY o_custkey) SELECT doc_id, num, 'offset' AS kind, CASE WHEN num = 5 THEN 0 ELSE k - 1 END::INT AS section FROM c, (SELECT unnest(range(1, 6)) AS num)")
+def pdf_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object of the updated files, and how many updates back its newest version was written: the page's content in the
+    last one, all else in the first."""
+    return inside(_updated(spark, sf_dir).withColumnRenamed("doc_id", "doc_row")).xref.select(F.col("doc_row").alias("doc_id"), "num", "kind", "section")
+
+
+@query("SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 > 1 AND p_size <= 32 THEN p_partkey END AS value, p_size AS hops FROM part")
+def pdf_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of 1 to 50 steps, of every fifth part in a circle and of another fifth to nothing."""
+    chain = F.transform(F.sequence(F.lit(1), "p_size"), lambda i: F.struct((9 + i).alias("num"), F.concat((10 + i).cast("string"), F.lit(" 0 R")).alias("body")))
+    last = F.struct((F.col("p_size") + 10).alias("num"), F.when(F.col("p_partkey") % 5 == 0, F.lit("10 0 R")).when(F.col("p_partkey") % 5 == 1, F.lit("9 0 R")).otherwise(F.col("p_partkey").cast("string")).alias("body"))
+    root = F.array(F.struct(F.lit(1).alias("num"), F.lit("<< /Type /Catalog >>").alias("body")))
+    made = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(root, chain, F.array(last)).alias("objects"), (F.col("p_partkey") % 2 == 0).alias("packed"))
+    found = inside(object_files(made).withColumnRenamed("doc_id", "doc_row"))
+    steps = found.objects.where("num > 9 and start is null").groupBy("doc_row").agg((F.count(F.lit(1)) - 1).cast("int").alias("hops"))
+    value = found.resolved().where("num = 10").select("doc_row", F.try_variant_get("body", "$", "long").alias("value"))
+    return steps.join(value, "doc_row").select(F.col("doc_row").alias("doc_id"), "value", "hops")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS doc_id, p_size, unnest(range(least(2 * p_size, 64))) AS i FROM part)
+SELECT doc_id, i::INT AS page_index, (i // 3 * 270 % 360)::INT AS rotate, 100.0 + p_size AS width, CASE WHEN i >= 5 THEN 50.0 ELSE 100.0 + p_size END AS crop_width, 2 * p_size > 64 AS truncated FROM p"""
+)
+def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of 2 to 100 levels, a page and the next level on each: boxes and rotation come from the nearest level above, and what is
+    deeper than 64 isn't reached. Every other file has its tree inside an object stream."""
+    level = lambda i: F.concat(
+        F.lit("<< /Type /Pages /Kids ["), (2 * i + 3).cast("string"), F.lit(" 0 R "), F.when(i < 2 * F.col("p_size") - 1, F.concat((2 * i + 4).cast("string"), F.lit(" 0 R"))).otherwise(""), F.lit("]"),
+        F.when(i == 0, F.concat(F.lit(" /MediaBox [0 0 "), (F.col("p_size") + 100).cast("string"), F.lit(" 500]"))).when(i == 5, F.lit(" /CropBox [50 100 0 0]")).otherwise(""),
+        F.when(i % 3 == 0, F.concat(F.lit(" /Rotate "), (90 * i).cast("string"))).otherwise(""), F.lit(" >>"),
+    )
+    node = F.flatten(F.transform(F.sequence(F.lit(0), 2 * F.col("p_size") - 1), lambda i: F.array(F.struct((2 * i + 2).alias("num"), level(i).alias("body")), F.struct((2 * i + 3).alias("num"), F.lit("<< /Type /Page >>").alias("body")))))
+    root = F.array(F.struct(F.lit(1).alias("num"), F.lit("<< /Type /Catalog /Pages 2 0 R >>").alias("body")))
+    made = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(root, node).alias("objects"), (F.col("p_partkey") % 2 == 0).alias("packed"))
+    found = inside(object_files(made).withColumnRenamed("doc_id", "doc_row")).pages()
+    wide = lambda c: F.col(c)[2] - F.col(c)[0]
+    return found.select(F.col("doc_row").alias("doc_id"), "page_index", "rotate", wide("media").alias("width"), F.coalesce(wide("crop"), wide("media")).alias("crop_width"), "truncated")
 
 
 _ENCODERS = ("FlateDecode", "ASCII85Decode", "ASCIIHexDecode", "RunLengthDecode", "LZWDecode")

@@ -93,8 +93,10 @@ class PdfFile:
         s = self._load_at(at, None)
         if not isinstance(s, Stream):
             raise ParseError("no cross reference stream")
-        widths, index = s.dict.get("W"), s.dict.get("Index") or [0, s.dict.get("Size", 0)]
-        if not isinstance(widths, list) or len(widths) < 3:
+        widths, index = ([v for v in x if type(v) is int] if isinstance(x, list) else None for x in (s.dict.get("W"), s.dict.get("Index")))
+        index = [v for v in (0, s.dict.get("Size")) if type(v) is int] if index is None else index
+        widths = [max(0, w) for w in widths or ()]
+        if len(widths) < 3 or not any(widths):
             raise ParseError("bad widths")
         data, pos = decode(s, self.resolve)[0], 0
         for first, count in zip(index[::2], index[1::2], strict=False):
@@ -146,7 +148,7 @@ class PdfFile:
         return self.cache[num]
 
     def resolve(self, obj):
-        for _ in range(REF_HOPS):
+        for _ in range(REF_HOPS + 2):  # a reference, and REF_HOPS from what it names on
             if not isinstance(obj, Ref):
                 return obj
             obj = self.get(obj.num)
@@ -252,6 +254,7 @@ class PdfFile:
             kids = self.resolve(node.get("Kids"))
             if isinstance(kids, list):
                 stack.extend((k, have, depth + 1) for k in reversed(kids))
+            if isinstance(kids, list) or self.resolve(node.get("Type")) == "Pages":
                 continue
             parts = self.resolve(node.get("Contents"))
             parts = parts if isinstance(parts, list) else [parts]

@@ -90,6 +90,40 @@ def file_of(objects: dict[int, bytes], trailer: str = "/Root 1 0 R", start: int
     return bytes(out)
 
 
+def packed_file(objects: dict[int, bytes], packed: set[int], root: int = 1) -> bytes:
+    """A file with a cross reference stream, the objects in `packed` inside an object stream."""
+    out, entries = bytearray(b"%PDF-1.7\n"), {}
+    holder = max(objects) + 1
+    names, bodies = b"", b""
+    for i, num in enumerate(sorted(packed & set(objects))):
+        names += b"%d %d " % (num, len(bodies))
+        bodies += objects[num] + b" "
+        entries[num] = b"\x02" + holder.to_bytes(4, "big") + i.to_bytes(2, "big")
+    held = stream(zlib.compress(names + bodies), f"/Type /ObjStm /N {len(entries)} /First {len(names)} /Filter /FlateDecode ")
+    for num, body in [*[(n, b) for n, b in objects.items() if n not in packed], (holder, held)]:
+        entries[num] = b"\x01" + len(out).to_bytes(4, "big") + bytes(2)
+        out += b"%d 0 obj\n" % num + body + b"\nendobj\n"
+    at, rows = len(out), b"".join(entries[n] for n in sorted(entries))
+    index = " ".join(f"{n} 1" for n in sorted(entries))
+    out += b"%d 0 obj\n" % (holder + 1) + stream(zlib.compress(rows), f"/Type /XRef /W [1 4 2] /Index [{index}] /Size {holder + 2} /Root {root} 0 R /Filter /FlateDecode ") + b"\nendobj\n"
+    return bytes(out + b"startxref\n%d\n%%%%EOF\n" % at)
+
+
+def object_files(df: DataFrame) -> DataFrame:
+    """df: doc_id, objects (array of num and body) and packed, whether all go into an object stream: doc_id and content. Object 1 is the
+    catalog."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                objects = {x["num"]: x["body"].encode("latin-1") for x in row["objects"]}
+                out.append(packed_file(objects, set(objects)) if row["packed"] else file_of(objects))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    return df.select("doc_id", "objects", "packed").mapInArrow(run, "doc_id long, content binary")
+
+
 def _wide_font(num: int) -> tuple[dict[int, bytes], dict[int, bytes]]:
     """Objects and streams, from `num` on, of a font whose codes are code points in four bytes."""
     space = b"1 begincodespacerange <00000000> <0010FFFF> endcodespacerange\n"
