@@ -40,7 +40,9 @@ SCORED = "_row long, doc_id long, n_words long, n_features long, weight long"
 
 def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word its document and bucket; of each pair of words its document and bucket."""
-    split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pattern=_BETWEEN)
+    # taken whole: some kernels read a slice from the start of the array below it
+    own = pc.take(pc.fill_null(texts, ""), pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    split = pc.split_pattern_regex(pc.ascii_lower(own), pattern=_BETWEEN)
     words = pc.list_flatten(split)
     doc = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
     some = pc.not_equal(words, "")

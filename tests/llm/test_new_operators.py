@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,16 @@ def test_importance_resampling(spark, tmp_path):
     assert got.columns == docs.columns and Counter(r["doc_id"] for r in got.collect()) == Counter(r[0] for r in ranks.elements() if r[4])
 
 
+def test_features_of_slices():
+    texts = pa.array([None, "A b É b", "", "zero one two Two", "b b b", None, "Größe x"])
+    whole = resampling.features(texts)
+    for step in (1, 2, 3):
+        parts = [resampling.features(texts.slice(a, step)) for a in range(0, len(texts), step)]
+        for k in range(4):
+            at = [step * i * (k % 2 == 0) for i in range(len(parts))]
+            assert np.concatenate([p[k] + a for p, a in zip(parts, at, strict=True)]).tolist() == whole[k].tolist()
+
+
 def test_importance_resampling_of_nothing(spark):
     none = spark.createDataFrame([], "text string")
     assert resampling.importance(documents(spark, []), none).count() == 0
