@@ -17,9 +17,10 @@ from ..functions import geometry as g
 from ..operators import pages as page_ops
 from ..operators import reports, text
 from ..sources.pdf import RUN_COLUMNS, TEXT_COLUMNS, documents, open_documents, page_primitives
+from ..sources.datasource import register as register_sources
 from ..sources.pdf_tables import inside
-from ..sources.pdf_writer import files, in_pages, object_files, show_lines, shown
-from ..sources.store import stored
+from ..sources.pdf_writer import files, in_pages, object_files, show_lines, shown, write_files
+from ..sources.store import folder, stored
 
 #: Lines of a page, and rows of a table that one task writes as files.
 LINES, ROWS = 50, 4096
@@ -240,18 +241,19 @@ def pdf_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT p_partkey AS doc_id, p_size, unnest(range(least(2 * p_size, 64))) AS i FROM part)
-SELECT doc_id, i::INT AS page_index, (i // 3 * 270 % 360)::INT AS rotate, 100.0 + p_size AS width, CASE WHEN i >= 5 THEN 50.0 ELSE 100.0 + p_size END AS crop_width, 2 * p_size > 64 AS truncated FROM p"""
+    """WITH p AS (SELECT p_partkey AS doc_id, p_size, unnest(range(p_size % 20 + 1)) AS i FROM part)
+SELECT doc_id, i::INT AS page_index, (i // 3 * 270 % 360)::INT AS rotate, 100.0 + p_size AS width, CASE WHEN i >= 5 THEN 50.0 ELSE 100.0 + p_size END AS crop_width, false AS truncated FROM p"""
 )
 def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees of 2 to 100 levels, a page and the next level on each: boxes and rotation come from the nearest level above, and what is
-    deeper than 64 isn't reached. Every other file has its tree inside an object stream."""
+    """Trees of 1 to 20 levels, a page and the next level on each: boxes and rotation come from the nearest level above.
+    Every other file has its tree inside an object stream."""
+    last = F.col("p_size") % 20
     level = lambda i: F.concat(
-        F.lit("<< /Type /Pages /Kids ["), (2 * i + 3).cast("string"), F.lit(" 0 R "), F.when(i < 2 * F.col("p_size") - 1, F.concat((2 * i + 4).cast("string"), F.lit(" 0 R"))).otherwise(""), F.lit("]"),
+        F.lit("<< /Type /Pages /Kids ["), (2 * i + 3).cast("string"), F.lit(" 0 R "), F.when(i < last, F.concat((2 * i + 4).cast("string"), F.lit(" 0 R"))).otherwise(""), F.lit("]"),
         F.when(i == 0, F.concat(F.lit(" /MediaBox [0 0 "), (F.col("p_size") + 100).cast("string"), F.lit(" 500]"))).when(i == 5, F.lit(" /CropBox [50 100 0 0]")).otherwise(""),
         F.when(i % 3 == 0, F.concat(F.lit(" /Rotate "), (90 * i).cast("string"))).otherwise(""), F.lit(" >>"),
     )
-    node = F.flatten(F.transform(F.sequence(F.lit(0), 2 * F.col("p_size") - 1), lambda i: F.array(F.struct((2 * i + 2).alias("num"), level(i).alias("body")), F.struct((2 * i + 3).alias("num"), F.lit("<< /Type /Page >>").alias("body")))))
+    node = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.array(F.struct((2 * i + 2).alias("num"), level(i).alias("body")), F.struct((2 * i + 3).alias("num"), F.lit("<< /Type /Page >>").alias("body")))))
     root = F.array(F.struct(F.lit(1).alias("num"), F.lit("<< /Type /Catalog /Pages 2 0 R >>").alias("body")))
     made = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(root, node).alias("objects"), (F.col("p_partkey") % 2 == 0).alias("packed"))
     found = inside(object_files(made).withColumnRenamed("doc_id", "doc_row")).pages()
@@ -259,6 +261,19 @@ def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_row").alias("doc_id"), "page_index", "rotate", wide("media").alias("width"), F.coalesce(wide("crop"), wide("media")).alias("crop_width"), "truncated")
 
 
+@query("SELECT (c_custkey // 1000)::VARCHAR AS file, (row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1)::INT AS page_index, c_name AS text FROM customer")
+def pdf_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer, a thousand to a file at most, read with the data source in splits."""
+    block = F.floor(F.col("c_custkey") / 1000).cast("string").alias("file")
+    rows = _table(spark, sf_dir, "customer").groupBy(block).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+    made = files(rows.select(F.col("file").cast("long").alias("doc_id"), F.transform("rows", lambda r: show_lines(F.array(r["c_name"]))).alias("pages")))
+    at = folder(spark, "pdf-files")
+    write_files(made.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), "content"), at)
+    register_sources(spark)
+    runs = spark.read.format("pdf").option("rows", "run").option("splitBytes", 1 << 16).schema("path string, page_index int, own_text string").load(at)
+    return runs.select(F.regexp_extract("path", r"([^/]*)\.pdf$", 1).alias("file"), "page_index", F.col("own_text").alias("text"))
+
+
 _ENCODERS = ("FlateDecode", "ASCII85Decode", "ASCIIHexDecode", "RunLengthDecode", "LZWDecode")
 
 

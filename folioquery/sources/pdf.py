@@ -213,6 +213,21 @@ TEXT_COLUMNS = ("doc_row", "doc_id", "page_index", "kind", "seq", "own_text", "s
 RUN_COLUMNS = (*TEXT_COLUMNS, "tx", "ty", "lx", "ly", "ey", "last_text", "starts", "n")
 
 
+def primitive_batches(keys: list[tuple], pages: list[Page], out: pa.Schema):
+    """What pages hold, as batches of the columns in `out`; keys: (doc_row, doc_id, page_index) of each."""
+    for made in (_glyph_batch(keys, pages), _run_batch(keys, pages)):
+        if made:
+            yield _batch(made, out)
+    rows = []
+    for (at, d, i), p in zip(keys, pages, strict=True):
+        for s, path, box, fill, stroke, width, odd, fa, sa in p.paths:
+            rows.append({"doc_row": at, "doc_id": d, "page_index": i, "kind": "path", "seq": s, "cmds": [{"op": o, "pts": q} for o, q in path], "bbox": list(box), "fill": fill and list(fill), "stroke": stroke and list(stroke), "line_width": width, "even_odd": odd, "fill_alpha": fa, "stroke_alpha": sa})
+        for s, name, ctm, box, w, h, mask, bpc, n, fill, fa, num, data, codec in p.images:
+            rows.append({"doc_row": at, "doc_id": d, "page_index": i, "kind": "image", "seq": s, "name": name, "ctm": list(ctm), "bbox": list(box), "width": w, "height": h, "is_mask": mask, "bpc": bpc, "components": n, "fill": list(fill), "fill_alpha": fa, "obj_num": num, "data": data, "codec": codec})
+    if rows:
+        yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in out} for r in rows], out)
+
+
 def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path", "image"), columns: tuple[str, ...] | None = None) -> DataFrame:
     """Page rows -> rows of the wanted kinds, which may also be "run"; `seq` is the paint order among all kinds. `columns`
     keeps what isn't asked for from leaving the tasks, as Catalyst can't prune inside them."""
@@ -230,17 +245,7 @@ def page_primitives(opened: DataFrame, want: tuple[str, ...] = ("glyph", "path",
                     with contextlib.suppress(*DAMAGE):
                         page.run(content or b"", given)
                     pages.append(page)
-                for made in (_glyph_batch(keys, pages), _run_batch(keys, pages)):
-                    if made:
-                        yield _batch(made, out)
-                rows = []
-                for (at, d, i), p in zip(keys, pages, strict=True):
-                    for s, path, box, fill, stroke, width, odd, fa, sa in p.paths:
-                        rows.append({"doc_row": at, "doc_id": d, "page_index": i, "kind": "path", "seq": s, "cmds": [{"op": o, "pts": q} for o, q in path], "bbox": list(box), "fill": fill and list(fill), "stroke": stroke and list(stroke), "line_width": width, "even_odd": odd, "fill_alpha": fa, "stroke_alpha": sa})
-                    for s, name, ctm, box, w, h, mask, bpc, n, fill, fa, num, data, codec in p.images:
-                        rows.append({"doc_row": at, "doc_id": d, "page_index": i, "kind": "image", "seq": s, "name": name, "ctm": list(ctm), "bbox": list(box), "width": w, "height": h, "is_mask": mask, "bpc": bpc, "components": n, "fill": list(fill), "fill_alpha": fa, "obj_num": num, "data": data, "codec": codec})
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in out} for r in rows], out)
+                yield from primitive_batches(keys, pages, out)
 
     pages = opened.where("page_index is not null").select("doc_row", "doc_id", "page_index", "content", "resources")
     return pages.mapInArrow(run, schema)

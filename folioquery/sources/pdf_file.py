@@ -222,8 +222,8 @@ class PdfFile:
 
     # --- pages
 
-    def pages(self) -> list[dict]:
-        """Leaves in order: resources, media and crop box, rotation, content."""
+    def pages(self, wanted=lambda i: True) -> list[dict]:
+        """Leaves in order: resources, media and crop box, rotation, and the content of those wanted."""
         catalog = self.resolve(self.trailer.get("Root"))
         root = self.resolve(catalog.get("Pages")) if isinstance(catalog, dict) else None
         out: list[dict] = []
@@ -256,7 +256,7 @@ class PdfFile:
                 stack.extend((k, have, depth + 1) for k in reversed(kids))
             if isinstance(kids, list) or self.resolve(node.get("Type")) == "Pages":
                 continue
-            parts = self.resolve(node.get("Contents"))
+            parts = self.resolve(node.get("Contents")) if wanted(len(out)) else []
             parts = parts if isinstance(parts, list) else [parts]
             content = b"\n".join(x for x in (self.bytes_of(p) for p in parts) if x)
             out.append({"resources": have.get("Resources", {}), "media": have.get("MediaBox"), "crop": have.get("CropBox"), "rotate": have.get("Rotate", 0), "content": content})

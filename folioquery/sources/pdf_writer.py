@@ -8,6 +8,7 @@ import hashlib
 import zlib
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +110,21 @@ def packed_file(objects: dict[int, bytes], packed: set[int], root: int = 1) -> b
     return bytes(out + b"startxref\n%d\n%%%%EOF\n" % at)
 
 
+def write_files(df: DataFrame, folder: str) -> int:
+    """Writes content of df (name, content) as files of these names into a folder that all machines share; how many."""
+
+    def run(batches):
+        for batch in batches:
+            fs, root = pa_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa_fs.LocalFileSystem(), folder)
+            fs.create_dir(root, recursive=True)
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with fs.open_output_stream(f"{root}/{name}") as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return df.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def object_files(df: DataFrame) -> DataFrame:
     """df: doc_id, objects (array of num and body) and packed, whether all go into an object stream: doc_id and content. Object 1 is the
     catalog."""

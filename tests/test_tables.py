@@ -78,7 +78,8 @@ def trees():
     cyclic = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 2 0 R] >>", 3: b"<< /Type /Pages /Kids [2 0 R] >>"}
     lone = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages >>"}
     inherit = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R 2 0 R << /Type /Page /Rotate 90 >> 9 0 R << /Kids [<< /Rotate -90 >>] >>] /MediaBox 8 0 R /Rotate 450 /Resources << /A 1 >> >>", 3: b"<< /Kids [4 0 R 4 0 R 5 0 R] /CropBox [30 40 1 2] >>", 4: b"<< /Type /Page >>", 5: b"6 0 R", 6: b"7 0 R", 7: b"<< /Type /Page /MediaBox [10 10 0 0] /Rotate (x) >>", 8: b"[0 0 5 9]"}
-    return {"ways": file_of(ways), "cyclic": file_of(cyclic), "lone": file_of(lone), "empty": b"", "junk": b"junk", "null": None, "inherit": file_of(inherit), "packed": packed_file(inherit, {2, 3, 4, 8}), "shifted": b"junk before\n" + file_of(inherit)}
+    deep = {1: b"<< /Type /Catalog /Pages 2 0 R >>"} | {k: v for i in range(70) for k, v in ((2 * i + 2, b"<< /Kids [%d 0 R %d 0 R] >>" % (2 * i + 3, 2 * i + 4)), (2 * i + 3, b"<< /Type /Page >>"))}
+    return {"deep": file_of(deep), "ways": file_of(ways), "cyclic": file_of(cyclic), "lone": file_of(lone), "empty": b"", "junk": b"junk", "null": None, "inherit": file_of(inherit), "packed": packed_file(inherit, {2, 3, 4, 8}), "shifted": b"junk before\n" + file_of(inherit)}
 
 
 def damaged():
@@ -133,6 +134,11 @@ def test_a_page_tree_of_many_ways(found):
     assert [(r["num"], r["truncated"]) for r in found.pages[found.at["ways"]]] == [(82, True), (83, True)]
 
 
+def test_what_is_too_deep_is_left_out(found):
+    pages = found.pages[found.at["deep"]]
+    assert [(r["num"], r["truncated"]) for r in pages] == [(2 * i + 3, True) for i in range(64)] and len(in_turn(CONTENTS["deep"])) == 64
+
+
 def test_trees_without_pages(found):
     for name in ("cyclic", "lone", "empty", "junk", "null"):
         assert found.pages[found.at[name]] == [] == in_turn(CONTENTS[name])
