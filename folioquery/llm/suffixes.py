@@ -45,7 +45,7 @@ WINDOW, LEAD = 200, 64
 #: Places that an anchor may have in its window.
 PLACES = WINDOW - LEAD + 1
 #: Bytes of contexts in a bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 ANCHORS = "hash long, row long, pos int, before int, behind int"
 CONTEXTS = "row long, pos int, before binary, behind binary"
 #: start and stop of covered bytes, or, with a digest, of one window of a group at a bucket's edge; row is null where it needs no answer.
@@ -135,11 +135,12 @@ def _matrix(column, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray
     """Bytes of a binary column as rows of `width`, filled up with zeros, and their lengths."""
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     data = np.frombuffer(b"".join(column.to_pylist()) or b"\0", np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    i = np.arange(width)
-    inside = i < sizes[:, None]
-    at = (starts + sizes)[:, None] - 1 - i if backwards else starts[:, None] + i
-    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8), sizes
+    starts, out, i = np.cumsum(sizes) - sizes, np.zeros((len(sizes), width), np.uint8), np.arange(width)
+    for a in range(0, len(sizes), 1 << 12):
+        first, n = starts[a : a + (1 << 12), None], sizes[a : a + (1 << 12), None]
+        at = first + n - 1 - i if backwards else first + i
+        out[a : a + (1 << 12)] = np.where(i < n, data[np.where(i < n, at, 0)], 0)
+    return out, sizes
 
 
 def multikey_order(tokens: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -255,7 +256,8 @@ def covered(rows: DataFrame) -> DataFrame:
     """rows: row (distinct), text. (row, spans): what repeats, as runs that may overlap, of the rows that have such."""
     spark = rows.sparkSession
     anchors = stored(rows.mapInArrow(_anchors, ANCHORS), "suffix-anchors")
-    again = anchors.groupBy("hash").count().where("count > 1").select("hash")
+    # stored, so that the join has a shuffle of its own on either side and AQE can split a hot hash
+    again = stored(anchors.groupBy("hash").count().where("count > 1").select("hash"), "suffix-hashes")
     of_row = F.collect_list(F.struct("pos", "before", "behind")).alias("anchors")
     held = stored(anchors.join(again, "hash").groupBy("row").agg(of_row, F.sum(F.col("before") + F.col("behind")).alias("bytes")), "suffix-rows")
     size = held.agg(F.sum("bytes")).first()[0] or 0
@@ -296,7 +298,8 @@ def op12_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * WINDOW})) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {WINDOW - 1})) AS i FROM d)),
+b AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2000 + {2 * WINDOW - 2}) AS part FROM (SELECT doc_id, h, 1000 * unnest(range(0, (len(h) // 2 - {WINDOW} + 1000) // 1000)) AS base FROM d)),
+w AS (SELECT doc_id, base + i AS i, md5_number(substr(part, 2 * i + 1, {2 * WINDOW})) AS k FROM (SELECT doc_id, base, part, unnest(range(0, least(1000, len(part) // 2 - {WINDOW - 1}))) AS i FROM b)),
 m AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 f AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + {WINDOW} AS starts FROM w JOIN m USING (k)),
 s AS (SELECT doc_id, min(i) AS a, max(i) + {WINDOW} AS b FROM (SELECT doc_id, i, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f) GROUP BY doc_id, island),
