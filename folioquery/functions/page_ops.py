@@ -184,21 +184,22 @@ class Page:
                 else:
                     gs.stroke, gs.ns = (0.0,) * 3, n
             elif op in (b"m", b"l") and len(v) >= 2:
-                at = (num(v), num(v, 1))
+                at = apply(gs.ctm, num(v), num(v, 1))
                 start = at if op == b"m" else start
-                path.append(("M" if op == b"m" else "L", [*apply(gs.ctm, *at)]))
+                path.append(("M" if op == b"m" else "L", [*at]))
             elif op in (b"c", b"v", b"y") and len(v) >= (6 if op == b"c" else 4):
-                p = [(num(v, i), num(v, i + 1)) for i in range(0, 6 if op == b"c" else 4, 2)]
+                p = [apply(gs.ctm, num(v, i), num(v, i + 1)) for i in range(0, 6 if op == b"c" else 4, 2)]
                 p = p if op == b"c" else [at, *p] if op == b"v" else [p[0], p[1], p[1]]
-                path.append(("C", [c for x in p for c in apply(gs.ctm, *x)]))
+                path.append(("C", [c for x in p for c in x]))
                 at = p[-1]
             elif op == b"h":
                 path.append(("Z", []))
                 at = start
             elif op == b"re" and len(v) >= 4:
                 x, y, w, h = (num(v, i) for i in range(4))
-                path += [(c, [*apply(gs.ctm, *p)]) for c, p in zip("MLLL", ((x, y), (x + w, y), (x + w, y + h), (x, y + h)), strict=True)] + [("Z", [])]
-                at = start = (x, y)
+                p = [apply(gs.ctm, *q) for q in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+                path += [(c, [*q]) for c, q in zip("MLLL", p, strict=True)] + [("Z", [])]
+                at = start = p[0]
             elif op in _PAINTS:
                 fill, stroke, odd = _PAINTS[op]
                 if op in (b"s", b"b", b"b*") and path:

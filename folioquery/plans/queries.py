@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..operators import graphics
 from ..operators import pages as page_ops
 from ..operators import reports, text
 from ..sources.pdf import RUN_COLUMNS, TEXT_COLUMNS, documents, open_documents, page_primitives
@@ -197,6 +198,24 @@ def pdf_path_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prims.select("doc_id", *[F.round(F.col("fill")[i], 4).alias(n) for i, n in enumerate(("red", "green", "blue"))], F.round(g.width(g.rect_of(F.col("bbox"))), 3).alias("width"))
 
 
+@query(
+    """WITH p AS (SELECT p_partkey AS doc_id, p_size, unnest(range(1, p_size + 1)) AS k FROM part)
+SELECT doc_id, k::INT AS path, round(CASE WHEN k = 1 THEN 1.0 ELSE 2.0 + 1.5 * (k - 2) END, 3) AS x0, round(CASE WHEN k = 1 THEN 1 ELSE 1.5 END * 2.0, 3) AS width, CASE WHEN k % 2 = 0 THEN round(k / 50.0, 4) ELSE 0.0 END AS red,
+CASE WHEN k % 2 = 0 THEN 0.5 ELSE 0.0 END AS green, round(CASE WHEN k = p_size THEN 3.0 ELSE 1.0 END * CASE WHEN k = 1 THEN 1 ELSE 1.5 END, 3) AS line_width FROM p"""
+)
+def pdf_graphics_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames inside frames, as many as a part's size, a square painted at the end of each: on the way out every frame has
+    its own matrix again, and the colour and width that were set in it or around it."""
+    k = F.sequence(F.lit(1), "p_size")
+    enter = F.transform(k, lambda i: F.concat(F.lit("q 1 0 0 1 1 0 cm "), F.when(i % 2 == 0, F.concat(F.format_string("%.4f", i / 50.0), F.lit(" 0.5 0 rg "))).otherwise(F.lit("0 g ")), F.when(i == 2, F.lit("1.5 0 0 1 0 0 cm ")).otherwise(""), F.when(i == F.col("p_size"), F.lit("3 w ")).otherwise("")))
+    leave = F.transform(k, lambda i: F.concat(F.lit("0 0 2 2 re B "), F.lit("Q ")))
+    made = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(F.concat(F.array_join(enter, ""), F.array_join(leave, ""))).alias("pages"), "p_size")
+    found = graphics.paths(graphics.states(graphics.operations(stored(open_documents(files(made.select("doc_id", "pages"))), "pdf-opened"))))
+    number = F.expr("CAST(row_number() OVER (PARTITION BY doc_row ORDER BY i DESC) AS INT)")
+    b = F.col("bbox")
+    return found.select("doc_id", number.alias("path"), F.round(b[0], 3).alias("x0"), F.round(b[2] - b[0], 3).alias("width"), F.round(F.col("fill")[0], 4).alias("red"), F.round(F.col("fill")[1], 4).alias("green"), F.round("line_width", 3).alias("line_width"))
+
+
 @query(
     """SELECT p_partkey AS doc_id, (p_size % 4 * 90)::INT AS rotation, CASE WHEN p_size % 2 = 1 THEN 500.0 ELSE 100.0 + p_size END AS width,
 CASE WHEN p_size % 2 = 1 THEN 100.0 + p_size ELSE 500.0 END AS height FROM part"""
