@@ -404,6 +404,45 @@ def pdf_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(page_ops.in_region(prims, 0, 0, 200, 400)).select("doc_id", "n_glyphs", "n_paths")
 
 
+@query(
+    """WITH r AS (SELECT n_nationkey AS region_id, n_nationkey * 20.0 AS x0, 15.0 AS y0, n_nationkey * 20.0 + n_nationkey * n_nationkey AS x1, 15.0 + n_nationkey AS y1 FROM nation),
+s AS (SELECT p_partkey AS doc_id, p_size * 10.0 AS x0, 20.0 AS y0, p_size * 10.0 + 30 AS x1, 50.0 AS y1 FROM part UNION ALL SELECT p_partkey, 0, 0, 612, 792 FROM part WHERE p_size % 7 = 0)
+SELECT region_id, doc_id, count(*) AS n FROM r JOIN s ON s.x0 <= r.x1 AND s.x1 >= r.x0 AND s.y0 <= r.y1 AND s.y1 >= r.y0 GROUP BY region_id, doc_id"""
+)
+def pdf_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each nation, of growing size, and all shapes of all pages that touch it: squares by a part's size, and page-wide ones."""
+    wide = F.when(F.col("p_size") % 7 == 0, F.lit("0 0 612 792 re S ")).otherwise("")
+    page = F.concat((F.col("p_size") * 10).cast("string"), F.lit(" 20 30 30 re f "), wide)
+    opened = open_documents(files(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(page).alias("pages"))))
+    n = F.col("n_nationkey")
+    areas = spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.alias("region_id"), (n * 20 + n * n).alias("x0"), F.lit(15).alias("y0"), (n * 20).alias("x1"), (n + 15).alias("y1"))
+    found = page_ops.in_regions(page_primitives(opened, ("path",), ("doc_row", "doc_id", "page_index", "kind", "seq", "bbox", "x", "y", "end_x", "end_y", "size", "rotation")), areas)
+    return found.groupBy("region_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT p_partkey AS doc_id, length(p_name)::BIGINT + CASE WHEN p_size % 2 = 1 THEN 3 ELSE 0 END AS n_glyphs, (p_size % 5)::BIGINT AS n_paths, (p_size % 3)::BIGINT AS n_images,
+CASE WHEN p_size % 2 = 1 THEN 'Helvetica,Wide' ELSE 'Helvetica' END AS fonts FROM part"""
+)
+def pdf_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of pages with text in one font or two, and as many paths and images as a part's size says."""
+    times = lambda n, s: F.repeat(F.lit(s), (F.col("p_size") % n).cast("int"))
+    second = F.when(F.col("p_size") % 2 == 1, shown(F.lit("αβγ"))).otherwise("")
+    page = F.concat(times(5, "1 1 2 2 re f "), times(3, "q 9 0 0 9 0 0 cm BI /W 1 /H 1 /CS /G /BPC 8 ID x EI Q "), F.lit("BT /F1 10 Tf 72 700 Td "), shown(F.col("p_name")), F.lit(" 0 -14 Td "), second, F.lit(" ET"))
+    found = reports.totals(page_primitives(open_documents(files(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(page).alias("pages")))), columns=("doc_row", "doc_id", "kind", "base_font")))
+    return found.withColumn("fonts", F.array_join("fonts", ",")).drop("doc_row")
+
+
+@query("SELECT c_custkey AS doc_id, c_name || '-' || c_mktsegment || ' x ' || 'y' || ' ' || ' ' || 'z' AS text FROM customer")
+def pdf_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacement texts with every mark that is dropped, a hyphen that doesn't break, and controls and wide spaces, which become spaces."""
+    marks = F.lit("\u00ad\u200b\u200e\u200f\u2060\ufeff")
+    said = F.concat(marks, "c_name", F.lit("\u2011"), "c_mktsegment", F.lit("\u2003x\u0007"), marks, F.lit("y\u3000\u0085z"), marks)
+    span = F.concat(F.lit("/Span << /ActualText <FEFF"), F.hex(F.encode(said, "UTF-16BE")), F.lit("> >> BDC BT /F1 10 Tf 72 742 Td (ab) Tj ET EMC"))
+    opened = open_documents(files(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(span).alias("pages"))))
+    return text.page_text(_runs(opened)).select("doc_id", "text")
+
+
 _M = ", ".join(f"coalesce(embedding[{i + 1}], 0)::DOUBLE AS {c}" for i, c in enumerate(("a", "b", "c", "d", "e", "f", "a2", "b2", "c2", "d2", "e2", "f2", "x", "y")))
 
 
