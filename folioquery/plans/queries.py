@@ -330,6 +330,20 @@ def pdf_font_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.font_coverage(text.with_spaces(_glyphs(open_documents(files(df)), None))).select("base_font", "total", "unmapped", "pct", "marked")
 
 
+@query(
+    """WITH c AS (SELECT p_type || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '-Bold' ELSE '-Italic' END AS base_font, p_size % 3 AS k, unnest(string_split(p_name || chr(48 + p_size % 10), '')) AS c FROM part)
+SELECT base_font, 256 + CASE k WHEN 0 THEN 0 WHEN 1 THEN 128 ELSE 16 END AS flags, array_to_string(list_sort(list_distinct(list(ascii(c)) FILTER (c IN ('a', 'e', '3', '4', '5'))))[1:12], ',') AS codes FROM c WHERE c <> '' GROUP BY base_font, k"""
+)
+def pdf_font_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a digit in fonts of three styles that don't map two letters and three digits: styles by name, and the codes."""
+    style = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "-Bold").otherwise("-Italic")
+    font = F.concat(F.lit("<< /Type /Font /Subtype /Type1 /BaseFont /"), F.replace("p_type", F.lit(" "), F.lit("#20")), style, F.lit(" /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [51 /mute /mute /mute 97 /mute 101 /mute] >> >>"))
+    said = F.concat("p_name", (F.col("p_size") % 10).cast("string"))
+    df = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(show_lines(F.array(said))).alias("pages"), font.alias("font"))
+    found = reports.font_coverage(text.with_spaces(_glyphs(open_documents(files(df)), None))).where("base_font is not null")
+    return found.select("base_font", "flags", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+
+
 _WORDS = r"regexp_extract_all(lower(replace({}, chr(173), '')), '[0-9A-Za-z]+(?:[''\-][0-9A-Za-z]+)*')"
 #: Every word of doc_id % 4 = 0 is kept, of the others each tenth, third or second is another one.
 _ALTERED = "array_to_string(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda w, i: CASE WHEN doc_id % 4 <> 0 AND i % (CASE doc_id % 4 WHEN 1 THEN 10 WHEN 2 THEN 3 ELSE 2 END) = 0 THEN 'zzz' ELSE w END), ' ')"
