@@ -5,11 +5,13 @@ of binary decisions, two or three a byte. Each of the predictors looks up, by th
 (the last 3 and 4 bytes, whatever they are; all of the piece so far; the same with the piece before;
 a piece is a run of bytes with the space or line feed after it) and the place in the code, how often either bit
 followed in the training documents. Their log odds are combined with weights chosen by a gate (place
-in the piece and in the code); the weights start from those that training documents lead to and are
-refined in each document on its own, after every STEP decisions and by all of them. The bits of all decisions give the text's probability.
+in the piece and in the code); the weights start from fixed ones and are refined in each document on its own, by all
+decisions: after the first 8, and each time that these have doubled, up to every STEP. The bits of all decisions give the text's probability.
 
-A training document's own occurrence of a decision is taken out of the counts before its bits are
-predicted, so training and held-out documents are scored alike, as texts not seen before.
+All that a training document itself has added to the bits' counts is taken out of them before it is scored, so training and
+held-out documents are scored alike, as texts not seen before. The code, which is made of the triples of all training
+documents, stays as it is: in a small corpus a document that holds much of some triples has shorter code words for them. Counts
+beyond MOST are scaled down and a document's own are not, which is of no weight among so many.
 
 1. One pass counts words, and triples of bytes, of the training documents; words are summed per hash
    bucket. 2. One pass fills the count tables: a fixed number of slots, of which a task sends its
@@ -41,13 +43,11 @@ from .repeats import _cells, bucket_of, pack, unpack
 SLOT_BITS = (19, 20, 20, 21)
 FIRST_SLOT = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 PREDICTORS = len(SLOT_BITS)
-#: Weights to learn the start weights from, learning rate, prior count of a bit.
+#: Weights that every document starts with, learning rate, prior count of a bit.
 START = np.array([0.25, 0.25, 0.30, 0.30], np.float32)
 LEARN, PRIOR = 0.02, 0.2
-#: Decisions after which the weights are refined.
-STEP = 128
-#: Training documents, those of the smallest hashes, and bytes of each, that give the start weights.
-STARTERS, STARTER_BYTES = 512, 1 << 14
+#: Decisions after which the weights are refined, at first and at most.
+FIRST_STEP, STEP = 8, 128
 #: Bytes of texts whose words are counted, or looked up, together.
 TEXTS = 8 << 20
 #: About how many bytes of documents are mixed side by side, and looked up together.
@@ -332,7 +332,6 @@ class Model:
     counts: np.ndarray
     head: np.ndarray
     head_counts: np.ndarray
-    start: np.ndarray | None = None
 
 
 def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
@@ -360,10 +359,7 @@ def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
     counts = np.zeros((int(FIRST_SLOT[-1]) // BLOCK_SLOTS, BLOCK_SLOTS), np.uint32)
     for r in blocks.collect():  # as many rows as there are blocks of slots
         counts[r["block"]] = unpack(r["counts"], np.uint32)
-    model = Model(buckets, tokens, types, code, counts.reshape(-1), head[order], head_counts[order])
-    some = docs.select(F.substring("text", 1, STARTER_BYTES).alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(STARTERS).collect()
-    model.start = learn_start(model, [r["text"].encode()[:STARTER_BYTES] for r in some])
-    return model, vocab
+    return Model(buckets, tokens, types, code, counts.reshape(-1), head[order], head_counts[order]), vocab
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -371,17 +367,18 @@ def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
 
 def mix(x: np.ndarray, bits: np.ndarray, gates: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log2 probabilities of the bits of documents that have `counts` decisions, from the predictors'
-    log odds, and the weights at the end, a row a document and gate. The weights are refined after
-    each STEP decisions of a document; documents are taken side by side."""
+    log odds, and the weights at the end, a row a document and gate. Documents are taken side by side."""
     n = len(counts)
     order = np.argsort(-counts, kind="stable")
     first, left = (np.cumsum(counts) - counts)[order], counts[order]
     weights = [np.tile(start[:, k], n) for k in range(PREDICTORS)]
     total, sign = np.zeros(n), np.float32(1) - np.float32(2) * bits
     columns = [x[:, k] for k in range(PREDICTORS)]
-    for done in range(0, int(left[0]) if n else 0, STEP):
+    done, most = 0, int(left[0]) if n else 0
+    while done < most:
+        step = min(max(done, FIRST_STEP), STEP)
         active = int(np.searchsorted(-left, -done, side="left"))  # those with more decisions than done
-        take = np.minimum(left[:active] - done, STEP)
+        take = np.minimum(left[:active] - done, step)
         begin = np.cumsum(take) - take
         at = np.arange(begin[-1] + take[-1]) + np.repeat(first[:active] + done - begin, take)
         xs, s = [column[at] for column in columns], sign[at]
@@ -394,6 +391,7 @@ def mix(x: np.ndarray, bits: np.ndarray, gates: np.ndarray, counts: np.ndarray,
         error = np.float32(-LEARN) * (e / (1 + e)) * s
         for k in range(PREDICTORS):
             np.add.at(weights[k], cell, error * xs[k])
+        done += step
     out = np.empty(n)
     out[order] = -total / np.log(2)
     return out, np.stack(weights, axis=1)
@@ -404,38 +402,49 @@ def mix_bits(x: np.ndarray, bits: np.ndarray, gates: np.ndarray) -> float:
     return float(mix(x, bits, gates, np.array([len(bits)]), np.tile(START, (GATES, 1)))[0][0])
 
 
-def learn_start(model: Model, texts: list[bytes]) -> np.ndarray:
-    """By gate, the weights after all of the given training documents, one after another."""
-    weights = np.tile(START, (GATES, 1))
-    for a, b in groups_of(texts, PART):
-        d = decide(texts[a:b], model.code)
-        x = np.empty(d.slots.shape, np.float32, order="F")
-        for k in range(PREDICTORS):
-            c = model.counts[d.slots[:, k]]
-            x[:, k] = np.where(d.bits, log_odds(c, 1), log_odds(c, 0))
-        weights = mix(x, d.bits, d.gates, np.array([len(d.bits)]), weights)[1]
-    return weights
-
-
-def log_odds(counts: np.ndarray, without: int | None = None) -> np.ndarray:
-    """Log odds of bit 1 of slots, less one occurrence of the bit `without`."""
-    n = [counts & np.uint32(0xFFFF), counts >> np.uint32(16)]
-    if without is not None:
-        n[without] -= np.minimum(n[without], np.uint32(1))
-    return _LOG[n[1]] - _LOG[n[0]]
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of bit 1 of slots."""
+    return _LOG[counts >> np.uint32(16)] - _LOG[counts & np.uint32(0xFFFF)]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
         self.all = log_odds(model.counts)
-        self.others = np.stack([log_odds(model.counts, 0), log_odds(model.counts, 1)], axis=1).reshape(-1)
+        self.both = model.counts.view(np.uint16)  # bit 0 and bit 1 of each slot
+        self.mine = np.zeros(len(self.both), np.int32)  # what the document at hand has added; zeros between documents
+        self.start = np.tile(START, (GATES, 1))
 
-    def odds(self, d: Decisions, own: bool) -> np.ndarray:
-        """Log odds of bit 1; `own`: without the occurrence at hand."""
+    def odds(self, d: Decisions) -> np.ndarray:
+        """Log odds of bit 1."""
         x = np.empty(d.slots.shape, np.float32, order="F")
         for k in range(PREDICTORS):
-            x[:, k] = self.others[d.slots[:, k] * 2 + d.bits] if own else self.all[d.slots[:, k]]
+            x[:, k] = self.all[d.slots[:, k]]
+        return x
+
+    def add(self, slots: np.ndarray, bits: np.ndarray) -> None:
+        for k in range(PREDICTORS):
+            np.add.at(self.mine, slots[:, k] * 2 + bits, 1)
+
+    def other_odds(self, slots: np.ndarray) -> np.ndarray:
+        """Log odds of bit 1, without what `mine` holds."""
+        x = np.empty(slots.shape, np.float32, order="F")
+        for k in range(PREDICTORS):
+            at = slots[:, k] * 2
+            n0, n1 = (_LOG[np.maximum(self.both[i].astype(np.int32) - self.mine[i], 0)] for i in (at, at + 1))
+            x[:, k] = n1 - n0
+        return x
+
+    def own_odds(self, d: Decisions) -> np.ndarray:
+        """Log odds of bit 1 for training documents, each without its own counts."""
+        x = np.empty(d.slots.shape, np.float32, order="F")
+        ends = np.cumsum(d.counts)
+        for a, b in zip((ends - d.counts).tolist(), ends.tolist(), strict=True):
+            slots, bits = d.slots[a:b], d.bits[a:b]
+            self.add(slots, bits)
+            x[a:b] = self.other_odds(slots)
+            for k in range(PREDICTORS):
+                self.mine[slots[:, k] * 2 + bits] = 0
         return x
 
     def log10(self, texts: list[bytes], own: bool) -> np.ndarray:
@@ -443,16 +452,20 @@ class Scorer:
         short = [i for i, t in enumerate(texts) if len(t) <= LONG]
         for a, b in groups_of([texts[i] for i in short]):
             some = [texts[i] for i in short[a:b]]
-            found = [(self.odds(d, own), d.bits, d.gates, d.counts) for d in all_decisions(some, self.m.code)]
+            found = [(self.own_odds(d) if own else self.odds(d), d.bits, d.gates, d.counts) for d in all_decisions(some, self.m.code)]
             x, bits, gates, counts = (np.concatenate(c) for c in zip(*found, strict=True))
-            out[short[a:b]] = mix(x, bits, gates, counts, self.m.start)[0]
+            out[short[a:b]] = mix(x, bits, gates, counts, self.start)[0]
         for i, t in enumerate(texts):
             if len(t) > LONG:
-                weights = self.m.start
+                for part, skip, ended in segments_of(t) if own else ():
+                    d = decide([part], self.m.code, skip, ended)
+                    self.add(d.slots, d.bits)
+                weights = self.start
                 for part, skip, ended in segments_of(t):
                     d = decide([part], self.m.code, skip, ended)
-                    bits, weights = mix(self.odds(d, own), d.bits, d.gates, d.counts, weights)
+                    bits, weights = mix(self.other_odds(d.slots) if own else self.odds(d), d.bits, d.gates, d.counts, weights)
                     out[i] += bits[0]
+                self.mine[:] = 0
         return out * np.log10(2)
 
 

@@ -1,6 +1,7 @@
 """Whitening, suffix array and importance resampling against brute force, with nulls, ties, repeated rows, empty
 tables and extra columns of clashing names."""
 
+import dataclasses
 import hashlib
 import math
 import re
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.llm import resampling, suffixes, whitening
+from folioquery.llm import context_mixing, resampling, suffixes, whitening
 from folioquery.llm.common import keyed
 
 SCHEMA = "doc_id long, text string, row string, rank string, score string, spans string, _row string"
@@ -278,3 +279,45 @@ def test_exact_products():
         want = [[sum(int(a) * int(b) for a, b in zip(y[:, i], y[:, j], strict=True)) for j in range(3)] for i in range(3)]
         assert whitening.exact_product(y).tolist() == want
         assert whitening.exact_sum(y).tolist() == [sum(map(int, y[:, i])) for i in range(3)]
+
+
+# --- language scores
+
+
+def brute_own(model, text):
+    """Each decision's log odds from the counts less all that the text itself holds."""
+    d = context_mixing.decide([text], model.code)
+    x = np.empty(d.slots.shape)
+    for k in range(context_mixing.PREDICTORS):
+        own = Counter(zip(d.slots[:, k].tolist(), d.bits.tolist(), strict=True))
+        for i, slot in enumerate(d.slots[:, k].tolist()):
+            n = [int(model.counts[slot] >> 16 * b & 0xFFFF) - own[slot, b] for b in (0, 1)]
+            x[i, k] = math.log(max(0, n[1]) + context_mixing.PRIOR) - math.log(max(0, n[0]) + context_mixing.PRIOR)
+    return x
+
+
+def test_a_text_that_repeats_itself_scores_alike_trained_on_or_not(spark, monkeypatch):
+    source = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(120).collect() if r["text"]]
+    words = sorted({w for t in source[:40] for w in t.split()})
+    line = " ".join(words[i] for i in np.random.default_rng(1).integers(0, len(words), 14)) + "\n"  # known words in an order of its own
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(source) + 1]
+    once = [*source, line * 30]
+    rows = documents(spark, once, ids[: len(once)]).select("doc_id", "text")
+    model, _ = context_mixing.train(rows, 4)
+    scorer = context_mixing.Scorer(model)
+    some = [t.encode() for t in (once[-1], once[3], "", once[5][:300])]
+    d = context_mixing.decide(some, model.code)
+    assert np.allclose(scorer.own_odds(d), np.concatenate([brute_own(model, t) for t in some]), atol=1e-5) and not scorer.mine.any()
+    # as by a model that has the same code, and was never shown the text
+    text = once[-1].encode()
+    d = context_mixing.decide([text], model.code)
+    counts = model.counts.copy().view(np.uint16)
+    np.subtract.at(counts, (d.slots * 2 + d.bits[:, None]).ravel(), 1)
+    unseen = context_mixing.Scorer(dataclasses.replace(model, counts=counts.view(np.uint32)))
+    assert abs(scorer.log10([text], True)[0] / unseen.log10([text], False)[0] - 1) < 1e-5
+    assert scorer.log10([text], False)[0] > 0.7 * scorer.log10([text], True)[0]  # its own counts would have told it
+    long = once[-1].encode() + once[3].encode()
+    whole = scorer.log10([long], True)[0]
+    monkeypatch.setattr(context_mixing, "LONG", 100)
+    monkeypatch.setattr(context_mixing, "TOGETHER", 700)
+    assert abs(scorer.log10([long], True)[0] / whole - 1) < 0.02 and not scorer.mine.any()

@@ -425,8 +425,10 @@ def test_texts_side_by_side_are_mixed_each_on_its_own():
     both, ends = context_mixing.mix(x, bits, gates, counts, start)[0], np.cumsum(counts)
     for i, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
         w, total = start.copy(), 0.0
-        for first in range(a, b, context_mixing.STEP):
-            part = slice(first, min(b, first + context_mixing.STEP))
+        first = a
+        while first < b:
+            step = min(max(first - a, context_mixing.FIRST_STEP), context_mixing.STEP)
+            part, first = slice(first, min(b, first + step)), first + step
             p = 1 / (1 + np.exp(-(x[part] * w[gates[part]]).sum(axis=1)))
             total += np.log2(np.where(bits[part] == 1, p, 1 - p)).sum()
             np.add.at(w, gates[part], context_mixing.LEARN * (bits[part] - p)[:, None] * x[part])
