@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import sliced, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -42,6 +42,13 @@ _CLUTTER = re.compile(
     r"shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|widgets?|toolbar|pagination|pager|skip\w*|alert\w*|copyright|disclaimer|paywall|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: Names that also stand in names of chapters, and the words that they have beside them where they don't.
+_SOFT = re.compile(r"(?:related|recommend\w*|skip\w*|comments?|social\w*|side|widgets?|notices?|shar(?:e|ing)|alert\w*|promo\w*|copyright|disclaimer|reply|replies|respond)\Z", re.I)
+_FURNITURE = re.compile(
+    r"(?:area|articles?|aside|bar|block|body|bottom|box|btn|buttons?|card|column|container|content|count|feed|footer|form|grid|group|header|holder|icons?|inner|items?|left|like|links?|list|main|media|"
+    r"meta|module|more|news|outer|page|pages|panel|posts?|right|row|section|site|stories|story|strip|text|this|thread|title|to|tools?|top|wrap|wrapper|reader|readers|user|users|js|module|\d+)\Z",
+    re.I,
+)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content\w*|entry\w*|main\w*|post\w*|story\w*|text|page|hentry|prose)(?=$|[\s_-])", re.I)
 #: Tags that an opening tag closes, if open, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -62,12 +69,21 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(text)} if text.strip(" /\n\t") else {}
 
 
+def _furniture(token: str) -> bool:
+    """Whether a class or id names clutter: `related-posts` does, `related-work` and `comments-on-method` don't."""
+    if not _CLUTTER.search(token):
+        return False
+    parts = [p for p in re.split(r"[-_]+", token) if p]
+    firm = [p for p in parts if _CLUTTER.search(p) and not _SOFT.match(p)]
+    return bool(firm) or len(parts) == 1 or not any(_SOFT.match(p) for p in parts) or all(_SOFT.match(p) or _FURNITURE.match(p) for p in parts)
+
+
 def _marks(tag: str, attrs: dict[str, str], parent: Node) -> tuple[bool, bool]:
     """Whether the element is clutter, and whether its class speaks for content."""
     name = f"{attrs.get('class', '')} {attrs.get('id', '')}" if attrs else ""
     clutter = tag in CLUTTER_TAGS or attrs.get("role", "").lower() in CLUTTER_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
     if not clutter and tag not in ("body", "html", "main", "a", "b", "i", "em", "strong", "span", *_HEADINGS) and name != " ":
-        clutter = bool(_CLUTTER.search(name)) and not (tag == "article" and not re.search("comment|ad|promo|related", name, re.I))
+        clutter = any(map(_furniture, name.split())) and not (tag == "article" and not re.search("comment|ad|promo|related", name, re.I))
     if tag == "header" and not clutter:
         up = parent
         while up and up.tag not in ("article", "main"):
@@ -216,15 +232,24 @@ def _between(holder: Node, way: set[Node]) -> Node:
 
 
 def _with_siblings(best: Node) -> list[Node]:
-    """An article or main element and those of its siblings that score well too."""
+    """An article or main element and its siblings: inside a main element all that bear text, elsewhere other articles
+    and those that score well too."""
     if best.parent is None:
         return [best]
-    kept, least = [], max(4.0, 0.2 * best.score)
+    kept, least, up = [], max(4.0, 0.2 * best.score), best.parent
+    while up is not None and up.tag != "main":
+        up = up.parent
     for k in best.parent.kids:
-        if not isinstance(k, Node) or k.clutter:
+        if isinstance(k, str):
+            if up is not None and k.strip():
+                kept.append(Node("p", None))
+                kept[-1].kids.append(k)
+            continue
+        if k.clutter:
             continue
         density = k.links / max(1, k.length)
-        if k is best or k.tag == "h1" or k.score >= least and density < 0.25 or k.tag == "p" and density < 0.25 and k.length >= 80:
+        beside = up is not None or k.tag == best.tag == "article"
+        if k is best or k.tag == "h1" or density < 0.25 and (beside and k.length or k.score >= least or k.tag == "p" and k.length >= 80):
             if k is not best:
                 _drop_link_lists(k)
             kept.append(k)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioquery.llm import context_mixing, resampling, suffixes, whitening
+from folioquery.llm import context_mixing, html_text, resampling, suffixes, whitening
 from folioquery.llm.common import keyed
 
 SCHEMA = "doc_id long, text string, row string, rank string, score string, spans string, _row string"
@@ -321,3 +321,37 @@ def test_a_text_that_repeats_itself_scores_alike_trained_on_or_not(spark, monkey
     monkeypatch.setattr(context_mixing, "LONG", 100)
     monkeypatch.setattr(context_mixing, "TOGETHER", 700)
     assert abs(scorer.log10([long], True)[0] / whole - 1) < 0.02 and not scorer.mine.any()
+
+
+# --- HTML
+
+
+def test_pages_made_of_known_blocks():
+    """200 pages of article blocks among clutter: the text is the planted blocks, whatever their length and classes."""
+    rng = np.random.default_rng(17)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(1, 9))) for _ in range(n)).capitalize() + "."
+    clutter = lambda: pick(
+        f"<nav><a href=x>{prose(2)}</a></nav>", f"<div class='{pick('ad', 'ad-box', 'cookie-notice', 'share-buttons', 'related-posts', 'newsletter', 'comments', 'comment-list', 'sidebar')}'><p>{prose(9)}</p></div>",
+        f"<form><label>{prose(3)}</label><input></form>", f"<script>{prose(3)}</script>", f"<aside><p>{prose(12)}</p></aside>", f"<style>{prose(3)}</style>", "<!-->", f"<!-- {prose(4)} -->", "<!--->",
+    )
+
+    def block():
+        n, text = int(pick(1, 3, 8, 40)), ""
+        text = prose(n)
+        return pick(f"<p>{text}</p>", f"<h2>{text}</h2>", f"<ul><li>{text}</li></ul>", f"<blockquote>{text}</blockquote>", f"<pre>{text}</pre>", f"<section class='{pick('related-work', 'comments-on-method', 'social-impact', 'skip-connections')}'><p>{text}</p></section>", f"<div><p>{text}</p></div>"), text
+
+    for _ in range(200):
+        blocks = [block() for _ in range(int(rng.integers(3, 12)))] + [(f"<p>{(t := prose(60))}</p>", t)]
+        rng.shuffle(blocks)
+        inside = "".join(html + (clutter() if rng.random() < 0.4 else "") for html, _ in blocks)
+        shape = pick("article", "main", "both", "two")
+        texts = [t for _, t in blocks]
+        if shape == "both":
+            inside, texts = f"<main><h1>Title</h1><p>Intro.</p><article>{inside}</article><p>Outro.</p></main>", ["Title", "Intro.", *texts, "Outro."]
+        elif shape == "two":
+            inside, texts = f"<div><article>{inside}</article>{clutter()}<article><p>Short one.</p></article></div>", [*texts, "Short one."]
+        else:
+            inside = f"<{shape}>{inside}</{shape}>"
+        page = f"<html><head><title>x</title></head><body><header><a href=y>{prose(3)}</a></header>{clutter()}{inside}{clutter()}<footer>{prose(6)}</footer></body></html>"
+        assert html_text.extract(page) == "\n".join(texts), page
