@@ -19,6 +19,7 @@ from ..operators import pages as page_ops
 from ..operators import reports, text
 from ..sources.pdf import RUN_COLUMNS, TEXT_COLUMNS, documents, open_documents, page_primitives
 from ..sources.datasource import register as register_sources
+from ..sources.pdf_images import image_contents
 from ..sources.pdf_tables import inside
 from ..sources.pdf_writer import files, in_pages, object_files, show_lines, shown, write_files
 from ..sources.store import folder, stored
@@ -280,6 +281,18 @@ def pdf_page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_row").alias("doc_id"), "page_index", "rotate", wide("media").alias("width"), F.coalesce(wide("crop"), wide("media")).alias("crop_width"), "truncated")
 
 
+@query("SELECT p_partkey AS doc_id, num, md5(CASE num WHEN 5 THEN 'logo' WHEN 6 THEN p_type ELSE p_name END) AS digest FROM part, (SELECT unnest([5, 6, 7]) AS num)")
+def pdf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three image objects in each part's file: one that all share, one of its type and one of its own, by content."""
+    image = lambda s, more="": F.concat(F.lit(f"<< /Type /XObject /Subtype /Image /Width 1 /Height 1 {more}/Length "), F.length(s).cast("string"), F.lit(" >>\nstream\n"), s, F.lit("\nendstream"))
+    hexed = F.hex(F.encode("p_name", "UTF-8"))
+    bodies = [(1, F.lit("<< /Type /Catalog >>")), (5, image(F.lit("logo"))), (6, image(F.col("p_type"))), (7, image(hexed, "/Filter /ASCIIHexDecode "))]
+    made = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.array(*[F.struct(F.lit(n).alias("num"), b.alias("body")) for n, b in bodies]).alias("objects"), F.lit(False).alias("packed"))
+    held = stored(object_files(made).withColumnRenamed("doc_id", "doc_row"), "pdf-made")
+    found = image_contents(held, inside(held).objects)
+    return found.select(F.col("doc_row").alias("doc_id"), "num", F.md5("data").alias("digest"))
+
+
 @query("SELECT (c_custkey // 1000)::VARCHAR AS file, (row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1)::INT AS page_index, c_name AS text FROM customer")
 def pdf_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each customer, a thousand to a file at most, read with the data source in splits."""
