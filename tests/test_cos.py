@@ -84,7 +84,7 @@ def test_version_5_keys(revision):
 
 # What the format, its encodings and its fonts define.
 def test_fonts():
-    assert [text_of_name(n) for n in ("bracketrightbt", "arrowvertex", "bracex", "fiBig", "integraldisplay.alt", "ABig", "u1D400")] == ["", "", None, "fi", "∫", None, "\U0001d400"]
+    assert [text_of_name(n) for n in ("bracketrightbt", "arrowvertex", "bracex", "ffiBig", "integraldisplay.alt", "ABig", "u1D400")] == ["", "", None, "ffi", "∫", None, "\U0001d400"]
     assert [text_of_name(n) for n in ("uni00660066", "one.oldstyle", "parenleftBigg", "parenlefttp", "parenleftex", "summationdisplay", ".notdef", "Ecircumflex")] == ["ff", "1", "(", "(", "", "∑", None, "Ê"]
     assert (ENCODINGS["StandardEncoding"][0x27], ENCODINGS["WinAnsiEncoding"][0x27], ENCODINGS["MacRomanEncoding"][0x8E], ENCODINGS["Symbol"][0x61], ENCODINGS["WinAnsiEncoding"][0xA0]) == ("’", "'", "é", "α", "")
     assert [standard_width("Helvetica", c) for c in ("A", "i", "W", " ", "é")] == [667, 222, 944, 278, None]
