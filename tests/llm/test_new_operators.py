@@ -5,6 +5,7 @@ import dataclasses
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -323,6 +324,47 @@ def test_a_text_that_repeats_itself_scores_alike_trained_on_or_not(spark, monkey
     assert abs(scorer.log10([long], True)[0] / whole - 1) < 0.02 and not scorer.mine.any()
 
 
+def some_texts():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 9))) for _ in range(3000)]
+    texts = [" ".join(words[i] for i in rng.zipf(1.4, 400) % 3000).encode() for _ in range(300)]
+    data = np.frombuffer(b"\0\0" + b"".join(t + b"\xff" for t in texts), np.uint8).astype(np.int64)
+    return texts, context_mixing.make_code(*np.unique(data[:-2] << 16 | data[1:-1] << 8 | data[2:], return_counts=True))
+
+
+def sums_of(texts, code):
+    batch = pa.record_batch([pa.array([t.decode() for t in texts])], ["text"])
+    found = list(context_mixing._fill(code)(iter([batch])))
+    return len(found), np.sum([np.concatenate([context_mixing.unpack(c, np.int64) for c in b.column("counts").to_pylist()]) for b in found], axis=0)
+
+
+def test_own_counts_cost_little():
+    """Training texts take less than three times the time of others; it was six times."""
+    texts, code = some_texts()
+    counts, none = sums_of(texts, code)[1].reshape(-1, 2).astype(np.uint32), np.empty(0, np.int64)
+    scorer = context_mixing.Scorer(context_mixing.Model(1, 1, 1, code, counts[:, 0] | counts[:, 1] << np.uint32(16), none.view(np.uint64), none))
+    took = {False: [], True: []}
+    for own in (False, True) * 3:
+        began = time.process_time()
+        scorer.log10(texts, own)
+        took[own].append(time.process_time() - began)
+    assert min(took[True]) < 3 * min(took[False])
+
+
+def test_sums_of_bits_are_sent_before_they_run_over(monkeypatch):
+    texts, code = some_texts()
+    want = np.zeros(2 * int(context_mixing.FIRST_SLOT[-1]), np.int64)
+    for d in context_mixing.all_decisions(texts, code):
+        for k in range(context_mixing.PREDICTORS):
+            np.add.at(want, d.slots[:, k].astype(np.int64) * 2 + d.bits, np.int64(1))
+    n, at_once = sums_of(texts, code)
+    assert n == 1 and np.array_equal(at_once, want)
+    monkeypatch.setattr(context_mixing, "PART", 1 << 16)
+    monkeypatch.setattr(context_mixing, "MOST_SEEN", 1 << 19)
+    n, in_parts = sums_of(texts, code)
+    assert n > 1 and np.array_equal(in_parts, want)
+
+
 # --- HTML
 
 
