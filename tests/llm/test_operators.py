@@ -229,6 +229,25 @@ def test_pieces_encode_like_whole_texts(text):
     assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_are_looked_up_once_in_texts_taken_together(monkeypatch):
+    looked = []
+
+    class Pieces(dict):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    enc = token_records.Encoder(token_records.default_tokenizer())
+    enc.pieces = Pieces()
+    texts = ["the cat, the dog\nthe cat! " * 200, " the é 😀 dog.", "", "two  spaces", "\n", "the " * 3000 + "end", "a\nthe\n the"]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_all(texts)] == want
+    assert len(looked) < 60  # by piece it was above 4,000
+    monkeypatch.setattr(token_records, "CUT_CHARS", 20)
+    monkeypatch.setattr(token_records, "STRETCH", 7)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_all(texts)] == want
+
+
 def test_mixing(spark, docs, nothing):
     sizes = [len(words(t)) for t in TEXTS]
     found = rows(mixing.mix_targets(docs, block_tokens=1))
