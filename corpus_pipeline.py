@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioquery.llm.common import keyed, stored, table, work_dir
 from folioquery.llm.decontam import uncontaminated
-from folioquery.llm.mixing import mix_targets
+from folioquery.llm.mixing import whole_copies
 from folioquery.llm.near_dedup import near_duplicates
 from folioquery.llm.token_records import read_records, write_records
 from folioquery.llm.toxicity import score_texts, train
@@ -49,11 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops whole documents by the words that the mix takes of them, to the nearest
     number of copies; a document without words isn't taken. Rows are told apart by a key of their own,
     so null and repeated ids are mixed row by row."""
-    rows = keyed(docs, "_mix_row", "pipeline-mix-rows")
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mix_targets(rows, row="_mix_row").where("size > 0").select("_mix_row", copies.alias("_copies"))
-    taken = stored(taken.where("_copies > 0"), "pipeline-mix")
-    return rows.join(taken, "_mix_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return whole_copies(keyed(docs, "_mix_row", "pipeline-mix-rows"), "_mix_row").select(*docs.columns)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,10 +78,44 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return per.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "n_docs", "total", "target")
 
 
+def _digest(seed: str, keep: list[str]) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), *[F.concat(F.lit("row/"), F.col(k).cast("string")) for k in keep], F.lit(""))))
+
+
+def _shard(key: str, shards: str) -> Column:
+    return F.pmod(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), F.col(shards))
+
+
 def mix_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED, row: str | None = None) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken; and `row`,
     a column of distinct keys, if given, by which rows of null or equal ids are told apart."""
     keep = [row] if row else []
+    return _dealt(docs, weights, max_epochs, blocks, block_tokens, shard_tokens, seed, keep).select("doc_id", *keep, "source", "size", "source_size", "target", "taken")
+
+
+def whole_copies(docs: DataFrame, row: str, seed: str = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes its words, to the nearest number of copies; rows without
+    words aren't taken. In a shard the first rows in order get one copy more than the others, so a row a shard (of
+    about SHARD_TOKENS words) says where they end; these are broadcast, and texts aren't shuffled."""
+    rows = _dealt(docs, WEIGHTS, MAX_EPOCHS, BLOCKS, BLOCK_TOKENS, SHARD_TOKENS, seed, [row]).where("size > 0")
+    more = F.floor(F.col("taken") / F.col("size") + 0.5) > F.col("_full")
+    at = F.struct(F.col("_key").alias("key"), F.struct("doc_id", "size", F.col(row).alias("row")).alias("rest"))
+    cuts = rows.groupBy(F.col("_source").alias("_s"), F.col("shard").alias("_sh")).agg(F.first("shards").alias("_shards"), F.first("_full").cast("int").alias("_full"), F.max(F.when(more, at)).alias("_last"))
+    cuts = stored(cuts, "mix-cuts")
+    shards = cuts.groupBy(F.col("_s").alias("_source")).agg(F.first("_shards").alias("_shards"))
+    found = docs.where(F.col("text").rlike(WORD)).withColumn("_key", _digest(seed, [row]))
+    found = found.join(F.broadcast(shards), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_shard", _shard("_key", "_shards"))
+    found = found.join(F.broadcast(cuts.drop("_shards")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_sh")))
+    # keys are equal where ids are; only there words are counted again
+    rest = F.struct("doc_id", word_count(F.col("text")).alias("size"), F.col(row).alias("row"))
+    first = (F.col("_key") < F.col("_last.key")) | ((F.col("_key") == F.col("_last.key")) & (rest <= F.col("_last.rest")))
+    copies = F.col("_full") + F.when(first, 1).otherwise(0)
+    found = found.withColumn("_copies", copies).where("_copies > 0")
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
+def _dealt(docs: DataFrame, weights, max_epochs: int, blocks: int, block_tokens: int, shard_tokens: int, seed: str, keep: list[str]) -> DataFrame:
+    """The columns of mix_targets, and _source, shard, shards, _key and _full: how often all of the shard is taken."""
     sizes = stored(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, max_epochs)
     block = F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(F.col("total") / blocks))).cast("long")
@@ -89,10 +123,9 @@ def mix_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     quotas = sainte_lague(targets, [], "target", "n_blocks", ["source"]).withColumnRenamed("quota", "source_quota")
     quotas = stored(quotas.withColumn("shards", F.ceil(F.col("source_size") / shard_tokens).cast("long")).withColumn("shards", F.greatest("shards", F.lit(1))), "mix-quotas")
     q = quotas.select(F.col("source").alias("_source"), "source_size", "target", "block", "source_quota", "shards")
-    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), *[F.concat(F.lit("row/"), F.col(k).cast("string")) for k in keep], F.lit(""))))
     # one row a source: the build side has as many rows as there are sources, and AQE chooses the join
-    rows = sizes.join(q, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_key", digest)
-    rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.col("shards")))
+    rows = sizes.join(q, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_key", _digest(seed, keep))
+    rows = rows.withColumn("shard", _shard("_key", "shards"))
     shards = rows.groupBy("_source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     dealt = sainte_lague(shards, ["_source"], "shard_size", "source_quota", ["shard"])
     dealt = dealt.select(F.col("_source").alias("_s"), F.col("shard").alias("_sh"), "shard_size", F.least(F.col("quota") * F.col("block"), F.col("shard_size") * max_epochs).alias("_take"))
@@ -102,7 +135,7 @@ def mix_targets(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     rows = rows.withColumn("_end", end).withColumn("_full", F.when(F.col("shard_size") > 0, F.floor(F.col("_take") / F.col("shard_size"))).otherwise(F.lit(0)))
     rest = F.col("_take") - F.col("_full") * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("_end") - F.col("size"))))
-    return rows.select("doc_id", *keep, "source", "size", "source_size", "target", (F.col("size") * F.col("_full") + part).cast("long").alias("taken"))
+    return rows.withColumn("taken", (F.col("size") * F.col("_full") + part).cast("long"))
 
 
 def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

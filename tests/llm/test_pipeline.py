@@ -1,8 +1,9 @@
 from collections import Counter
 
 import corpus_pipeline
-from folioquery.llm import decontam
-from folioquery.llm.common import stored
+import numpy as np
+from folioquery.llm import decontam, mixing
+from folioquery.llm.common import keyed, stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -105,3 +106,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert abs(by["a"] - min(level, caps["a"])) < 0.1 * total
     records = corpus_pipeline.token_records(spark, mixed, SMALL).collect()
     assert Counter(r["doc_id"] for r in records) == Counter(r["doc_id"] for r in out)
+
+
+def test_mixing_shuffles_no_texts_and_copies_rows_to_the_nearest_number(spark, monkeypatch):
+    """As by each row's own number of words; rows of null and equal ids, of no source, and without words among them."""
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 700)
+    rnd = np.random.default_rng(8)
+    data = [(None if i % 11 == 0 else i // 3, " ".join(["w"] * int(rnd.integers(0, 40))) + f" t{i}" * (i % 5 > 0), [None, "a", "b", "c"][min(3, int(rnd.zipf(1.7)) - 1)]) for i in range(600)]
+    docs = stored(spark.createDataFrame([*data, (5, None, "a"), (6, " \n", "zz")], "doc_id long, text string, source string"), "test-mix")
+    rows = keyed(docs, "row", "test-mix-rows")
+    want = Counter()
+    for r in mixing.mix_targets(rows, shard_tokens=700, row="row").where("size > 0").collect():
+        want[r["row"]] = int(r["taken"] / r["size"] + 0.5)
+    copied = mixing.whole_copies(rows, "row")
+    assert Counter(r["row"] for r in copied.collect()) == +want and set(want.values()) >= {0, 1, 3}
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus_pipeline.mix(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not [x for x in plan.splitlines() if "Join" in x and "BroadcastHashJoin" not in x] and "text" in plan
