@@ -365,6 +365,37 @@ def test_sums_of_bits_are_sent_before_they_run_over(monkeypatch):
     assert n > 1 and np.array_equal(in_parts, want)
 
 
+def test_decisions_of_a_byte_are_side_by_side():
+    """Each context has cells of its own for all ways, in its predictor's table; those of the eight heaviest nodes fill one line of memory."""
+    texts, code = some_texts()
+    for k, bits in enumerate(context_mixing.SLOT_BITS):
+        assert context_mixing.FIRST_SLOT[k] % (1 << bits) == 0
+        assert len(set(code.turns[:, k].tolist())) == 512 and code.turns[:, k].max() < 2 << bits
+        assert set((code.turns[:16, k] >> 1).tolist()) == set(range(8))
+    passed = np.zeros(255, np.int64)
+    d = context_mixing.decide(texts, code)
+    at = 0
+    for t in texts[:20]:
+        data = b"\0\0" + t + b"\xff"
+        for i in range(2, len(data)):
+            r = code.rank[data[i - 1] | data[i - 2] << 8, data[i]]
+            near = [j for j in range(int(code.length[r])) if code.path[r, j] < 8]
+            assert all(len(set((d.cells[[at + j for j in near], k] >> 4).tolist())) == 1 for k in range(context_mixing.PREDICTORS))
+            passed[code.path[r, : code.length[r]]] += 1
+            at += int(code.length[r])
+    assert passed[:8].min() > passed[40:].max()
+
+
+def test_words_of_texts():
+    texts = ["", None, " \t\r\n\x0b\x0c", " Two  words\n", "two WORDS\x1f\u00a0\u2003x Two", "\u00c4 \u00e4 \u0130", "\0 nul\0 two"] * 3
+    hashes, doc, word = context_mixing.words_of(pa.array(["left out", *texts]).slice(1))
+    assert len(set(hashes.tolist())) == len(hashes)
+    for i, t in enumerate(texts):
+        want = context_mixing.hash_words((t or "").encode().lower().split())
+        assert hashes[word[doc == i]].tolist() == want.tolist()
+    assert [len(x) for x in context_mixing.words_of(pa.array([None, " "]))] == [0, 0, 0]
+
+
 # --- HTML
 
 
