@@ -11,6 +11,7 @@ from folioquery.sources import pdf as sources
 from folioquery.sources import pdf_file, pdf_writer
 from folioquery.sources.pdf import TEXT_COLUMNS, file_primitives, open_documents, page_primitives
 from folioquery.sources.pdf_writer import build
+from folioquery.sources.store import stored
 
 
 def _page(words: str) -> bytes:
@@ -113,3 +114,11 @@ def test_glyph_table_with_paths_is_made_in_one_pass(spark):
     plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert (plan.count("MapInArrow"), plan.count("Exchange"), plan.count("Union")) == (1, 1, 0)
     assert [(r.text, r.is_generated_space, r.ord) for r in found.orderBy("ord").collect()] == [("a", False, 0), (" ", True, 2), ("b", False, 3)]
+
+
+def test_stored_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    rows = spark.range(200_000).selectExpr("id div 1000 AS k", "7 AS v")  # a few KB as Parquet
+    found = stored(rows, "test").where("v = 7").join(stored(rows.groupBy("k").count(), "test"), "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.count() == 200_000
