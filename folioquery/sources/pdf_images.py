@@ -91,8 +91,9 @@ def held_images(files: DataFrame, objects: DataFrame) -> DataFrame:
 def decoded_streams(files: DataFrame, digests: DataFrame) -> DataFrame:
     """(digest, data, codec, error) of the streams with these digests, each once."""
     raw = files.select("doc_row", "content").mapInArrow(_passed(True), RAW)
-    one = raw.join(digests.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.any_value("entries").alias("entries"), F.any_value("raw").alias("raw"))
-    return one.mapInArrow(_decode, DECODED)
+    # combined first, so that of each stream one copy a task is shuffled, and none again for the join; a semi join would be pushed below
+    one = raw.groupBy("digest").agg(F.any_value("entries").alias("entries"), F.any_value("raw").alias("raw"))
+    return one.join(digests.select("digest").distinct(), "digest").select("digest", "entries", "raw").mapInArrow(_decode, DECODED)
 
 
 def image_contents(files: DataFrame, objects: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

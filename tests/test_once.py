@@ -10,6 +10,7 @@ from folioquery.operators import text
 from folioquery.sources import pdf as sources
 from folioquery.sources import pdf_file, pdf_writer
 from folioquery.sources.pdf import TEXT_COLUMNS, file_primitives, open_documents, page_primitives
+from folioquery.sources.pdf_images import decoded_streams, held_images
 from folioquery.sources.pdf_writer import build
 from folioquery.sources.store import stored
 
@@ -122,3 +123,13 @@ def test_stored_tables_are_not_broadcast_by_the_size_of_their_files(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert found.count() == 200_000
+
+
+def test_streams_are_combined_before_they_are_shuffled(spark):
+    logo = b"%PDF-1.7\n1 0 obj\n<< /Type /XObject /Subtype /Image /Width 1 /Height 1 /Length 4 >>\nstream\nlogo\nendstream\nendobj\n"
+    df = spark.createDataFrame([(i, bytearray(logo)) for i in range(3)], "doc_row long, content binary")
+    digests = stored(held_images(df, spark.createDataFrame([(i, 1, 9, 9) for i in range(3)], "doc_row long, num long, offset long, start long")).select("digest"), "test")
+    found = decoded_streams(df, digests)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.index("SortMergeJoin") < plan.index("partial_")
+    assert [bytes(r.data) for r in found.collect()] == [b"logo"]
