@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from folioquery.functions import fonts, page_ops
+from folioquery.functions import fonts, lexemes, page_ops
 from folioquery.functions.cos import Keyword, read
 from folioquery.operators import text
 from folioquery.sources import pdf as sources
@@ -133,3 +133,17 @@ def test_streams_are_combined_before_they_are_shuffled(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.index("SortMergeJoin") < plan.index("partial_")
     assert [bytes(r.data) for r in found.collect()] == [b"logo"]
+
+
+def test_tokens_of_equal_objects_are_read_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(lexemes, "_SAME", {})
+    monkeypatch.setattr(lexemes, "read", lambda *a, **k: calls.append(1) or read(*a, **k))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R << /Type /Page >>] >>", **{n: b"<< /Type /Page /N %d >>" % n for n in range(3, 20)}}
+    for made in (pdf_writer.file_of(objects), pdf_writer.packed_file(objects, set(objects))):
+        first, n = list(lexemes.tokens(made)), len(calls)
+        calls.clear()
+        assert list(lexemes.tokens(made)) == first
+        assert len(calls) < n - 17
+        calls.clear()
+    assert len([t for t in first if t[0] == "member" and t[2] < 0]) == 1  # taken out of /Kids each time
